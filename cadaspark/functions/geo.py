@@ -80,9 +80,14 @@ def inside_box(lat: Column, lng: Column, box: dict | None = None) -> Column:
 
 
 def with_utm(
-    df: DataFrame, lat: str, lng: str, zone: str, e: str = "e", n: str = "n", ell: Ellipsoid = WGS84
+    df: DataFrame, lat: str, lng: str, zone: str, e: str = "e", n: str = "n", ell: Ellipsoid = WGS84, solid: bool = False
 ) -> DataFrame:
-    """Add easting and northing of (lat, lng) in the UTM zone held by column ``zone``."""
+    """Add easting and northing of (lat, lng) in the UTM zone held by column ``zone``.
+
+    ``solid`` marks the results non-null (callers drop null positions first). Without it, the
+    is-not-null filters Catalyst infers for join keys are pushed below the stages and re-inline the
+    whole projection into one huge predicate.
+    """
     c = 2 * math.sqrt(ell.n) / (1 + ell.n)
     ka = K0 * ell.rectifying_radius
     alpha = forward_coefficients(ell)
@@ -104,11 +109,10 @@ def with_utm(
     for j, aj in enumerate(alpha, start=1):
         east = east + F.lit(aj) * F.cos(F.col("_xi") * (2.0 * j)) * F.sinh(F.col("_eta") * (2.0 * j))
         north = north + F.lit(aj) * F.sin(F.col("_xi") * (2.0 * j)) * F.cosh(F.col("_eta") * (2.0 * j))
-    return s3.select(
-        *keep,
-        (east * F.lit(ka) + F.lit(FALSE_EASTING)).alias(e),
-        (north * F.lit(ka)).alias(n),
-    )
+    east, north = east * F.lit(ka) + F.lit(FALSE_EASTING), north * F.lit(ka)
+    if solid:
+        east, north = (F.coalesce(v, F.lit(float("nan"))) for v in (east, north))
+    return s3.select(*keep, east.alias(e), north.alias(n))
 
 
 def with_latlng(

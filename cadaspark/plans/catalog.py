@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-SECTIONS = ["rules", "rings"]
+SECTIONS = ["rules", "rings", "spatial"]
 
 
 def _merge(attribute: str) -> dict:

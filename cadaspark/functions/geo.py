@@ -209,8 +209,8 @@ def segment_parameter(px: Column, py: Column, x1: Column, y1: Column, x2: Column
     """Position in [0, 1] of the point of the segment closest to (px, py)."""
     dx, dy = x2 - x1, y2 - y1
     len2 = dx * dx + dy * dy
-    t = ((px - x1) * dx + (py - y1) * dy) / len2
-    return F.when(len2 == 0.0, F.lit(0.0)).otherwise(F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)))
+    t = F.try_divide((px - x1) * dx + (py - y1) * dy, len2)
+    return F.coalesce(F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
 
 
 def planar(px: Column, py: Column, qx: Column, qy: Column) -> Column:

@@ -82,7 +82,7 @@ def _polygon_hits(points: DataFrame, edges: DataFrame, margin: float) -> DataFra
     met = cells.project_points(close).join(cells.project_lines(outline).drop("lat1", "lng1", "lat2", "lng2"), ["feature_id", "zone"])
     # Even-odd rule in the projected plane: edges that straddle the point's northing, to its east.
     straddles = (c("y1") > c("n")) != (c("y2") > c("n"))
-    to_east = c("e") < (c("x2") - c("x1")) * (c("n") - c("y1")) / (c("y2") - c("y1")) + c("x1")
+    to_east = c("e") < F.try_divide((c("x2") - c("x1")) * (c("n") - c("y1")), c("y2") - c("y1")) + c("x1")
     tested = met.groupBy("lat", "lng", "feature_id").agg(
         F.min(cells.line_distance()).alias("d"),
         F.sum(F.when(F.when(straddles, to_east), 1).otherwise(0)).alias("crossings"),
@@ -103,7 +103,7 @@ def _containing_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
     )
     met = cells.box_join(cells.places(points), boxes, ["feature_id"]).join(outline, "feature_id")
     straddles = (c("lat1") > c("lat")) != (c("lat2") > c("lat"))
-    to_east = c("lng") < (c("lng2") - c("lng1")) * (c("lat") - c("lat1")) / (c("lat2") - c("lat1")) + c("lng1")
+    to_east = c("lng") < F.try_divide((c("lng2") - c("lng1")) * (c("lat") - c("lat1")), c("lat2") - c("lat1")) + c("lng1")
     tested = met.groupBy("lat", "lng", "feature_id").agg(
         F.sum(F.when(F.when(straddles, to_east), 1).otherwise(0)).alias("crossings")
     )

@@ -226,3 +226,31 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(*REPORTS)
+
+
+# Elevation pixels in a 9 x 9 block round each parcel; some missing, some nodata.
+DEM_BLOCK = [
+    "CAST(FLOOR(lat) AS BIGINT) AS tlat", "CAST(FLOOR(lng) AS BIGINT) AS tlng",
+    "CAST(FLOOR((FLOOR(lat) + 1 - lat) * 1200e0) AS BIGINT) + seq % 9 - 4 AS px_row",
+    "CAST(FLOOR((lng - FLOOR(lng)) * 1200e0) AS BIGINT) + CAST(FLOOR(seq / 9e0) AS BIGINT) - 4 AS px_col",
+]
+DEM_CELLS = [
+    "'dem' AS layer",
+    "'N' || lpad(CAST(tlat AS STRING), 2, '0') || 'E' || lpad(CAST(tlng AS STRING), 3, '0') AS tile",
+    "px_row", "px_col",
+    "CASE WHEN (px_row * px_col) % 23 = 5 THEN -9999e0 ELSE ((px_row * 7 + px_col * 13) % 400) / 10e0 END AS value",
+]
+DEM_FILTER = "px_row BETWEEN 0 AND 1199 AND px_col BETWEEN 0 AND 1199 AND (px_row + px_col) % 10 < 9"
+
+
+def dem_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = parcels(spark, sf_dir).select("lat", "lng").withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(80))))
+    return base.selectExpr(*DEM_BLOCK).filter(DEM_FILTER).distinct().selectExpr(*DEM_CELLS)
+
+
+# Satellite pixels under every parcel; one table row per layer.
+ZONE_CELLS = [
+    "index_name AS layer", "zone_name AS tile", "px_row", "px_col",
+    "CASE WHEN (px_row + px_col) % 11 = 3 THEN NULL "
+    "ELSE ((px_row * 3 + px_col * 5 + CASE WHEN index_name = 'ndwi' THEN 0 ELSE 7 END) % 120) / 100e0 - 0.6e0 END AS value",
+]

@@ -13,15 +13,15 @@ from cadaspark.functions.numeric import clamp, fixed, rnd
 
 
 def terrain_difficulty(slope: Column) -> Column:
-    return F.when(slope.isNull() | (slope < 5), "FLAT").when(slope < 15, "GENTLE").otherwise("STEEP")
+    return F.when(slope.isNull() | (slope < 5), "flat").when(slope < 15, "gentle").otherwise("steep")
 
 
 def road_access(distance: Column) -> Column:
     return (
-        F.when(distance <= 200, "EXCELLENT")
-        .when(distance <= 600, "GOOD")
-        .when(distance <= 1500, "FAIR")
-        .otherwise("POOR")
+        F.when(distance <= 200, "Excellent")
+        .when(distance <= 600, "Good")
+        .when(distance <= 1500, "Fair")
+        .otherwise("Poor")
     )
 
 

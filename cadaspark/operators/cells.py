@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadaspark.functions.geo import planar, segment_parameter, utm_zone, with_utm
+from cadaspark.sources.scratch import keep
 
 BASE_M = 1000.0
 # Cell widths in base cells, coarse to fine, used to narrow the nearest search.
@@ -111,7 +112,7 @@ def _candidate_cells(probe_cells: DataFrame, layer_cells: DataFrame, bound: floa
     prunes the rest, so no step enumerates a large neighbourhood of fine cells.
     """
     c = F.col
-    occupied = layer_cells.groupBy("zone", "cx", "cy").agg(F.max("sure").alias("sure"))
+    occupied = keep(layer_cells.groupBy("zone", "cx", "cy").agg(F.max("sure").alias("sure")), "occupied")
     top = DESCENT[0]
     index, lx, ly = _around(F.floor(c("ax") / top), F.floor(c("ay") / top), 1)
     pairs = probe_cells.select("*", index).select("zone", "ax", "ay", lx.alias("lx"), ly.alias("ly"))

@@ -13,6 +13,7 @@ from cadaspark.operators import cells as cells_ops
 from cadaspark.operators import rings
 from cadaspark.operators.ordered import running_sums, with_next
 from cadaspark.operators.spatial import SENTINEL_ZONES, sentinel_zone
+from cadaspark.sources.scratch import keep
 
 PIXELS = 1200
 NODATA = -9999.0
@@ -110,6 +111,7 @@ def longest_axis(metric: DataFrame) -> DataFrame:
     Ties within a millimetre go to the earlier pair.
     """
     c = F.col
+    metric = keep(metric, "rings")
     unique = metric.groupBy("run_id", "zone", "e", "n").agg(F.min("seq").alias("seq"))
     box = unique.groupBy("run_id").agg(
         F.min("e").alias("e0"), F.max("e").alias("e1"), F.min("n").alias("n0"), F.max("n").alias("n1")
@@ -127,12 +129,13 @@ def longest_axis(metric: DataFrame) -> DataFrame:
         F.min(F.struct((-F.floor(length * 1000 + 0.5)).alias("rank"), "seq", "seq2", "zone", "e", "n", "qe", "qn")).alias("b")
     )
     axis = best.select("run_id", "b.seq", "b.seq2", "b.zone", "b.e", "b.n", "b.qe", "b.qn")
-    return _clip(axis, metric)
+    edges = rings.ring_edges(metric, "e", "n", rings.CLOSE_M).select("run_id", "x1", "y1", "x2", "y2")
+    return _clip(keep(axis, "axis"), keep(edges, "edges"))
 
 
-def _clip(axis: DataFrame, metric: DataFrame) -> DataFrame:
+def _clip(axis: DataFrame, edges: DataFrame) -> DataFrame:
+    """Cut the axis where it crosses edges and keep the longest run of inside pieces."""
     c = F.col
-    edges = rings.ring_edges(metric, "e", "n", rings.CLOSE_M).select("run_id", "x1", "y1", "x2", "y2")
     dx, dy = c("qe") - c("e"), c("qn") - c("n")
     ex, ey = c("x2") - c("x1"), c("y2") - c("y1")
     det = dx * ey - dy * ex

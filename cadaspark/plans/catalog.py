@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-SECTIONS = ["rules", "rings", "spatial", "raster"]
+SECTIONS = ["rules", "rings", "spatial", "raster", "history"]
 
 
 def _merge(attribute: str) -> dict:

@@ -191,8 +191,8 @@ _nulls = lambda t: "concat_ws(',', " + ", ".join(
 _thousands = "regexp_replace(CAST(CAST(sqm AS BIGINT) AS VARCHAR), '(\\d)(\\d{3})$', '\\1,\\2')"
 
 CHECKS = {
-    "terrain_difficulty": with_(["p"], "SELECT parcel_id, CASE WHEN slope_pct IS NULL OR slope_pct<5 THEN 'FLAT' WHEN slope_pct<15 THEN 'GENTLE' ELSE 'STEEP' END AS terrain_difficulty FROM p"),
-    "road_access": with_(["p"], "SELECT parcel_id, CASE WHEN road_m<=200 THEN 'EXCELLENT' WHEN road_m<=600 THEN 'GOOD' WHEN road_m<=1500 THEN 'FAIR' ELSE 'POOR' END AS road_access FROM p"),
+    "terrain_difficulty": with_(["p"], "SELECT parcel_id, CASE WHEN slope_pct IS NULL OR slope_pct<5 THEN 'flat' WHEN slope_pct<15 THEN 'gentle' ELSE 'steep' END AS terrain_difficulty FROM p"),
+    "road_access": with_(["p"], "SELECT parcel_id, CASE WHEN road_m<=200 THEN 'Excellent' WHEN road_m<=600 THEN 'Good' WHEN road_m<=1500 THEN 'Fair' ELSE 'Poor' END AS road_access FROM p"),
     "flood_proximity": with_(_ind_sql, "SELECT parcel_id, proximity FROM ind"),
     "data_confidence": with_(_ind_sql, "SELECT parcel_id, confidence FROM ind"),
     "encroachment": with_(_ind_sql, "SELECT parcel_id, encroached FROM ind"),

@@ -199,7 +199,7 @@ CHECKS = {
     "utm_zone_for_lng": with_(["p"], f"SELECT parcel_id, CAST({zone('lng')} AS INT) AS zone FROM p"),
     "nearest_river": with_(_nearest("river", 80000), f"SELECT p.parcel_id, {rnd('d', 1)} AS river_m, nn.strahler FROM p LEFT JOIN nn USING (parcel_id)"),
     "nearest_road": with_({**_nearest("road", 50000), "o": f"SELECT p.parcel_id, {rnd('d', 1)} AS road_m FROM p LEFT JOIN nn USING (parcel_id)"},
-      "SELECT parcel_id, road_m, CASE WHEN road_m<=200 THEN 'EXCELLENT' WHEN road_m<=600 THEN 'GOOD' WHEN road_m<=1500 THEN 'FAIR' ELSE 'POOR' END AS road_access FROM o"),
+      "SELECT parcel_id, road_m, CASE WHEN road_m<=200 THEN 'Excellent' WHEN road_m<=600 THEN 'Good' WHEN road_m<=1500 THEN 'Fair' ELSE 'Poor' END AS road_access FROM o"),
     "nearest_facility": with_(["p"], f"SELECT parcel_id, {_fac['airport']} AS airport_km, {_fac['port']} AS port_km, {_fac['rail']} AS rail_km FROM p"),
     "building_rings": with_({**PU, **inputs("bld"), "bz": f"SELECT * FROM bld CROSS JOIN {_zones}", "bu": utm("bz", "lat", "lng", "zone", "be", "bn"),
       "d": "SELECT parcel_id, sqrt(power(e-be,2)+power(n-bn,2)) AS d FROM pu JOIN bu USING (zone)"},

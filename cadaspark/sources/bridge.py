@@ -254,3 +254,44 @@ ZONE_CELLS = [
     "CASE WHEN (px_row + px_col) % 11 = 3 THEN NULL "
     "ELSE ((px_row * 3 + px_col * 5 + CASE WHEN index_name = 'ndwi' THEN 0 ELSE 7 END) % 120) / 100e0 - 0.6e0 END AS value",
 ]
+
+
+# Four feeds per parcel: offline, local registry, state, national.
+FEEDS = [
+    "parcel_id AS run_id", "CAST(seq AS INT) AS priority",
+    "CASE seq WHEN 0 THEN 'offline_raster' WHEN 1 THEN 'mock_registry' WHEN 2 THEN 'state_lis' ELSE 'nlir' END AS adapter_id",
+    "CASE WHEN seq = 0 THEN 'ok' WHEN (parcel_id + seq * 7) % 11 = 0 THEN 'timeout' "
+    "WHEN (parcel_id + seq * 5) % 13 = 0 THEN 'http_error' WHEN (parcel_id * 3 + seq) % 5 = 0 THEN 'no_record' ELSE 'ok' END AS status",
+    "CASE WHEN seq > 0 THEN CASE (parcel_id + seq) % 6 WHEN 0 THEN 'C_OF_O' WHEN 1 THEN 'DEED' WHEN 2 THEN 'c_of_o' WHEN 3 THEN 'BOGUS' WHEN 4 THEN 'CUSTOMARY' END END AS title_type",
+    "CASE WHEN seq > 0 THEN CASE (parcel_id * 3 + seq) % 5 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'DISPUTED' WHEN 2 THEN 'REVOKED' WHEN 3 THEN 'weird' END END AS title_status",
+    "CASE WHEN seq > 0 THEN 'T' || CAST(parcel_id * 10 + seq AS STRING) END AS title_number",
+    "CASE WHEN seq = 0 OR (parcel_id + seq) % 3 = 0 THEN NULL ELSE (parcel_id + seq) % 7 = 0 END AS acquisition_flag",
+    "CASE WHEN seq > 0 AND (parcel_id + seq) % 2 = 0 THEN 'ZONE' || CAST((parcel_id + seq) % 4 AS STRING) END AS zoning_class",
+    "CASE WHEN seq = 0 OR (parcel_id + seq) % 4 = 0 THEN NULL WHEN (parcel_id + seq) % 4 = 1 THEN '' ELSE 'residential,use' || CAST(seq AS STRING) END AS permitted_text",
+    "CASE WHEN seq > 0 AND (parcel_id + seq) % 5 < 3 THEN 'lga' || CAST((parcel_id * seq) % 9 AS STRING) END AS lga_confirmed",
+]
+
+
+def feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = parcel_base(spark, sf_dir).withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return base.selectExpr(*FEEDS)
+
+
+LINEAGE = [
+    "l_orderkey AS report_id", "'field_' || CAST(l_linenumber AS STRING) AS field_name",
+    "l_partkey AS source_id", "'src' || CAST(l_suppkey % 10 AS STRING) AS source_label",
+    "l_quantity * 2 AS confidence_score",
+]
+EXPORTS = [
+    "l_orderkey AS report_id",
+    "CASE l_returnflag WHEN 'A' THEN 'PDF' WHEN 'R' THEN 'JSON' ELSE 'PNG_CARD' END AS export_format",
+    "l_shipdate AS exported_at", "CAST(FLOOR(l_extendedprice) AS BIGINT) AS file_size_bytes",
+]
+
+
+def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*LINEAGE)
+
+
+def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*EXPORTS)

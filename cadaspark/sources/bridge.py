@@ -295,3 +295,86 @@ def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*EXPORTS)
+
+
+# Raw survey texts in ten styles (by parcel_id % 10), plus every document as it is.
+def _thousands(x: str) -> str:
+    low = f"lpad(CAST({x} % 1000 AS STRING), 3, '0')"
+    mid = f"{_div(f'{x} % 1000000', 1000)}"
+    return (
+        f"(CASE WHEN {x} >= 1000000 THEN CAST({_div(x, 1000000)} AS STRING) || ',' || lpad(CAST({mid} AS STRING), 3, '0') "
+        f"ELSE CAST({mid} AS STRING) END || ',' || {low})"
+    )
+
+
+def _dms(v: str, letter: str) -> str:
+    minutes = _div(f"({v}) % 10000 * 60", 10000)
+    tenths = _div(f"({v}) % 10000 * 60 % 10000 * 600", 10000)
+    return (
+        f"CAST({_div(v, 10000)} AS STRING) || '°' || CAST({minutes} AS STRING) || chr(39) || CAST({_div(tenths, 10)} AS STRING) "
+        f"|| '.' || CAST({tenths} % 10 AS STRING) || chr(34) || '{letter}'"
+    )
+
+
+_RING = [("-", "-"), ("-", "+"), ("+", "+"), ("+", "-"), ("-", "-")]
+
+
+def _join(parts: list[str], sep: str) -> str:
+    return f" || {sep} || ".join(f"({p})" for p in parts)
+
+
+def _survey_text() -> str:
+    deg = [(f"(la4 {a} dy)", f"(lo4 {o} dx)") for a, o in _RING]
+    met = [(f"(n0 {a} dy * 10)", f"(e0 {o} dx * 10)") for a, o in _RING]
+    text = lambda x: f"CAST({x} AS STRING)"
+    card = [f"{dec4(a)} || 'N ' || {dec4(o)} || 'E'" for a, o in deg]
+    plain = [f"{dec4(a)} || ', ' || {dec4(o)}" for a, o in deg]
+    dms = [f"{_dms(a, 'N')} || ' ' || {_dms(o, 'E')}" for a, o in deg]
+    comma = [f"{_thousands(e)} || '.125E ' || {_thousands(n)} || '.5N'" for n, e in met]
+    bare = [
+        f"CASE WHEN parcel_id % 20 < 10 THEN {text(e)} || '.5 ' || {text(n)} || '.25' ELSE {text(n)} || '.25 ' || {text(e)} || '.5' END"
+        for n, e in met
+    ]
+    table = [
+        f"'BP1234{i} E: ' || {text(e)} || '.297  N: ' || {text(n)} || '.575'" if i % 2 == 0
+        else f"'E: ' || {text(e)} || '-254  N: ' || {text(n)}" for i, (n, e) in enumerate(met)
+    ]
+    leg = lambda q1, q2, d: (
+        f"'{q1} ' || CAST(parcel_id % 89 AS STRING) || '°15' || chr(39) || '30' || chr(34) || '{q2} ' || CAST({d} AS STRING) || '.50m'"
+    )
+    d1, d2 = "(80 + parcel_id % 60)", "(50 + parcel_id % 40)"
+    legs = [
+        "'Tie-Point: E ' || CAST(e0 AS STRING) || '.000 N ' || CAST(n0 AS STRING) || '.000'",
+        f"'1. A1 to B2: ' || {leg('N', 'E', d1)}", f"'L2: ' || {leg('S', 'E', d2)}",
+        f"'B3 TO B4: ' || {leg('S', 'W', d1)}",
+        f"'leg 4: ' || CAST(300 + parcel_id % 60 AS STRING) || '° 10' || chr(39) || '  ' || CAST({d2} AS STRING) || '.25'",
+    ]
+    group = ["'EASTINGS'", *[f"{text(e)} || '.5 m'" for _, e in met[:4]], "'NORTHINGS'", *[f"{text(n)} || '.75 m'" for n, _ in met[:4]]]
+    plan = "CASE parcel_id % 4 WHEN 0 THEN 'Plan LS/LA/2020' WHEN 1 THEN 'Plan X/BO/11' WHEN 2 THEN 'UTM Zone 32 N' ELSE 'no mark' END"
+    suffix = [f"{text(e)} || '.297E ' || {text(n)} || '.575N'" for n, e in met]
+    nl = "chr(10)"
+    arms = [
+        _join(card, "'; '"), _join(plain, "'; '"), _join(dms, "'; '"), _join(comma, "'; '"), _join(bare, "'; '"),
+        f"'MINNA UTM ZONE 32' || {nl} || " + _join(table, nl), _join(legs, nl), _join(card[:4], "'; '"), _join(group, nl),
+        f"{plan} || {nl} || " + _join(suffix, "'; '"),
+    ]
+    return "CASE parcel_id % 10 " + " ".join(f"WHEN {i} THEN {a}" for i, a in enumerate(arms)) + " END"
+
+
+SURVEY_BASE = [
+    "parcel_id", "la4", "lo4", "5 + parcel_id % 7 AS dx", "4 + parcel_id % 5 AS dy",
+    "300000 + parcel_id * 137 % 400000 AS e0", "450000 + parcel_id * 911 % 900000 AS n0",
+]
+SURVEYS = [
+    "parcel_id AS run_id", f"{_survey_text()} AS raw_text",
+    "CASE WHEN parcel_id % 29 = 0 THEN 'MINNA_DATUM' WHEN parcel_id % 31 = 0 THEN 'UTM_SWAPPED' END AS coordinate_hint",
+    "CASE WHEN parcel_id % 13 = 0 THEN 'Clarke 1880' END AS datum_label",
+]
+DOCUMENT_SURVEYS = [
+    "1000000000 + doc_id AS run_id", "text AS raw_text", "CAST(NULL AS STRING) AS coordinate_hint", "CAST(NULL AS STRING) AS datum_label",
+]
+
+
+def surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = parcel_base(spark, sf_dir).selectExpr(*SURVEY_BASE).selectExpr(*SURVEYS)
+    return made.unionByName(table(spark, sf_dir, "documents").selectExpr(*DOCUMENT_SURVEYS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-SECTIONS = ["rules", "rings", "spatial", "raster", "history", "governance", "extract"]
+SECTIONS = ["rules", "rings", "spatial", "raster", "history", "governance", "extract", "crs"]
 
 
 def _merge(attribute: str) -> dict:

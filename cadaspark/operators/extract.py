@@ -20,12 +20,12 @@ def parse_format(submissions: DataFrame, fmt: str, text: str = "raw_text") -> Da
 
 
 def _first_format(submissions: DataFrame) -> DataFrame:
-    text = p.strip_thousands(F.col("raw_text"))
+    cleaned = submissions.withColumn("text", p.strip_thousands(F.col("raw_text")))
     ladder = []
     for name, pattern in p.FORMATS.items():
-        found = p.matches(text, pattern)
+        found = p.matches(F.col("text"), pattern)
         ladder.append(F.when(F.size(found) >= p.MIN_POINTS, F.struct(F.lit(name).alias("fmt"), found.alias("found"))))
-    return submissions.withColumn("hit", F.coalesce(*ladder))
+    return cleaned.withColumn("hit", F.coalesce(*ladder)).drop("text")
 
 
 def parse_auto(submissions: DataFrame) -> DataFrame:
@@ -100,26 +100,19 @@ def _column_grouped(submissions: DataFrame) -> DataFrame:
     flat = p.mend_line(F.regexp_replace("raw_text", r"\n", " "))
     # The cheap test for six numbers spares most texts the array work.
     likely = submissions.filter(F.size(F.regexp_extract_all("raw_text", F.lit(r"\d{3},?\d{3}"), 0)) >= 2 * p.MIN_POINTS)
-    numbers = likely.select("run_id", p.scale_numbers(flat).alias("all")).filter(
-        (F.size("all") >= 2 * p.MIN_POINTS) & (F.size("all") % 2 == 0)
+    numbers = likely.select("run_id", F.posexplode(p.scale_numbers(flat)).alias("pos", "v"))
+    counts = numbers.groupBy("run_id").agg(F.count("*").alias("total")).filter(
+        (c("total") >= 2 * p.MIN_POINTS) & (c("total") % 2 == 0)
     )
-    mid = (F.size("all") / 2).cast("int")
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    halves = numbers.select(
-        "run_id", F.slice("all", F.lit(1), mid).alias("h1"), F.slice("all", mid + 1, mid).alias("h2")
-    ).withColumns({"m1": total(c("h1")) / F.size("h1"), "m2": total(c("h2")) / F.size("h2")})
-    apart = halves.filter(F.abs(c("m1") - c("m2")) > 50000)
-    first = c("m1") < c("m2")
-    zipped = apart.select(
-        "run_id",
-        F.posexplode(
-            F.arrays_zip(
-                F.when(first, c("h1")).otherwise(c("h2")).alias("e"), F.when(first, c("h2")).otherwise(c("h1")).alias("n")
-            )
-        ).alias("seq", "x"),
+    half = (c("total") / 2).cast("int")
+    rows = numbers.join(counts, "run_id").groupBy("run_id", (c("pos") % half).cast("int").alias("seq")).agg(
+        F.max(F.when(c("pos") < half, c("v"))).alias("v1"), F.max(F.when(c("pos") >= half, c("v"))).alias("v2")
     )
-    return zipped.select(
-        "run_id", "seq", F.concat(F.lit("S"), (c("seq") + 1).cast("string")).alias("station_id"), "x.e", "x.n"
+    means = rows.groupBy("run_id").agg(F.avg("v1").alias("m1"), F.avg("v2").alias("m2")).filter("abs(m1 - m2) > 50000")
+    first = c("m1") < c("m2")
+    return rows.join(means, "run_id").select(
+        "run_id", "seq", F.concat(F.lit("S"), (c("seq") + 1).cast("string")).alias("station_id"),
+        F.when(first, c("v1")).otherwise(c("v2")).alias("e"), F.when(first, c("v2")).otherwise(c("v1")).alias("n"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-SECTIONS = ["rules", "rings", "spatial", "raster", "history", "governance", "extract", "crs"]
+SECTIONS = ["sources", "extract", "crs", "rings", "spatial", "raster", "rules", "history", "governance"]
 
 
 def _merge(attribute: str) -> dict:

@@ -1,0 +1,28 @@
+"""Layer measurements and the rule chain over placed parcels, one row per parcel throughout."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from cadaspark.operators import raster, screening, spatial
+
+MEASURED = ["river_m", "strahler", "road_m", "elevation_m", "slope_pct", "ndwi", "ndvi", "out_of_zone"]
+
+
+def measure(parcels: DataFrame, rivers: DataFrame, roads: DataFrame, dem: DataFrame, indices: DataFrame) -> DataFrame:
+    """Attach river, road, elevation, slope and satellite indices to parcels (lat, lng, ...).
+
+    All layers are looked up for the distinct positions, so copies of a parcel cost one lookup.
+    """
+    spots = parcels.select("lat", "lng").distinct()
+    out = spatial.nearest_river(spots, rivers)
+    out = spatial.nearest_road(out, roads)
+    out = raster.sample_elevation(out, dem)
+    out = raster.slope_pct(out, dem)
+    out = raster.sample_ndwi_ndvi(out, indices)
+    return parcels.drop(*MEASURED).join(out.select("lat", "lng", *MEASURED), ["lat", "lng"])
+
+
+def screen(parcels: DataFrame, rivers: DataFrame, roads: DataFrame, dem: DataFrame, indices: DataFrame) -> DataFrame:
+    """Measured parcels with flood level, terrain, light and score."""
+    return screening.with_risk(screening.with_indicators(measure(parcels, rivers, roads, dem, indices)))

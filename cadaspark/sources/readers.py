@@ -46,10 +46,6 @@ def _fields(line: Column) -> Column:
     return F.array(*[row[f"c{i}"] for i in range(MAX_COLUMNS)])
 
 
-def _first_column(fields: Column, test) -> Column:
-    return F.coalesce(*[F.when(test(fields[i]), i) for i in range(MAX_COLUMNS)])
-
-
 def read_stations_csv(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
     """Stations of every CSV under ``path``: file, row_index, station_id, e, n.
 
@@ -60,19 +56,21 @@ def read_stations_csv(spark: SparkSession, path: str, errors: bool = False) -> D
     c = F.col
     lines = _file_lines(spark, path)
     tops = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "ord")).alias("top"))
-    tops = tops.select("file", "top", _fields(c("top")).alias("f"))
-    key = lambda v: F.lower(F.trim(v))
-    one_of = lambda names: (lambda v: key(v).isin(names))
+    heads = tops.select("file", "top", F.posexplode(_fields(c("top"))).alias("at", "name"))
+    name = F.lower(F.trim("name"))
+    where = lambda test: F.min(F.when(test, c("at")))
     width = F.size(F.split("top", r""",(?=(?:[^"]*"[^"]*")*[^"]*$)"""))
-    easting = _first_column(c("f"), one_of(EASTING))
-    northing = _first_column(c("f"), one_of(NORTHING))
-    station = _first_column(c("f"), lambda v: key(v).isin(STATION) | F.trim(v).rlike(STATION_PREFIX))
-    named = F.exists("f", lambda v: key(v).isin(EASTING + NORTHING + STATION))
-    layout = tops.select(
-        "file", named.alias("header"),
-        F.when(named, station).when(width >= 3, 0).alias("s_at"),
-        F.when(named, easting).when(width >= 3, 1).when(width == 2, 0).alias("e_at"),
-        F.when(named, northing).when(width >= 3, 2).when(width == 2, 1).alias("n_at"),
+    found = heads.groupBy("file", "top").agg(
+        where(name.isin(STATION) | F.trim("name").rlike(STATION_PREFIX)).alias("station"),
+        where(name.isin(EASTING)).alias("easting"),
+        where(name.isin(NORTHING)).alias("northing"),
+        F.coalesce(F.bool_or(name.isin(EASTING + NORTHING + STATION)), F.lit(False)).alias("header"),
+    )
+    layout = found.select(
+        "file", "header",
+        F.when(c("header"), c("station")).when(width >= 3, 0).alias("s_at"),
+        F.when(c("header"), c("easting")).when(width >= 3, 1).when(width == 2, 0).alias("e_at"),
+        F.when(c("header"), c("northing")).when(width >= 3, 2).when(width == 2, 1).alias("n_at"),
     )
     numbered = with_row_number(lines, ["file"], ["block", "ord"], c("block"), "line_no")
     rows = numbered.join(layout, "file").filter(~(c("header") & (c("line_no") == 0)))

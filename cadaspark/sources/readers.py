@@ -14,7 +14,6 @@ EASTING = ["easting", "e", "x", "east", "longitude_utm", "utm_e"]
 NORTHING = ["northing", "n", "y", "north", "latitude_utm", "utm_n"]
 STATION = ["station", "id", "beacon", "pillar", "trig", "name", "station_id", "plot", "corner"]
 STATION_PREFIX = r"(?i)^(sc|sg|sk|bp|tp|bm|nr)[/\-\s]"
-MAX_COLUMNS = 16
 NATIONAL = "national"
 
 REGISTRY_SCHEMA = (
@@ -40,10 +39,13 @@ def _file_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# A comma outside double quotes.
+COMMA = r""",(?=(?:[^"]*"[^"]*")*[^"]*$)"""
+
+
 def _fields(line: Column) -> Column:
-    schema = ", ".join(f"c{i} STRING" for i in range(MAX_COLUMNS))
-    row = F.from_csv(line, F.lit(schema), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
-    return F.array(*[row[f"c{i}"] for i in range(MAX_COLUMNS)])
+    unquoted = lambda v: F.replace(F.regexp_replace(F.trim(v), r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
+    return F.transform(F.split(line, COMMA), unquoted)
 
 
 def read_stations_csv(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
@@ -59,7 +61,7 @@ def read_stations_csv(spark: SparkSession, path: str, errors: bool = False) -> D
     heads = tops.select("file", "top", F.posexplode(_fields(c("top"))).alias("at", "name"))
     name = F.lower(F.trim("name"))
     where = lambda test: F.min(F.when(test, c("at")))
-    width = F.size(F.split("top", r""",(?=(?:[^"]*"[^"]*")*[^"]*$)"""))
+    width = F.size(F.split("top", COMMA))
     found = heads.groupBy("file", "top").agg(
         where(name.isin(STATION) | F.trim("name").rlike(STATION_PREFIX)).alias("station"),
         where(name.isin(EASTING)).alias("easting"),

@@ -14,12 +14,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from cadaspark.plans import catalog  # noqa: E402
 
 HEADLINE = [
-    "screening_summary", "risk_score", "advisory_flags", "plot_units", "ring_pipeline", "self_intersection",
+    "screening_summary", "risk_score", "advisory_flags", "plot_units", "ring_area", "self_intersection",
     "traverse_forward", "nearest_river", "nearest_road", "building_rings", "landuse_conflicts", "outfall_asset",
     "registry_match", "prior_report", "slope_pct", "internal_profile", "feed_merge", "lga_benchmark", "compare_reports",
-    "assemble_report", "parse_auto", "extract_parcels", "input_hazard", "redact_full",
+    "assemble_report", "screen_parcels", "parse_auto", "extract_parcels", "input_hazard", "redact_full",
 ]
-ALIASES = {"ring_pipeline": "area_ha"}
+ALIASES = {"ring_area": "area_ha"}
 
 
 def main() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-SECTIONS = ["sources", "extract", "crs", "rings", "spatial", "raster", "rules", "pipeline", "history", "governance"]
+SECTIONS = ["sources", "extract", "crs", "rings", "spatial", "raster", "rules", "screen", "history", "governance"]
 
 
 def _merge(attribute: str) -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadaspark.operators import pipeline
+from cadaspark.operators import measure
 from cadaspark.plans import raster, rules, spatial
 from cadaspark.plans.checks import INPUTS, with_
 from cadaspark.sources import bridge as b
@@ -15,7 +15,7 @@ COLUMNS = [
 
 def screen(spark, sf):
     lines = b.lines(spark, sf)
-    out = pipeline.screen(
+    out = measure.screen(
         b.parcels(spark, sf), lines.filter("layer = 'river'"), lines.filter("layer = 'road'"),
         b.dem_cells(spark, sf), raster.zone_cells(spark, sf),
     )

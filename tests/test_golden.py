@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from cadaspark.operators import crs, extract, pipeline, rings
+from cadaspark.operators import crs, extract, measure, rings
 from cadaspark.operators.raster import tile_of
 
 CASES = {
@@ -144,7 +144,7 @@ def test_screening_of_four_parcels(spark):
         "*", "false AS acquisition_flag", "CAST(NULL AS STRING) AS title_status", "CAST(NULL AS DOUBLE) AS lowest_m",
         "CAST(NULL AS DOUBLE) AS outfall_m", "false AS outfall_connected",
     )
-    out = {r.parcel_id: r for r in pipeline.screen(parcels, rivers, roads, dem, indices).collect()}
+    out = {r.parcel_id: r for r in measure.screen(parcels, rivers, roads, dem, indices).collect()}
     assert [out[k].river_m for k in (1, 2, 3, 4)] == pytest.approx([1455.2, 19876.3, 498.3, 64.4], abs=0.15)
     assert [out[k].road_m for k in (1, 2, 3, 4)] == pytest.approx([47.5, 20690.5, 94.0, 48056.8], abs=0.15)
     assert (out[1].flood_risk, out[1].terrain, out[1].traffic_light) == ("LOW", "SUITABLE", "GREEN")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ SLICE_CHARS = 4_000_000
 def slices(batches: Iterator[pa.RecordBatch], text_index: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one slice holds few rows and, unless a single text is longer, few characters."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.binary_length(batch.column(text_index)).fill_null(0))
+        sizes = np.asarray(pc.binary_length(batch.column(text_index)).fill_null(0))
         ends = np.cumsum(sizes)
         start = 0
         while start < batch.num_rows:

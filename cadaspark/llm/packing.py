@@ -26,16 +26,12 @@ from cadaspark.llm.arrow import slices
 
 SEQUENCE = 1024
 END_ID = 0
-REMEMBERED = 200_000
-# White space as the vocabulary's pattern sees it: a word with at most one blank before it, or a run of white space.
-SPACE = "\t-\r \x85\xa0  -     　"
-UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 # Fixed value: the pattern that the byte-level vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class ByteCodec:
-    """Ids of a byte-level vocabulary in the tokenizers JSON form; ids of repeated words are remembered, within bounds."""
+    """Ids of a byte-level vocabulary in the tokenizers JSON form; special tokens in a text count as such."""
 
     def __init__(self, spec: bytes) -> None:
         data = json.loads(spec)
@@ -48,31 +44,21 @@ class ByteCodec:
         }
         self.encoding = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self._units: dict[str, bytes] = {}
-
-    def _plain(self, text: str, out: list[bytes]) -> None:
-        units = self._units
-        for unit in UNITS.findall(text):
-            packed = units.get(unit)
-            if packed is None:
-                packed = np.array(self.encoding.encode_ordinary(unit), dtype="<u4").tobytes()
-                if len(unit) <= 64:
-                    if len(units) >= REMEMBERED:
-                        units.clear()
-                    units[unit] = packed
-            out.append(packed)
+
+    def _ids(self, text: str) -> list[int]:
+        if text in self.special:
+            return [self.special[text]]
+        return self.encoding.encode_ordinary(text)
 
     def encode(self, text: str | None) -> bytes:
-        out: list[bytes] = []
-        if text and self.cut and self.cut.search(text):
-            for part in self.cut.split(text):
-                if part in self.special:
-                    out.append(np.array([self.special[part]], dtype="<u4").tobytes())
-                else:
-                    self._plain(part, out)
-        elif text:
-            self._plain(text, out)
-        return b"".join(out)
+        """Ids of a whole text, packed as little-endian unsigned 32-bit integers."""
+        if not text:
+            return b""
+        if self.cut and self.cut.search(text):
+            ids = [i for part in self.cut.split(text) for i in self._ids(part)]
+        else:
+            ids = self.encoding.encode_ordinary(text)
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 _CODECS: dict[int, ByteCodec] = {}

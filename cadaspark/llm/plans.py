@@ -41,3 +41,7 @@ QUERIES = {
     "op6_packing": op6_packing,
 }
 CHECKS: dict[str, str] = {}
+
+
+def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))

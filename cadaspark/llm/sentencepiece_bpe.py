@@ -14,7 +14,9 @@ Edge cases: a null or empty text has no ids and decodes to an empty text; repeat
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
+import struct
 from collections.abc import Callable
 
 import ahocorasick
@@ -131,8 +133,8 @@ class PieceCodec:
             else:
                 j += 1
 
-    def tokens(self, word: str) -> list[str]:
-        """Tokens of a word whose characters are all in the vocabulary, by the table of last tokens."""
+    def tokens(self, word: str) -> list[str] | None:
+        """Tokens of a word by the table of last tokens; None if a character is outside the vocabulary."""
         last: list[str | None] = [None] * len(word)
         for end, piece in self.automaton.iter(word):
             if last[end] is None:
@@ -144,7 +146,7 @@ class PieceCodec:
         while at >= 0:
             piece = last[at]
             if piece is None:
-                raise ValueError(f"no piece ends at {at} of a word of {len(word)} characters")
+                return None
             out.append(piece)
             at -= len(piece)
         return out[::-1]
@@ -153,27 +155,21 @@ class PieceCodec:
         text = word.replace(" ", BLANK)
         body = text.lstrip(BLANK)
         run = len(text) - len(body)
-        ids: list[int] = []
-        pieces: list[str] = []
         # the last blank can join the word; the blanks before it only join each other
         joined = (BLANK if run else "") + body
-        runs, known = [], ""
-        for ch in joined:
-            if ch in self.reachable:
-                known += ch
-            else:
-                runs += [known, ch] if known else [ch]
-                known = ""
-        runs += [known] if known else []
-        for part in runs:
-            pieces += self.tokens(part) if part[0] in self.reachable else [part]
+        pieces = self.tokens(joined)
+        if pieces is None:  # characters outside the vocabulary stand alone and join nothing
+            pieces = []
+            for inside, part in itertools.groupby(joined, self.reachable.__contains__):
+                pieces += self.tokens("".join(part)) if inside else part
         if run > 1:
             free = pieces[:1] == [BLANK]
             pieces = self.merge(BLANK * (run if free else run - 1)) + pieces[free:]
+        ids: list[int] = []
         for piece in pieces:
             i = self.ids.get(piece)
             ids += [i] if i is not None else [self.byte_ids[b] for b in piece.encode()]
-        return np.array(ids, dtype="<i4").tobytes()
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, packed as little-endian 32-bit integers."""

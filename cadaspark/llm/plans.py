@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadaspark.llm import packing, sentencepiece_bpe
+from cadaspark.llm import hyperdimensional_language, packing, quality_trees, sentencepiece_bpe
+
+
+QUALITY_FROM = 0.3
 
 
 def tokenizer(name: str) -> str:
@@ -29,6 +32,32 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def remainder(key: str, divisor: int) -> Column:
+    """crc32 of an id's decimal form modulo ``divisor``."""
+    return F.crc32(F.col(key).cast("string")) % divisor
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = remainder("doc_id", 4)
+    model = hyperdimensional_language.fit(docs, fold != 2)
+    done = hyperdimensional_language.predict(docs, model, ["doc_id"])
+    return done.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = remainder("doc_id", 5)
+    forest = quality_trees.fit(docs, table(spark, sf_dir, "labels"), fold != 0)
+    done = quality_trees.score(docs, forest, ["doc_id"])
+    return done.select(
+        "doc_id",
+        F.coalesce(fold == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return pieces.select(
@@ -38,10 +67,30 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_language": op2_language,
+    "op5_quality": op5_quality,
     "op6_packing": op6_packing,
 }
 CHECKS: dict[str, str] = {}
 
 
+LANGUAGE_FROM = 0.1
+
+
+def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold, with their own columns."""
+    forest = quality_trees.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    scored = quality_trees.score(docs, forest, docs.columns)
+    return scored.where(F.col("score") >= QUALITY_FROM).select(*docs.columns)
+
+
+def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language: texts without letters or far from every language go."""
+    model = hyperdimensional_language.fit(docs, remainder("doc_id", 4) != 2)
+    judged = hyperdimensional_language.predict(docs, model, docs.columns)
+    known = (F.col("lang_pred") != hyperdimensional_language.UNKNOWN) & (F.col("score") >= LANGUAGE_FROM)
+    return judged.where(known).select(*docs.columns)
+
+
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadaspark.llm import hyperdimensional_language, packing, quality_trees, sentencepiece_bpe
+from cadaspark.llm import (
+    hyperdimensional_language,
+    packing,
+    quality_trees,
+    sentencepiece_bpe,
+    url_cascade,
+    weak_rules,
+)
 
 
 QUALITY_FROM = 0.3
@@ -45,6 +52,13 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = weak_rules.judge(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
+    )
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = remainder("doc_id", 5)
@@ -65,13 +79,66 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+RULES = [
+    url_cascade.Rule("allow", "org", "/"),
+    url_cascade.Rule("block", "example.org", "/es/"),
+    url_cascade.Rule("block", "example.org", "/en/1"),
+    url_cascade.Rule("allow", "com", "/fr/"),
+    url_cascade.Rule("block", "com", "/de/"),
+]
+# Words that put a domain on the list when they stand as a part of its own label.
+LISTED_WORDS = ["ads", "adult", "bets", "casino", "pills", "porn", "spam", "xxx"]
+LISTED_LABEL = f"^([^.]*-)?({'|'.join(LISTED_WORDS)})(-[^.]*)?([.]|$)"
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    keys = url_cascade.domain_keys(pages)
+    cascade = url_cascade.Cascade(keys.select("key", F.col("key").rlike(LISTED_LABEL).alias("listed")))
+    done = url_cascade.judge(pages, cascade, RULES)
+    return done.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language": op2_language,
+    "op3_weak_rules": op3_weak_rules,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
+    "op10_url_filter": op10_url_filter,
+}
+CHECKS: dict[str, str] = {
+    "op10_url_filter": f"""
+WITH parsed AS (
+  SELECT page_id,
+    CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), split AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parsed
+), ruled AS (
+  SELECT *,
+    CASE
+      WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+      WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/'
+    END AS rule
+  FROM split
+)
+SELECT page_id, host, path, rule,
+  CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_matches(host, '(^|[.-])({'|'.join(LISTED_WORDS)})([.-]|$)') THEN 'block'
+    ELSE 'allow'
+  END AS verdict
+FROM ruled
+""",
 }
-CHECKS: dict[str, str] = {}
 
 
 LANGUAGE_FROM = 0.1

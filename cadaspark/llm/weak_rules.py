@@ -1,8 +1,8 @@
 """Quality rules by weak supervision, in DataFrame expressions only.
 
-Each rule looks at one figure of a text and votes good, bad or abstains. Votes are counted by pattern (at most 3 to the number of
-rules), and expectation-maximisation over the patterns estimates the share of good texts and each rule's accuracy on good and
-on bad texts. A text is kept when the posterior probability of being good is at least one half and the base rule passes.
+Rules look at figures of a text and vote good, bad or abstain; most only speak up against a text, some only for it. Votes are
+counted by pattern (at most 3 to the number of rules), and expectation-maximisation over the patterns estimates how often
+each rule is right when it votes. A text is kept when the posterior probability of being good is at least one half and the base rule passes.
 
 Edge cases: a null or empty text has no words and fails the base rule; an empty table gives an empty result; repeated rows are
 judged each for itself; the figures take the whole text. Windows of three words are compared by a 64-bit hash within one text.
@@ -18,8 +18,9 @@ from cadaspark.sources.scratch import keep
 BLANK = r"[\x20\x09-\x0D]+"
 ROUNDS = 20
 KEEP_FROM = 0.5
-# What each rule is taken to know before anything is counted, and how many texts that is worth.
-START_ACCURACY, START_GOOD, PRIOR = 0.8, 0.7, 4.0
+# A text is good or bad with even chances before the votes: where single rules speak alone, as here, a share of good texts
+# estimated together with the accuracies runs off to "all good". PRIOR is how many texts the starting accuracy is worth.
+GOOD, START_ACCURACY, PRIOR = 0.5, 0.9, 4.0
 
 
 def let(value: Column, body) -> Column:
@@ -106,64 +107,51 @@ def rules() -> dict[str, Column]:
     length, symbols = share("word_chars", "n_words"), share("n_symbols", "n_words")
     twins, repeats = share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")
     upper, ended, variety = share("n_upper", "word_chars"), share("n_ended", "n_lines"), share("n_distinct", "n_words")
-    words = F.col("n_words")
+    never = F.lit(False)
+    marks = (symbols <= 0.05) & (upper <= 0.2)
     return {
-        "enough_words": vote(words >= 80, words < 50),
-        "word_length": vote(length.between(3, 10), ~length.between(2, 14)),
-        "few_symbols": vote(symbols <= 0.05, symbols > 0.3),
-        "few_twin_lines": vote((twins <= 0.05) & (F.col("n_lines") > 1), twins > 0.3),
-        "few_repeats": vote(repeats <= 0.1, repeats > 0.5),
-        "mixed_case": vote(upper.between(0.001, 0.2), upper > 0.5),
-        "ended_lines": vote(ended >= 0.7, ended < 0.2),
-        "varied_words": vote(variety >= 0.35, variety < 0.1),
+        "odd_word_length": vote(never, ~length.between(2, 14)),
+        "many_symbols": vote(never, symbols > 0.3),
+        "twin_lines": vote(never, twins > 0.3),
+        "repeated_words": vote(never, repeats > 0.3),
+        "shouting": vote(never, upper > 0.5),
+        "few_words_over_and_over": vote(never, (variety < 0.2) & (F.col("n_words") < 5000)),
+        "plain_marks": vote(marks & length.between(3, 10), never),
+        "running_text": vote(marks & (repeats <= 0.1) & (variety >= 0.2), never),
+        "whole_sentences": vote(marks & (repeats <= 0.2) & (ended >= 0.7), never),
     }
 
 
-def likelihood(names: list[str], right: dict[str, float], when_good: bool) -> Column:
-    """Product over the rules that voted; ``right`` is the accuracy on texts of that kind."""
+def likelihood(names: list[str], accuracy: dict[str, float], kind: int) -> Column:
+    """Chance of the votes that were cast on a text that is good (1) or bad (0)."""
     out = F.lit(1.0)
     for name in names:
-        says = F.col(name) == (1 if when_good else 0)
-        out = out * F.when(F.col(name) < 0, 1.0).when(says, right[name]).otherwise(1 - right[name])
+        right = F.when(F.col(name) == kind, accuracy[name]).otherwise(1 - accuracy[name])
+        out = out * F.when(F.col(name) < 0, 1.0).otherwise(right)
     return out
 
 
-def posterior(names: list[str], model: dict) -> Column:
-    good = likelihood(names, model["on_good"], True) * model["good"]
-    bad = likelihood(names, model["on_bad"], False) * (1 - model["good"])
+def posterior(names: list[str], accuracy: dict[str, float]) -> Column:
+    good = likelihood(names, accuracy, 1) * GOOD
+    bad = likelihood(names, accuracy, 0) * (1 - GOOD)
     return good / (good + bad)
 
 
-def estimate(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict:
-    """Share of good texts and accuracies of the rules, by expectation-maximisation over counted vote patterns."""
-    model = {
-        "good": START_GOOD,
-        "on_good": dict.fromkeys(names, START_ACCURACY),
-        "on_bad": dict.fromkeys(names, START_ACCURACY),
-    }
+def estimate(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict[str, float]:
+    """Accuracies of the rules, by expectation-maximisation over counted vote patterns."""
+    accuracy = dict.fromkeys(names, START_ACCURACY)
     patterns = keep(votes.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "vote-patterns")
+    q, n = F.col("q"), F.col("n")
+    sums = []
+    for i, name in enumerate(names):
+        right = F.when(F.col(name) == 1, n * q).when(F.col(name) == 0, n * (1 - q)).otherwise(0)
+        sums += [F.sum(right).alias(f"right{i}"), F.sum(F.when(F.col(name) >= 0, n).otherwise(0)).alias(f"cast{i}")]
     for _ in range(rounds):
-        q, n = F.col("q"), F.col("n")
-        sums = [F.sum(n).alias("n"), F.sum(n * q).alias("good")]
-        for i, name in enumerate(names):
-            voted = F.when(F.col(name) >= 0, n).otherwise(0)
-            sums += [
-                F.sum(voted * q).alias(f"g{i}"), F.sum(F.when(F.col(name) == 1, n * q).otherwise(0)).alias(f"gr{i}"),
-                F.sum(voted * (1 - q)).alias(f"b{i}"), F.sum(F.when(F.col(name) == 0, n * (1 - q)).otherwise(0)).alias(f"br{i}"),
-            ]
-        row = patterns.withColumn("q", posterior(names, model)).agg(*sums).first()
-        if not row["n"]:
-            return model
-
-        def smooth(right: float, of: float) -> float:
-            return (right + PRIOR * START_ACCURACY) / (of + PRIOR)
-
-        model = {
-            "good": (row["good"] + PRIOR * START_GOOD) / (row["n"] + PRIOR),
-            "on_good": {name: smooth(row[f"gr{i}"], row[f"g{i}"]) for i, name in enumerate(names)},
-            "on_bad": {name: smooth(row[f"br{i}"], row[f"b{i}"]) for i, name in enumerate(names)},
+        row = patterns.withColumn("q", posterior(names, accuracy)).agg(*sums).first()
+        accuracy = {
+            name: ((row[f"right{i}"] or 0) + PRIOR * START_ACCURACY) / ((row[f"cast{i}"] or 0) + PRIOR) for i, name in enumerate(names)
         }
-    return model
+    return accuracy
 
 
 def judge(df: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -172,7 +160,7 @@ def judge(df: DataFrame, text: str = "text", carry: list[str] | None = None) ->
     votes = rules()
     measured = keep(figures(df, text, keys).select("*", *[c.alias(n) for n, c in votes.items()]), "text-figures")
     names = list(votes)
-    model = estimate(measured, names)
+    accuracy = estimate(measured, names)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    done = measured.withColumns({"base_failed": failed, "posterior": posterior(names, model)})
+    done = measured.withColumns({"base_failed": failed, "posterior": posterior(names, accuracy)})
     return done.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP_FROM))

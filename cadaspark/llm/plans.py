@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadaspark.llm import (
     hyperdimensional_language,
+    jaccard_regions,
     packing,
     quality_trees,
     sentencepiece_bpe,
@@ -59,6 +60,10 @@ def op3_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_regions.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = remainder("doc_id", 5)
@@ -103,6 +108,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language": op2_language,
     "op3_weak_rules": op3_weak_rules,
+    "op4_jaccard": op4_jaccard,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op10_url_filter": op10_url_filter,
@@ -159,5 +165,10 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return judged.where(known).select(*docs.columns)
 
 
+def stage_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard_regions.one_of_each(docs)
+
+
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadaspark.llm import (
+    hilbert_neighbours,
     hyperdimensional_language,
     jaccard_regions,
     packing,
@@ -84,6 +85,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 RULES = [
     url_cascade.Rule("allow", "org", "/"),
     url_cascade.Rule("block", "example.org", "/es/"),
@@ -111,9 +116,11 @@ QUERIES = {
     "op4_jaccard": op4_jaccard,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
+    "op8_hilbert": op8_hilbert,
     "op10_url_filter": op10_url_filter,
 }
 CHECKS: dict[str, str] = {
+    "op8_hilbert": op8_hilbert,
     "op10_url_filter": f"""
 WITH parsed AS (
   SELECT page_id,

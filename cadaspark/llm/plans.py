@@ -9,7 +9,9 @@ from cadaspark.llm import (
     hilbert_neighbours,
     hyperdimensional_language,
     jaccard_regions,
+    license_alignment,
     packing,
+    page_trees,
     quality_trees,
     sentencepiece_bpe,
     url_cascade,
@@ -85,10 +87,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_alignment.scan(table(spark, sf_dir, "documents"), license_alignment.TEMPLATES, ["doc_id"])
+
+
 def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    done = page_trees.extract(pages, page_trees.fit(pages), ["page_id", "url"])
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 RULES = [
     url_cascade.Rule("allow", "org", "/"),
     url_cascade.Rule("block", "example.org", "/es/"),
@@ -116,11 +128,15 @@ QUERIES = {
     "op4_jaccard": op4_jaccard,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
+    "op7_licenses": op7_licenses,
     "op8_hilbert": op8_hilbert,
+    "op9_pages": op9_pages,
     "op10_url_filter": op10_url_filter,
 }
 CHECKS: dict[str, str] = {
+    "op7_licenses": op7_licenses,
     "op8_hilbert": op8_hilbert,
+    "op9_pages": op9_pages,
     "op10_url_filter": f"""
 WITH parsed AS (
   SELECT page_id,

@@ -37,6 +37,14 @@ def int_lists(packed: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_text(
     df: DataFrame,
     text: str,
@@ -48,7 +56,7 @@ def map_text(
 
     ``build`` runs once per task and returns a function from a list of texts to Arrow columns with a value per text.
     """
-    narrow = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").cast("string").alias("__text"))
+    narrow = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").cast("string").alias(fresh(df, "text_to_map")))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
     last = len(carry)
 

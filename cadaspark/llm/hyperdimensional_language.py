@@ -115,6 +115,8 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, dimensions: int =
         encoder, sums = Encoder(dimensions), {}
         for batch in slices(batches, 1):
             vectors = encoder.texts(batch.column(1).to_pylist())
+            # each text counts alike, however long
+            vectors = 1000 * vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
             for lang in set(langs):
                 sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(axis=0, dtype=np.float64)
@@ -133,8 +135,11 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, dimensions: int =
     return names, np.array([learned[n] / np.linalg.norm(learned[n]) for n in names]).reshape(len(names), dimensions)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[str], text: str = "text") -> DataFrame:
-    """``carry`` columns, ``lang_pred`` and ``score`` (the cosine)."""
+def predict(
+    docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[str], text: str = "text",
+    out: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """``carry`` columns, the predicted language and its score (the cosine), named by ``out``."""
     names, prototypes = model
     shared = docs.sparkSession.sparkContext.broadcast(prototypes)
     dimensions = prototypes.shape[1]
@@ -155,4 +160,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[st
 
         return work
 
-    return map_text(docs, text, carry, "lang_pred string, score double", build)
+    return map_text(docs, text, carry, f"{out[0]} string, {out[1]} double", build)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadaspark.llm.arrow import slices
+from cadaspark.llm.arrow import fresh, slices
 
 GRAM, WINDOW, BAND, COVERAGE = 3, 2, 8, 0.85
 
@@ -154,21 +154,25 @@ def matches(index: Index, text: str | None) -> list[tuple[str, int, int, float,
     """(license, matched words, template words, coverage, start, end) with character offsets, in order of place."""
     words = words_of(text or "")
     codes = np.array([index.code.get(w, 0) for w in words], dtype=np.int64)
-    found = index.candidates(codes)
-    if not found:
-        return []
-    text_codes, out = codes.tolist(), []
-    for name, low, high, _ in found:
-        template = index.codes[name]
-        count, start, end = align(template, text_codes, low, high)
-        if count >= COVERAGE * len(template):
-            out.append((name, count, len(template), start, end))
-    # of overlapping matches the one with most matched words stays
-    out.sort(key=lambda r: (-r[1], -r[1] / r[2], r[3], r[0]))
     kept: list[tuple[str, int, int, int, int]] = []
-    for r in out:
-        if not any(r[3] <= k[4] and k[3] <= r[4] for k in kept):
-            kept.append(r)
+    while found := index.candidates(codes):
+        text_codes, out = codes.tolist(), []
+        for name, low, high, _ in found:
+            template = index.codes[name]
+            count, start, end = align(template, text_codes, low, high)
+            if count >= COVERAGE * len(template):
+                out.append((name, count, len(template), start, end))
+        # of overlapping matches the one with most matched words stays
+        out.sort(key=lambda r: (-r[1], -r[1] / r[2], r[3], r[0]))
+        new: list[tuple[str, int, int, int, int]] = []
+        for r in out:
+            if not any(r[3] <= k[4] and k[3] <= r[4] for k in [*kept, *new]):
+                new.append(r)
+        if not new:
+            break
+        kept += new
+        for r in new:  # what is taken hides no other occurrence in the next look
+            codes[r[3] : r[4] + 1] = 0
     spans = [m.span() for m in WORD.finditer(text)] if kept else []
     rows = [(n, c, size, c / size, spans[s][0], spans[e][1]) for n, c, size, s, e in kept]
     return sorted(rows, key=lambda r: (r[4], r[5], r[0]))
@@ -176,7 +180,7 @@ def matches(index: Index, text: str | None) -> list[tuple[str, int, int, float,
 
 def scan(df: DataFrame, templates: dict[str, str], carry: list[str], text: str = "text") -> DataFrame:
     """One row per occurrence: ``carry`` columns, license, matched_words, template_words, coverage, start, end (characters)."""
-    narrow = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").cast("string").alias("__text"))
+    narrow = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").cast("string").alias(fresh(df, "text_to_scan")))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
     last = len(carry)
 

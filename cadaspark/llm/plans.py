@@ -17,6 +17,7 @@ from cadaspark.llm import (
     url_cascade,
     weak_rules,
 )
+from cadaspark.llm.arrow import fresh
 
 
 QUALITY_FROM = 0.3
@@ -176,16 +177,18 @@ LANGUAGE_FROM = 0.1
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold, with their own columns."""
     forest = quality_trees.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
-    scored = quality_trees.score(docs, forest, docs.columns)
-    return scored.where(F.col("score") >= QUALITY_FROM).select(*docs.columns)
+    score = fresh(docs, "score")
+    scored = quality_trees.score(docs, forest, docs.columns, out=score)
+    return scored.where(F.col(score) >= QUALITY_FROM).drop(score)
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language: texts without letters or far from every language go."""
     model = hyperdimensional_language.fit(docs, remainder("doc_id", 4) != 2)
-    judged = hyperdimensional_language.predict(docs, model, docs.columns)
-    known = (F.col("lang_pred") != hyperdimensional_language.UNKNOWN) & (F.col("score") >= LANGUAGE_FROM)
-    return judged.where(known).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    judged = hyperdimensional_language.predict(docs, model, docs.columns, out=(lang, score))
+    known = (F.col(lang) != hyperdimensional_language.UNKNOWN) & (F.col(score) >= LANGUAGE_FROM)
+    return judged.where(known).drop(lang, score)
 
 
 def stage_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

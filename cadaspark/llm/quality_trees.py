@@ -88,12 +88,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
     return boosting.train(x, (rows["quality"] > 0).to_numpy())
 
 
-def score(docs: DataFrame, forest: boosting.Forest, carry: list[str], text: str = "text") -> DataFrame:
-    """``carry`` columns and ``score``, the probability of the good label."""
+def score(docs: DataFrame, forest: boosting.Forest, carry: list[str], text: str = "text", out: str = "score") -> DataFrame:
+    """``carry`` columns and ``out``, the probability of the good label."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def build() -> Callable:
         trees = shared.value
         return lambda texts: [pa.array(trees.probability(matrix(texts)))]
 
-    return map_text(docs, text, carry, "score double", build)
+    return map_text(docs, text, carry, f"{out} double", build)

@@ -183,16 +183,20 @@ def extract_parcels(submissions: DataFrame, points: DataFrame, use_zone_trial: b
     facts = rings.ring_facts(placed)
     flips = flip_test(submissions, tagged)
     kind = points.groupBy("run_id").agg(F.min("fmt").alias("fmt"))
-    text = submissions.select("run_id", "coordinate_hint", F.contains("raw_text", F.lit("GRID_REF")).alias("grid_ref"))
+    stated = c("stated_area_ha") if "stated_area_ha" in submissions.columns else F.lit(None)
+    text = submissions.select(
+        "run_id", "coordinate_hint", F.contains("raw_text", F.lit("GRID_REF")).alias("grid_ref"), stated.cast("double").alias("stated_ha")
+    )
     joined = facts.join(detected, "run_id").join(kind, "run_id").join(text, "run_id").join(flips, "run_id", "left")
     inside = c("inside_region") & F.coalesce(c("coordinate_hint") != "UTM_SWAPPED", F.lit(True))
     joined = joined.withColumn("inside_region", inside)
+    discrepancy = rings.area_discrepancy(c("area_ha"), c("stated_ha"))["discrepancy_pct"]
     return joined.select(
         "run_id", "fmt", "detected_crs", "crs_confidence", "method", "points", "closed", "error_code",
         "centroid_lat", "centroid_lng", "area_ha", "inside_region",
         (~c("inside_region") & F.coalesce(c("flip_inside"), F.lit(False))).alias("flip_tested"),
         rings.dialog_triggers(
-            c("crs_confidence"), c("inside_region"), F.lit(None).cast("double"), c("minna_detected"), c("fmt") == "DMS", c("grid_ref")
+            c("crs_confidence"), c("inside_region"), discrepancy, c("minna_detected"), c("fmt") == "DMS", c("grid_ref")
         ).alias("dialogs"),
     )
 

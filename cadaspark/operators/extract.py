@@ -47,11 +47,14 @@ def parse_auto(submissions: DataFrame) -> DataFrame:
     return points.unionByName(tabled)
 
 
-def parse_errors(submissions: DataFrame, points: DataFrame) -> DataFrame:
-    """Error rows for submissions without coordinates."""
-    return submissions.join(points, "run_id", "left_anti").select(
-        "run_id", F.lit("COORD_EXTRACT").alias("stage"), F.lit("NO_COORDINATES_DETECTED").alias("error_code")
-    )
+def extraction_errors(submissions: DataFrame, parcels: DataFrame) -> DataFrame:
+    """One error row for each submission that gave no usable parcel.
+
+    ``parcels``: run_id, error_code. Submissions without a row there hold no coordinates.
+    """
+    told = submissions.select("run_id").join(parcels.select("run_id", "error_code", F.lit(True).alias("found")), "run_id", "left")
+    code = F.when(F.col("found").isNull(), "NO_COORDINATES_DETECTED").otherwise(F.col("error_code"))
+    return told.select("run_id", F.lit("COORD_EXTRACT").alias("stage"), code.alias("error_code")).filter("error_code IS NOT NULL")
 
 
 def text_lines(submissions: DataFrame, text: str = "raw_text") -> DataFrame:

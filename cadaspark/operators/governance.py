@@ -9,9 +9,6 @@ from cadaspark.functions import textrules
 from cadaspark.functions.numeric import rnd
 from cadaspark.operators.ordered import with_next
 
-ALLOW_LITERALS = 1000
-
-
 def prohibited_phrases(reports: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """One row per phrase found in each text field."""
     unpivoted = reports.select(
@@ -65,21 +62,17 @@ def credential_overlap(owners: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason).filter("reason IS NOT NULL")
 
 
-def parse_allow_list(raw: str | None) -> list[str] | None:
-    ids = [part.strip() for part in (raw or "").split(",") if part.strip()]
-    return ids or None
+def parse_allow_list(raw: DataFrame, column: str) -> DataFrame:
+    """(allowed) from comma-separated lists: trimmed, without blanks, each id once."""
+    parts = raw.select(F.explode(F.split(column, ",")).alias("part")).select(F.btrim("part").alias("allowed"))
+    return parts.filter("allowed <> ''").distinct()
 
 
-def allow_list_filter(rows: DataFrame, column: str, raw: str | None) -> DataFrame:
-    """Keep rows whose id is listed; an empty list keeps everything."""
-    ids = parse_allow_list(raw)
-    if ids is None:
+def allow_list_filter(rows: DataFrame, column: str, allowed: DataFrame) -> DataFrame:
+    """Keep rows whose id is in ``allowed`` (allowed string); an empty list keeps everything."""
+    if allowed.isEmpty():
         return rows
-    text = F.col(column).cast("string")
-    if len(ids) <= ALLOW_LITERALS:
-        return rows.filter(text.isin(ids))
-    listed = rows.sparkSession.createDataFrame([(i,) for i in set(ids)], "allowed string")
-    return rows.join(listed, text == F.col("allowed"), "left_semi")
+    return rows.join(allowed, F.col(column).cast("string") == F.col("allowed"), "left_semi")
 
 
 def audit_log_stats(events: DataFrame) -> DataFrame:

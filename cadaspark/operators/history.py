@@ -75,7 +75,7 @@ def percentile(rows: DataFrame, key: str) -> DataFrame:
 
 
 def history_page(
-    reports: DataFrame, user: str, state: str | None = None, light: str | None = None, limit: int = 50, offset: int = 0
+    reports: DataFrame, user: str, limit: int, state: str | None = None, light: str | None = None, offset: int = 0
 ) -> DataFrame:
     """One user's reports, newest first; the area is read from the stored JSON of the page only."""
     c = F.col

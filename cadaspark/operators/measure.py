@@ -20,7 +20,8 @@ def measure(parcels: DataFrame, rivers: DataFrame, roads: DataFrame, dem: DataFr
     out = raster.sample_elevation(out, dem)
     out = raster.slope_pct(out, dem)
     out = raster.sample_ndwi_ndvi(out, indices)
-    return parcels.drop(*MEASURED).join(out.select("lat", "lng", *MEASURED), ["lat", "lng"])
+    # a parcel without a position stays, unmeasured
+    return parcels.drop(*MEASURED).join(out.select("lat", "lng", *MEASURED), ["lat", "lng"], "left")
 
 
 def screen(parcels: DataFrame, rivers: DataFrame, roads: DataFrame, dem: DataFrame, indices: DataFrame) -> DataFrame:

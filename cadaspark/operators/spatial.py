@@ -62,7 +62,7 @@ def nearest_facility(lat: Column, lng: Column) -> dict[str, Column]:
 def building_rings(parcels: DataFrame, buildings: DataFrame) -> DataFrame:
     counts = cells.ring_counts(parcels, buildings, RING_RADII_M)
     named = counts.select("lat", "lng", *[F.col(f"within_{i}").alias(n) for i, n in enumerate(("n1", "n5", "n10"))])
-    return parcels.join(named, ["lat", "lng"])
+    return parcels.join(named, ["lat", "lng"], "left")
 
 
 def _polygon_hits(points: DataFrame, edges: DataFrame, margin: float) -> DataFrame:

@@ -108,15 +108,19 @@ QUERIES = {
     "transform_to_wgs84": transform,
     "flip_test": flip,
     "apply_dialog_answers": answers,
-    "extract_parcels": lambda spark, sf: _extracted(spark, sf),
+    "extract_parcels": lambda spark, sf: _extracted(spark, sf).filter("error_code IS NULL"),
+    "extract_errors": lambda spark, sf: extract.extraction_errors(b.surveys(spark, sf), _extracted(spark, sf)),
 }
 
 
 def _extracted(spark, sf):
-    out = crs.extract_parcels(b.surveys(spark, sf), _points(spark, sf))
+    subs = b.surveys(spark, sf).withColumn("stated_area_ha", F.expr(STATED))
+    out = crs.extract_parcels(subs, _points(spark, sf))
     return out.withColumn("dialogs", F.array_join("dialogs", ","))
 
 
+# Area that a submission states, in hectares; every fourth states none.
+STATED = "CASE WHEN run_id % 4 > 0 THEN 1e0 * (1 + run_id % 13) END"
 _q = px._q
 _mk = {z: "/(?:" + "|".join(s) + ")/" for z, s in crs.MARKERS.items()}
 _bx = geo.COUNTRY_BOX
@@ -210,6 +214,11 @@ def _facts(source: str) -> dict[str, str]:
     return {"ed": pr._ring(source, "lng", "lat", "ed")["ed"], "facts": pr.FACTS["facts"]}
 
 
+_EXTRACT = {**PLACED, **{k: v for k, v in FLIP.items() if k not in TAG}, **_facts("pl"), "kd": "SELECT run_id, min(fmt) AS fmt FROM au GROUP BY run_id",
+      "j": "SELECT facts.*, fmt, detected_crs, crs_confidence, method, minna, raw_text, inside_region AND coalesce(coordinate_hint<>'UTM_SWAPPED',true) AS ins, coalesce(flip_inside,false) AS fi FROM facts JOIN dt USING (run_id) JOIN kd USING (run_id) JOIN sv USING (run_id) LEFT JOIN fl USING (run_id)"}
+_PARCELS = f"""SELECT run_id, fmt, detected_crs, crs_confidence, method, points, closed, error_code, centroid_lat, centroid_lng, area_ha, ins AS inside_region, NOT ins AND fi AS flip_tested,
+       concat_ws(',', CASE WHEN crs_confidence<60 THEN 'T1' END, CASE WHEN NOT ins THEN 'T2' END, CASE WHEN st>0 AND abs(floor(abs((area_ha-st)/st*100e0)*100e0+0.5e0)/100e0)>10 THEN 'T3' END, CASE WHEN minna THEN 'T4' END, CASE WHEN fmt='DMS' THEN 'T5' END, CASE WHEN contains(raw_text,'GRID_REF') THEN 'T6' END) AS dialogs FROM (SELECT *, {STATED} AS st FROM j)"""
+
 CHECKS = {
     "detect_crs": with_(_detect(False), "SELECT run_id, detected_crs, crs_confidence, method FROM dt"),
     "detect_crs_trial": with_(_detect(True), "SELECT run_id, detected_crs, crs_confidence, method FROM dt"),
@@ -225,8 +234,7 @@ CHECKS = {
       "tv": "SELECT v.run_id, seq, CASE WHEN t2='swap' THEN lng ELSE lat END AS lat, CASE WHEN t2='swap' THEN lat ELSE lng END AS lng FROM v LEFT JOIN an USING (run_id)", **_facts("tv")},
       """SELECT facts.run_id, CASE WHEN t1 IN ('WGS84','UTM_32N') THEN t1 ELSE detected_crs END AS detected_crs, CASE WHEN t1 IN ('WGS84','UTM_32N') THEN 100e0 ELSE crs_confidence END AS crs_confidence,
        centroid_lat, centroid_lng, area_ha, inside_region, CASE WHEN t6='approximate' THEN 'POS_ACCURACY: APPROXIMATE' END AS warning FROM facts JOIN sd USING (run_id) LEFT JOIN an USING (run_id)"""),
-    "extract_parcels": with_({**PLACED, **{k: v for k, v in FLIP.items() if k not in TAG}, **_facts("pl"), "kd": "SELECT run_id, min(fmt) AS fmt FROM au GROUP BY run_id",
-      "j": "SELECT facts.*, fmt, detected_crs, crs_confidence, method, minna, raw_text, inside_region AND coalesce(coordinate_hint<>'UTM_SWAPPED',true) AS ins, coalesce(flip_inside,false) AS fi FROM facts JOIN dt USING (run_id) JOIN kd USING (run_id) JOIN sv USING (run_id) LEFT JOIN fl USING (run_id)"},
-      """SELECT run_id, fmt, detected_crs, crs_confidence, method, points, closed, error_code, centroid_lat, centroid_lng, area_ha, ins AS inside_region, NOT ins AND fi AS flip_tested,
-       concat_ws(',', CASE WHEN crs_confidence<60 THEN 'T1' END, CASE WHEN NOT ins THEN 'T2' END, CASE WHEN minna THEN 'T4' END, CASE WHEN fmt='DMS' THEN 'T5' END, CASE WHEN contains(raw_text,'GRID_REF') THEN 'T6' END) AS dialogs FROM j"""),
+    "extract_parcels": with_(_EXTRACT, f"SELECT * FROM ({_PARCELS}) WHERE error_code IS NULL"),
+    "extract_errors": with_(_EXTRACT, f"""SELECT run_id, 'COORD_EXTRACT' AS stage, error_code FROM j WHERE error_code IS NOT NULL UNION ALL
+      SELECT run_id, 'COORD_EXTRACT', 'NO_COORDINATES_DETECTED' FROM sv WHERE run_id NOT IN (SELECT run_id FROM j)"""),
 }

@@ -59,6 +59,8 @@ HOSTS = [
     "ELSE CASE WHEN p_partkey % 3 = 0 THEN '172' WHEN p_partkey % 3 = 1 THEN '192' ELSE CAST(p_partkey * 11 % 256 AS STRING) END || '.' || CASE WHEN p_partkey % 5 = 0 THEN '168' ELSE CAST(p_partkey * 13 % 300 AS STRING) END "
     "|| '.' || CAST(p_partkey * 7 % 4 AS STRING) || '.' || CAST(p_partkey % 256 AS STRING) END AS host",
 ]
+# Widths that the stored columns have; the functions themselves cut nothing.
+SUMMARY_CHARS, MOST_STARS, STORED_CHARS = 500, 20, 240
 OWNERS = [
     "c_custkey AS owner",
     "CASE WHEN c_custkey % 3 = 0 THEN 'telegram' WHEN c_custkey % 3 = 1 THEN 'discord' ELSE 'slack' END AS channel",
@@ -104,7 +106,7 @@ def phrases(spark, sf):
 
 
 def summary(spark, sf):
-    cols = t.parse_summary(c("raw"))
+    cols = t.parse_summary(c("raw"), fallback_chars=SUMMARY_CHARS)
     out = _texts(spark, sf).selectExpr(*ANSWER).select("id", *[v.alias(k) for k, v in cols.items()])
     return out.select("id", F.md5("summary").alias("summary_digest"), F.md5("recommendation").alias("recommendation_digest"))
 
@@ -119,18 +121,25 @@ def hosts(spark, sf):
     return made.unionByName(pages).select("id", "host", t.private_host(c("host")).alias("private"))
 
 
+def allowed_events(spark, sf):
+    """Events of the users that the suppliers of nation 3 list: each gives its own number and its remainder by 50."""
+    lists = b.table(spark, sf, "supplier").filter("s_nationkey = 3").selectExpr("concat(' ', s_suppkey, ',, ', s_suppkey % 50, ' ') AS ids")
+    kept = g.allow_list_filter(b.table(spark, sf, "events"), "user_id", g.parse_allow_list(lists, "ids"))
+    return kept.select("event_id", "user_id", "event_type")
+
+
 QUERIES = {
     "input_hazard": hazard,
     "scrub_text": _text_query(SCRUB_TEXT, t.scrub_text),
     "prohibited_phrases": phrases,
     "parse_summary": summary,
-    "redact_partial": _text_query(SECRET_TEXT, t.redact_partial),
+    "redact_partial": _text_query(SECRET_TEXT, lambda x: t.redact_partial(x, most_stars=MOST_STARS)),
     "redact_full": _text_query(SECRET_TEXT, t.redact_full),
-    "redact_sensitive": _text_query(SECRET_TEXT, t.redact_sensitive),
+    "redact_sensitive": _text_query(SECRET_TEXT, lambda x: t.redact_sensitive(x, width=STORED_CHARS)),
     "redact_url": url,
     "private_host": hosts,
     "credential_overlap": lambda spark, sf: g.credential_overlap(b.table(spark, sf, "customer").selectExpr(*OWNERS)),
-    "allow_list_filter": lambda spark, sf: g.allow_list_filter(b.table(spark, sf, "events"), "user_id", " 3, 5,,8 ,12").select("event_id", "user_id", "event_type"),
+    "allow_list_filter": allowed_events,
     "audit_log_stats": lambda spark, sf: g.audit_log_stats(b.table(spark, sf, "events").selectExpr(*AUDIT)),
 }
 
@@ -145,7 +154,7 @@ def _texted(cols: list[str], out: str) -> str:
 _BL = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
 _hk = "CASE " + " ".join(f"WHEN regexp_matches(text, {_q('(?i)' + p)}) THEN '{k}'" for k, p in t.HAZARDS) + " END"
 _hm = "CASE " + " ".join(
-    f"WHEN regexp_matches(text, {_q('(?i)' + p)}) THEN left(regexp_extract(text, {_q('(?i)' + p)}), 60)" for _, p in t.HAZARDS
+    f"WHEN regexp_matches(text, {_q('(?i)' + p)}) THEN regexp_extract(text, {_q('(?i)' + p)})" for _, p in t.HAZARDS
 ) + " END"
 _rr = lambda x, p, r: f"regexp_replace({x}, {_q(p)}, {_q(r)}, 'g')"
 _esc = lambda p: "(?i)" + "".join("\\" + ch if ch in ".[]()%/:" else ch for ch in p)
@@ -154,13 +163,14 @@ for _p, _r in t.PROHIBITED + t.LEAKAGE:
     _scr = _rr(_scr, _esc(_p), _r)
 _scr = f"trim({_rr(_rr(_scr, t.PATH_PATTERN, '[path redacted]'), t.PORT_PATTERN, '')}, {_BL})"
 _full = _rr(_rr(_rr(_rr("text", t.SECRET_KEYS, r"\1=<REDACTED>"), t.TOKEN_SHAPES, "<REDACTED>"), t.BEARER, r"\1<REDACTED>"), t.BOT_PATH, "/bot<REDACTED>/")
-_sens = f"left({_rr(_rr(_rr('text', t.NAMED_KEYS, chr(92) + '1=<REDACTED>'), '(?i)Bearer' + chr(92) + 's+' + chr(92) + 'S+', 'Bearer <REDACTED>'), t.TOKEN_SHAPES, '<REDACTED>')}, 240)"
+_sens_all = f"{_rr(_rr(_rr('text', t.NAMED_KEYS, chr(92) + '1=<REDACTED>'), '(?i)Bearer' + chr(92) + 's+' + chr(92) + 'S+', 'Bearer <REDACTED>'), t.TOKEN_SHAPES, '<REDACTED>')}"
+_sens = f"left({_sens_all}, {STORED_CHARS})"
 _ALL = f"(?:{t.SECRET_KEYS}|{t.TOKEN_SHAPES}|{t.BEARER})"
 _u = _rr(_rr("text", r"(https?://)[^/\s'\"@]*@", r"\1****:****@"), t.SIGNED_PARAM.replace("[^&#]*", r"[^&#\s'\"]*", 2), r"\1=****")
-_part = f"""(SELECT coalesce(string_agg(sp || coalesce(left(m,4) || repeat('*', CAST(least(greatest(length(m)-4,0),20) AS BIGINT)),''), '' ORDER BY i),'') FROM
+_part = f"""(SELECT coalesce(string_agg(sp || coalesce(left(m,4) || repeat('*', CAST(least(greatest(length(m)-4,0),{MOST_STARS}) AS BIGINT)),''), '' ORDER BY i),'') FROM
   (SELECT i, regexp_split_to_array({_u}, {_q(_ALL)})[i] AS sp, regexp_extract_all({_u}, {_q(_ALL)})[i] AS m FROM unnest(range(1, len(regexp_split_to_array({_u}, {_q(_ALL)}))+1)) r(i)))"""
 _ex = lambda lab: f"coalesce(trim(regexp_extract_all(raw, '(?im)^(?:{lab}):(.*)$', 1)[-1], {_BL}), '')"
-_SENSURL = _sens.replace("text", "url")
+_SENSURL = _sens_all.replace("text", "url")
 _fields = "['executive_summary','ai_recommendation','flood_reason','growth_notes']"
 _V4 = "CAST(split_part(h,'.',1) AS BIGINT)*16777216+CAST(split_part(h,'.',2) AS BIGINT)*65536+CAST(split_part(h,'.',3) AS BIGINT)*256+CAST(split_part(h,'.',4) AS BIGINT)"
 _nets = " OR ".join(
@@ -174,7 +184,7 @@ CHECKS = {
       UNION ALL SELECT id, 'flood_reason', 'no government acquisition risk' FROM s WHERE id%5=0),
       w AS (SELECT unnest([{', '.join(_q(p) for p, _ in t.PROHIBITED)}]) AS phrase) SELECT id, field, phrase FROM f JOIN w ON contains(lower(text), phrase)""",
     "parse_summary": f"""WITH {_TX}, s AS ({_sel(ANSWER, 'tx')}), o AS (SELECT id, raw, {_ex('EXECUTIVE_SUMMARY')} AS su, {_ex('RECOMMENDATION|AI_RECOMMENDATION')} AS re FROM s)
-      SELECT id, md5(CASE WHEN su='' THEN trim(left(raw,500), {_BL}) ELSE su END) AS summary_digest,
+      SELECT id, md5(CASE WHEN su='' THEN trim(left(raw,{SUMMARY_CHARS}), {_BL}) ELSE su END) AS summary_digest,
       md5(CASE WHEN contains(lower(re), lower({_q(t.DISCLAIMER)})) THEN re ELSE CASE WHEN re='' THEN {_q(t.DEFAULT_ADVICE)} ELSE re END || ' ' || {_q(t.DISCLAIMER)} END) AS recommendation_digest FROM o""",
     "redact_partial": _texted(SECRET_TEXT, _part),
     "redact_full": _texted(SECRET_TEXT, _full),
@@ -191,7 +201,7 @@ CHECKS = {
        a.hash_1 IS NULL OR b.hash_1 IS NULL OR (a.two_keys AND (a.hash_2 IS NULL OR b.hash_2 IS NULL)) AS u FROM o a JOIN o b ON a.channel=b.channel AND a.owner<>b.owner),
       k AS (SELECT channel, owner, count(*) FILTER (m) AS matching_partners, count(*) FILTER (NOT m AND u) AS unknown_partners FROM pr GROUP BY ALL)
       SELECT *, CASE WHEN matching_partners>0 THEN 'matching-token' ELSE 'unknown-token' END AS reason FROM k WHERE matching_partners+unknown_partners>0""",
-    "allow_list_filter": "SELECT event_id, user_id, event_type FROM events WHERE user_id IN (3,5,8,12)",
+    "allow_list_filter": "SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey=3 UNION ALL SELECT s_suppkey%50 FROM supplier WHERE s_nationkey=3)",
     "audit_log_stats": f"""WITH a AS ({_sel(AUDIT, 'events')}), n AS (SELECT *, lead(action) OVER w AS na, lead(ts) OVER w AS nt FROM a WHERE action IN ('shields_down','shields_up','shields_auto_restore') WINDOW w AS (PARTITION BY sandbox ORDER BY ts, event_id)),
       d AS (SELECT *, CASE WHEN action='shields_down' AND na<>'shields_down' THEN (epoch_us(nt)-epoch_us(ts))/1e6 END AS s FROM n),
       g AS (SELECT sandbox, count(*) FILTER (action='shields_down') AS downs, count(*) FILTER (action='shields_up') AS ups, count(*) FILTER (action='shields_auto_restore') AS auto_restores, count(s) AS closed_periods, {rnd('avg(s)', 2)} AS mean_down_s, {rnd('max(s)', 2)} AS max_down_s FROM d GROUP BY sandbox),

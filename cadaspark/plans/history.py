@@ -126,7 +126,7 @@ QUERIES = {
     "lga_benchmark": lambda spark, sf: history.lga_benchmark(_measured(spark, sf)),
     "benchmark_incremental": incremental,
     "benchmark_percentile": lambda spark, sf: history.percentile(_measured(spark, sf), "parcel_id"),
-    "history_page": lambda spark, sf: history.history_page(b.reports(spark, sf), "u6", None, "green", 50, 5),
+    "history_page": lambda spark, sf: history.history_page(b.reports(spark, sf), "u6", limit=50, light="green", offset=5),
     "report_by_id": by_id,
     "latest_report": latest,
     "data_sources": lambda spark, sf: history.data_sources(b.lineage(spark, sf)),

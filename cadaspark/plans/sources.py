@@ -186,8 +186,8 @@ CHECKS = {
     "stream_benchmark": f"WITH e AS ({_EV}), r AS (SELECT {', '.join(AREA_ROWS)} FROM e) SELECT state, lga, count(*) AS report_count, {_means} FROM r GROUP BY state, lga",
     "submission_windows": f"""WITH e AS ({_EV}), t AS (SELECT 'tumbling' AS kind, us//21600000000*21600000000 AS start_us, 21600000000 AS len, stage FROM e UNION ALL
        SELECT 'sliding', (us//21600000000-d)*21600000000, 43200000000, stage FROM e, (SELECT unnest([0,1]) AS d)),
-      o AS (SELECT *, CASE WHEN us-lag(us) OVER (ORDER BY us)<1800000000 THEN 0 ELSE 1 END AS brk FROM e), s AS (SELECT us, stage, sum(brk) OVER (ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM o)
-      SELECT kind, start_us, start_us+len AS end_us, count(*) AS runs, count(*) FILTER (stage='ERROR') AS errors FROM t GROUP BY ALL UNION ALL
-      SELECT 'session', min(us), max(us)+1800000000, count(*), count(*) FILTER (stage='ERROR') FROM s GROUP BY k""",
-    "call_limit": f"WITH e AS ({_EV}), i AS (SELECT *, sum(CASE WHEN valid THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM e), s AS (SELECT run_id, k, count(*) AS n FROM i WHERE NOT valid GROUP BY ALL) SELECT run_id, max(n) AS longest, max(n)>3 AS abort FROM s GROUP BY run_id",
+      o AS (SELECT *, CASE WHEN us-lag(us) OVER (PARTITION BY run_id ORDER BY us)<1800000000 THEN 0 ELSE 1 END AS brk FROM e), s AS (SELECT run_id, us, stage, sum(brk) OVER (PARTITION BY run_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM o)
+      SELECT kind, CAST(NULL AS BIGINT) AS run_id, start_us, start_us+len AS end_us, count(*) AS runs, count(*) FILTER (stage='ERROR') AS errors FROM t GROUP BY ALL UNION ALL
+      SELECT 'session', run_id, min(us), max(us)+1800000000, count(*), count(*) FILTER (stage='ERROR') FROM s GROUP BY run_id, k""",
+    "call_limit": f"WITH e AS ({_EV}), i AS (SELECT *, sum(CASE WHEN valid THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM e), s AS (SELECT run_id, k, count(*) AS n FROM i WHERE NOT valid GROUP BY ALL) SELECT r.run_id, coalesce(max(n),0) AS longest, coalesce(max(n),0)>3 AS abort FROM (SELECT DISTINCT run_id FROM e) r LEFT JOIN s ON r.run_id=s.run_id GROUP BY r.run_id",
 }

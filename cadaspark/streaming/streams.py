@@ -54,22 +54,27 @@ def session_state(events: DataFrame) -> DataFrame:
 
 
 def submission_windows(events: DataFrame, kind: str, lateness: str = "1 hour") -> DataFrame:
-    """Runs and errors per tumbling, sliding or session window; later rows than ``lateness`` are dropped."""
+    """Runs and errors per tumbling, sliding or session window; later rows than ``lateness`` are dropped.
+
+    Sessions are those of a run, so that they are dealt out by run; the other kinds count over all runs (run_id null).
+    """
     span: dict[str, Column] = {
         "tumbling": F.window("ts", "6 hours"),
         "sliding": F.window("ts", "12 hours", "6 hours"),
         "session": F.session_window("ts", "30 minutes"),
     }
-    grouped = events.withWatermark("ts", lateness).groupBy(span[kind].alias("w")).agg(
+    keys = ["run_id"] if kind == "session" else []
+    grouped = events.withWatermark("ts", lateness).groupBy(span[kind].alias("w"), *keys).agg(
         F.count("*").alias("runs"), F.count_if(F.col("stage") == "ERROR").alias("errors")
     )
     return grouped.select(
-        F.lit(kind).alias("kind"), F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "runs", "errors"
+        F.lit(kind).alias("kind"), (F.col("run_id") if keys else F.lit(None)).cast("long").alias("run_id"),
+        F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "runs", "errors"
     )
 
 
 def call_limit(events: DataFrame) -> DataFrame:
-    """Batch: runs with more than three calls in a row without a valid output.
+    """Batch: every run, with its longest row of calls without a valid output and whether it passes three.
 
     Gaps and islands: valid outputs number the islands, days are the chunks of a long run.
     """
@@ -79,7 +84,8 @@ def call_limit(events: DataFrame) -> DataFrame:
         {"island": F.when(c("valid"), 1).otherwise(0)},
     )
     streaks = numbered.filter(~c("valid")).groupBy("run_id", "island").agg(F.count("*").alias("streak"))
-    worst = streaks.groupBy("run_id").agg(F.max("streak").alias("longest"))
+    worst = events.select("run_id").distinct().join(streaks.groupBy("run_id").agg(F.max("streak").alias("longest")), "run_id", "left")
+    worst = worst.withColumn("longest", F.coalesce("longest", F.lit(0).cast("long")))
     return worst.withColumn("abort", c("longest") > CALL_LIMIT)
 
 

@@ -7,10 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cadaspark.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry.queries()
-CHECKS = entry.oracle_sql()
+QUERIES = catalog.queries()
+CHECKS = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")

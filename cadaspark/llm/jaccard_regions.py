@@ -34,7 +34,7 @@ from cadaspark.llm.components import components
 from cadaspark.sources.scratch import keep
 
 # A region is joined in one task up to this many sets and shingles; larger ones are divided.
-LEAF_SETS, LEAF_SHINGLES = 2_000, 2_000_000
+LEAF_SETS, LEAF_SHINGLES = 4_000, 2_000_000
 # Rounds of dividing before what is left is joined block against block.
 ROUNDS = 4
 # Classes of sizes, in steps of the largest ratio between linked sets.
@@ -101,7 +101,7 @@ class Plan:
         """More parts than linked sets of the class can differ in, with room for parts that stay empty."""
         largest = math.ceil((100 / self.percent) ** (CLASS_STEPS * (size_class + 1) + 1))
         most = self.differ(largest)
-        return 2 * most + 4 if most < 20 else most + most // 16 + 8
+        return most + most // 16 + 6
 
     def projections(self, h: np.ndarray, salt: int) -> tuple[bool, np.ndarray]:
         """A hash for each part that is not empty, and whether agreement of linked sets on one of them is sure."""
@@ -166,17 +166,28 @@ def sets_of(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _regions(keyed: DataFrame, salt: int) -> DataFrame:
-    """(cell, pivot, doc_id) of all regions with at least two sets, from (outer, doc_id, keys).
+    """(cell, doc_id) of all regions with at least two sets, from (outer, doc_id, keys, out).
 
-    The pivot of a neighbourhood is its least member in an order that changes from round to round.
+    The pivot of a neighbourhood is its least member in an order that changes from round to round. ``outer`` and ``out``, if given, are
+    the region that is divided and whether the set still looks for links; neighbourhoods without such a set are left.
     """
-    inside = ["outer"] if "outer" in keyed.columns else []
-    single = keyed.select(*inside, F.explode("keys").alias("key"), "doc_id")
+    divided = "outer" in keyed.columns
+    inside = ["outer"] if divided else []
+    single = keyed.select(*inside, F.explode("keys").alias("key"), "doc_id", *(["out"] if divided else []))
     order = F.struct(F.xxhash64("doc_id", F.lit(salt)), F.col("doc_id").alias("d")) if salt else F.struct(F.col("doc_id").alias("d"))
-    pivots = single.groupBy(*inside, "key").agg(F.min(order).alias("p"), F.max(order).alias("q")).where("p != q")
+    looked = [F.max("out").alias("out")] if divided else []
+    pivots = single.groupBy(*inside, "key").agg(F.min(order).alias("p"), F.max(order).alias("q"), *looked).where("p != q")
+    pivots = pivots.where("out") if divided else pivots
     met = single.join(pivots.select(*inside, "key", F.col("p.d").alias("pivot")), [*inside, "key"])
-    cell = F.concat_ws("/", *inside, "pivot")
-    return met.select(cell.alias("cell"), "pivot", "doc_id").distinct()
+    return met.select(F.concat_ws("/", *inside, "pivot").alias("cell"), "doc_id").distinct()
+
+
+def _centres(keyed: DataFrame) -> DataFrame:
+    """(outer, pivot): in each region the set whose parts most others share."""
+    single = keyed.select("outer", F.explode("keys").alias("key"), "doc_id")
+    common = single.groupBy("outer", "key").agg(F.count("*").alias("n")).where("n > 1")
+    liked = single.join(common, ["outer", "key"]).groupBy("outer", "doc_id").agg(F.sum("n").alias("n"))
+    return liked.groupBy("outer").agg(F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("pivot"))
 
 
 def leaf_links(ids: np.ndarray, sets: list[np.ndarray], plan: Plan) -> list[tuple[int, int]]:
@@ -247,15 +258,15 @@ def _pivot_distances(members: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Cells that did not shrink, as pairs of blocks: every two sets of a cell meet in at least one pair."""
+    """(cell, doc_id) of regions that did not shrink, as pairs of blocks: every two sets of a region meet in at least one pair."""
     wide = sizes.select(
-        "cell",
+        "outer",
         F.greatest(F.ceil(2 * F.col("sets") / LEAF_SETS), F.ceil(2 * F.col("shingles") / LEAF_SHINGLES)).cast("int").alias("k"),
     )
-    placed = members.join(wide, "cell").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(77)), F.col("k")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
-    pair = F.concat_ws("/", "cell", F.least("block", "other"), F.greatest("block", "other"))
-    return placed.select("*", other).select(pair.alias("cell"), "doc_id").distinct()
+    placed = members.join(wide, "outer").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(77)), F.col("k")).cast("int"))
+    placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    pair = F.concat_ws("/", "outer", F.least("block", "other"), F.greatest("block", "other"))
+    return placed.select(pair.alias("cell"), "doc_id").distinct()
 
 
 def _more_parts(docs: DataFrame, points: DataFrame, plan: Plan) -> DataFrame:
@@ -275,7 +286,7 @@ def _more_parts(docs: DataFrame, points: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _keys_again(members: DataFrame, plan: Plan, salt: int) -> DataFrame:
-    """(outer, doc_id, sure, keys) with the parts of another round, from (cell, doc_id, set)."""
+    """(outer, doc_id, sure, keys) with the parts of another round, from (outer, doc_id, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,7 +296,7 @@ def _keys_again(members: DataFrame, plan: Plan, salt: int) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array([s for s, _ in found]), keys], ["outer", "doc_id", "sure", "keys"]
             )
 
-    narrow = members.select("cell", "doc_id", "set")
+    narrow = members.select("outer", "doc_id", "set")
     return narrow.mapInArrow(run, "outer string, doc_id bigint, sure boolean, keys array<bigint>")
 
 
@@ -307,23 +318,26 @@ def link_table(docs: DataFrame, points: DataFrame, plan: Plan) -> DataFrame:
         links = links.union(_joined_leaves(small.select("cell", "doc_id").join(sets, "doc_id"), plan))
         if not some:
             return links
-        rest = cells.join(large.select("cell"), "cell", "left_semi")
-        aims = sets.join(rest.select(F.col("pivot").alias("doc_id")).distinct(), "doc_id")
-        aims = aims.select(F.col("doc_id").alias("pivot"), F.col("set").alias("pivot_set"))
-        told = keep(_pivot_distances(rest.join(sets, "doc_id").join(aims, "pivot"), plan), "pivot-distances")
+        rest = cells.join(large.select("cell"), "cell", "left_semi").select(F.col("cell").alias("outer"), "doc_id", "n_shingles")
+        again = keep(_keys_again(rest.join(sets, "doc_id"), plan, salt), "projections")
+        aims = keep(_centres(again), "centres")
+        pivot_sets = sets.join(aims.select(F.col("pivot").alias("doc_id")).distinct(), "doc_id")
+        pivot_sets = pivot_sets.select(F.col("doc_id").alias("pivot"), F.col("set").alias("pivot_set"))
+        placed = rest.join(sets, "doc_id").join(aims.join(pivot_sets, "pivot"), "outer")
+        told = keep(_pivot_distances(placed, plan), "pivot-distances")
         near = told.where("near and doc_id != pivot")
         links = links.union(near.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
         # linked sets stay only where the window of a set outside the pivot's ball reaches them
-        edge = told.where("not near").groupBy("cell").agg(F.min("far").alias("nearest"))
-        left = told.join(edge, "cell").where(f"not near or far + {plan.radius + 1e-9} >= nearest")
-        left = keep(left.select("cell", "doc_id", "n_shingles"), "left-over")
+        edge = told.where("not near").groupBy("outer").agg(F.min("far").alias("nearest"))
+        left = told.join(edge, "outer").where(f"not near or far + {plan.radius + 1e-9} >= nearest")
+        left = keep(left.select("outer", "doc_id", "n_shingles", (~F.col("near")).alias("out")), "left-over")
         if left.limit(1).count() == 0:
             return links
-        again = keep(_keys_again(left.join(sets, "doc_id"), plan, salt), "projections")
         if salt == ROUNDS or again.where("not sure").limit(1).count():
-            sizes = left.groupBy("cell").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("shingles"))
+            sizes = left.groupBy("outer").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("shingles"))
             return links.union(_joined_leaves(_blocks(left, sizes).join(sets, "doc_id"), plan))
-        cells = keep(_regions(again, salt).join(size_of, "doc_id"), "regions")
+        divided = again.join(left.select("outer", "doc_id", "out"), ["outer", "doc_id"])
+        cells = keep(_regions(divided, salt).join(size_of, "doc_id"), "regions")
     return links
 
 

@@ -286,8 +286,11 @@ def diligence_rules(c: dict[str, Column]) -> list[tuple[str, str, Column]]:
 
 
 def null_fields(c: dict[str, Column], threshold: float = 50.0) -> Column:
-    names = ["elevation_m", "river_m", "ndwi", "ndvi", "road_m"]
-    return codes([(name, (c["confidence"] < threshold) & c[name].isNull()) for name in names])
+    names = {
+        "elevation_m": "elevation_m", "river_m": "distance_to_river_m", "ndwi": "ndwi", "ndvi": "ndvi",
+        "road_m": "distance_to_road_m",
+    }
+    return codes([(told, (c["confidence"] < threshold) & c[name].isNull()) for name, told in names.items()])
 
 
 def urban_expansion(n1: Column, n5: Column, n10: Column) -> Column:

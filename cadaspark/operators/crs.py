@@ -12,6 +12,7 @@ from cadaspark.functions import parsing as p
 from cadaspark.functions.geo import CLARKE_1880, COUNTRY_BOX, inside_box, with_datum_shift, with_latlng
 from cadaspark.functions.numeric import rnd
 from cadaspark.operators import rings
+from cadaspark.sources.scratch import keep
 
 ZONES = (31, 32, 33)
 # State markers of plan numbers per zone, in the order they are tried.
@@ -176,8 +177,10 @@ def flip_test(submissions: DataFrame, points: DataFrame) -> DataFrame:
 def extract_parcels(submissions: DataFrame, points: DataFrame, use_zone_trial: bool = False) -> DataFrame:
     """The whole extraction: detect, project, close, measure, and list the dialogs to ask."""
     c = F.col
-    detected = detect_crs(submissions, points, use_zone_trial)
+    # both feed several branches: written once, so that no branch reads the texts again for them
+    detected = keep(detect_crs(submissions, points, use_zone_trial), "detected")
     tagged = points.join(detected, "run_id").withColumn("is_utm", c("fmt").isin("UTM_SUFFIX", "UTM", "STATION_TABLE"))
+    tagged = keep(tagged, "tagged")
     zones = minna_zone(submissions, tagged.filter((c("detected_crs") == "MINNA") & c("is_utm")))
     placed = transform_to_wgs84(tagged, zones).select("run_id", "seq", "lat", "lng")
     facts = rings.ring_facts(placed)

@@ -151,17 +151,19 @@ def _level_direction(a: Column, b: Column, better: str) -> Column:
     return F.when(a.isNull() | b.isNull(), "unchanged").when(unknown, "changed").otherwise(_direction(ra, rb, better))
 
 
+# Column, the name it is reported under, kind and better direction.
 COMPARED = [
-    ("traffic_light", "level", "lower"), ("score", "number", "lower"), ("flood_risk", "level", "lower"),
-    ("terrain", "level", "lower"), ("growth", "level", "higher"), ("elevation_m", "number", "higher"),
-    ("river_m", "number", "higher"),
+    ("traffic_light", "traffic_light", "level", "lower"), ("score", "overall_risk_score", "number", "lower"),
+    ("flood_risk", "flood_risk", "level", "lower"), ("terrain", "terrain_suitability", "level", "lower"),
+    ("growth", "growth_potential", "level", "higher"), ("elevation_m", "elevation_m", "number", "higher"),
+    ("river_m", "distance_to_river_m", "number", "higher"),
 ]
 
 
 def compare_reports(pairs: DataFrame, reports: DataFrame) -> DataFrame:
     """Seven field deltas for each (report_id_a, report_id_b)."""
     c = F.col
-    names = [n for n, _, _ in COMPARED]
+    names = [n for n, *_ in COMPARED]
     side = lambda s: reports.select(
         c("report_id").alias(f"report_id_{s}"), *[c(n).alias(f"{n}_{s}") for n in [*names, "lat", "lng"]]
     )
@@ -171,11 +173,11 @@ def compare_reports(pairs: DataFrame, reports: DataFrame) -> DataFrame:
     def text(kind: str, v: Column) -> Column:
         return v if kind == "level" else F.format_string("%.1f", v)
 
-    def delta(name: str, kind: str, better: str) -> Column:
+    def delta(name: str, told: str, kind: str, better: str) -> Column:
         a, b = c(f"{name}_a"), c(f"{name}_b")
         direction = _level_direction(a, b, better) if kind == "level" else _direction(a, b, better)
         return F.struct(
-            F.lit(name).alias("field_name"),
+            F.lit(told).alias("field_name"),
             F.when(a.isNotNull(), text(kind, a)).alias("value_a"),
             F.when(b.isNotNull(), text(kind, b)).alias("value_b"),
             direction.alias("direction"),

@@ -163,7 +163,16 @@ _prior_sql = spatial_plan.CHECKS["prior_report"]
 _rank = lambda v: f"CASE upper({v}) WHEN 'GREEN' THEN 1 WHEN 'AMBER' THEN 2 WHEN 'RED' THEN 3 WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 WHEN 'SUITABLE' THEN 1 WHEN 'MARGINAL' THEN 2 WHEN 'UNSUITABLE' THEN 3 END"
 
 
-def _delta(name: str, kind: str, better: str) -> str:
+# What the comparison reports, written out here and not taken from the code under test.
+_DELTAS = [
+    ("traffic_light", "traffic_light", "level", "lower"), ("score", "overall_risk_score", "number", "lower"),
+    ("flood_risk", "flood_risk", "level", "lower"), ("terrain", "terrain_suitability", "level", "lower"),
+    ("growth", "growth_potential", "level", "higher"), ("elevation_m", "elevation_m", "number", "higher"),
+    ("river_m", "distance_to_river_m", "number", "higher"),
+]
+
+
+def _delta(name: str, told: str, kind: str, better: str) -> str:
     a, z = f"a.{name}", f"z.{name}"
     x, y = (a, z) if kind == "number" else (_rank(a), _rank(z))
     op = "<" if better == "lower" else ">"
@@ -171,7 +180,7 @@ def _delta(name: str, kind: str, better: str) -> str:
     d = f"CASE WHEN {a} IS NULL OR {z} IS NULL THEN 'unchanged' {changed}WHEN {x}={y} OR {a}={z} THEN 'unchanged' WHEN {y}{op}{x} THEN 'improved' ELSE 'worsened' END"
     t = lambda v: f"printf('%.1f', {v})" if kind == "number" else v
     return (
-        f"SELECT a.report_id AS report_id_a, z.report_id AS report_id_b, parcel_match, '{name}' AS field_name, {t(a)} AS value_a, {t(z)} AS value_b, {d} AS direction "
+        f"SELECT a.report_id AS report_id_a, z.report_id AS report_id_b, parcel_match, '{told}' AS field_name, {t(a)} AS value_a, {t(z)} AS value_b, {d} AS direction "
         "FROM pq JOIN rep a ON a.report_id=pq.a JOIN rep z ON z.report_id=pq.z"
     )
 
@@ -193,7 +202,7 @@ CHECKS = {
         "(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}e0" for v in row) + ")" for row in config.LINEAGE_FIELDS) + ") t(field_name,label,vintage,confidence_score)"},
       "SELECT report_id, field_name, adapter_id AS source_adapter, coalesce(label, source_name) AS source_label, coalesce(vintage, feed_vintage) AS data_vintage, confidence_score, false AS live_feed_used, fallback_used FROM rf CROSS JOIN d"),
     "compare_reports": with_({**inputs("rep"), "pr": _prior_sql, "pq": "SELECT prior_report_id AS a, report_id AS z, true AS parcel_match FROM pr WHERE prior_report_id IS NOT NULL",
-      "dl": " UNION ALL ".join(_delta(*x) for x in history.COMPARED)},
+      "dl": " UNION ALL ".join(_delta(*x) for x in _DELTAS)},
       """SELECT *, CASE WHEN direction='unchanged' THEN field_name || ' remained the same (' || coalesce(value_a,'None') || ').'
         ELSE field_name || ' ' || CASE WHEN direction='improved' THEN 'improved' ELSE 'worsened' END || ': ' || coalesce(value_a,'None') || ' → ' || coalesce(value_b,'None') || '.' END AS plain_english FROM dl"""),
     "assemble_report": with_({**ring_plan.FACTS, **rule_plan.CHAIN, **FEED, "ad": rule_plan._adv_union, "gr": f"SELECT * FROM ({rule_plan.CHECKS['growth_potential']})"},

@@ -186,7 +186,8 @@ _GROW = "coalesce(road_m/1000e0 < 2 AND airport_km < 50, false)"
 _UE = rnd("0.5e0*least(n1/200e0,1e0)+0.3e0*least(n5/1000e0,1e0)+0.2e0*least(n10/5000e0,1e0)", 4)
 _plots = ", ".join(f"('{k.lower()}','{k}',{v!r}e0)" for k, v in units.PLOT_SQM.items())
 _nulls = lambda t: "concat_ws(',', " + ", ".join(
-    f"CASE WHEN confidence<{t} AND {n} IS NULL THEN '{n}' END" for n in ("elevation_m", "river_m", "ndwi", "ndvi", "road_m")
+    f"CASE WHEN confidence<{t} AND {n} IS NULL THEN '{told}' END"
+    for n, told in (("elevation_m", "elevation_m"), ("river_m", "distance_to_river_m"), ("ndwi", "ndwi"), ("ndvi", "ndvi"), ("road_m", "distance_to_road_m"))
 ) + ")"
 _thousands = "regexp_replace(CAST(CAST(sqm AS BIGINT) AS VARCHAR), '(\\d)(\\d{3})$', '\\1,\\2')"
 

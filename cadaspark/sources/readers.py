@@ -39,13 +39,12 @@ def _file_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-# A comma outside double quotes.
-COMMA = r""",(?=(?:[^"]*"[^"]*")*[^"]*$)"""
-
-
 def _fields(line: Column) -> Column:
+    """Fields of a CSV line: commas between quotes do not count. One pass over the line, whatever its length."""
     unquoted = lambda v: F.replace(F.regexp_replace(F.trim(v), r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
-    return F.transform(F.split(line, COMMA), unquoted)
+    # between quotes are the odd pieces; a doubled quote opens and closes and changes nothing
+    cut = lambda piece, i: F.when(i % 2 == 0, F.replace(piece, F.lit(","), F.lit("\x01"))).otherwise(piece)
+    return F.transform(F.split(F.array_join(F.transform(F.split(line, '"'), cut), '"'), "\x01"), unquoted)
 
 
 def read_stations_csv(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
@@ -61,7 +60,7 @@ def read_stations_csv(spark: SparkSession, path: str, errors: bool = False) -> D
     heads = tops.select("file", "top", F.posexplode(_fields(c("top"))).alias("at", "name"))
     name = F.lower(F.trim("name"))
     where = lambda test: F.min(F.when(test, c("at")))
-    width = F.size(F.split("top", COMMA))
+    width = F.size(_fields(c("top")))
     found = heads.groupBy("file", "top").agg(
         where(name.isin(STATION) | F.trim("name").rlike(STATION_PREFIX)).alias("station"),
         where(name.isin(EASTING)).alias("easting"),

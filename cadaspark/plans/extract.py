@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cadaspark.functions import parsing as p
 from cadaspark.functions.numeric import rnd as crnd
+from cadaspark.operators import cadastral
 from cadaspark.operators import extract as x
 from cadaspark.plans.checks import _sel, rnd, with_
 from cadaspark.sources import bridge as b
@@ -91,6 +92,16 @@ def vision(spark, sf):
     return x.vision_json_to_lines(b.parcel_base(spark, sf).selectExpr(*b.SURVEY_BASE).selectExpr(*PLANS))
 
 
+def plan_ledger(spark, sf):
+    ledger, _ = cadastral.cadastral_plan(b.surveys(spark, sf))
+    return ledger.select("run_id", "seq", "station_id", crnd(c("e"), 2).alias("e"), crnd(c("n"), 2).alias("n"), "adjustment")
+
+
+def plan_summary(spark, sf):
+    _, summary = cadastral.cadastral_plan(b.surveys(spark, sf))
+    return summary.withColumns({"misclosure_m": crnd(c("misclosure_m"), 3), "area_ha": crnd(c("area_ha"), 3)})
+
+
 QUERIES = {
     "strip_thousands": thousands,
     "cleanse_numeric": numerals,
@@ -107,6 +118,8 @@ QUERIES = {
     "detect_datum": datum,
     "route_track": track,
     "vision_json_to_lines": vision,
+    "cadastral_plan": plan_ledger,
+    "cadastral_summary": plan_summary,
 }
 
 _BASE = _sel(b.SURVEY_BASE, f"({_sel(b.PARCEL_BASE, 'customer')})")
@@ -192,7 +205,28 @@ AUTO = {
 }
 _anc = lambda i: f"TRY_CAST(nullif(regexp_extract(raw_text, {_q(p.ANCHOR)}, {i}), '') AS DOUBLE)"
 
+_PLAN = {
+    **SUB, **STATIONS, **LEGS,
+    "k": "SELECT run_id, coalesce(s,0) AS stations, coalesce(l,0) AS legs FROM sv LEFT JOIN (SELECT run_id, count(*) AS s FROM stn GROUP BY run_id) USING (run_id) LEFT JOIN (SELECT run_id, count(*) AS l FROM lg GROUP BY run_id) USING (run_id)",
+    "rt": "SELECT run_id, CASE WHEN stations>=3 THEN 'TABULAR' WHEN legs>=3 THEN 'COGO_TRAVERSE' ELSE 'INSUFFICIENT' END AS track, CASE WHEN stations<3 AND legs<3 THEN 'INSUFFICIENT_SPATIAL_DATA' END AS error_code FROM k",
+    "tb": "SELECT stn.* FROM stn JOIN rt USING (run_id) WHERE track='TABULAR'",
+    "te": "SELECT run_id, count(*) AS c, arg_min(station_id,seq) AS s0, arg_min(e,seq) AS e0, arg_min(n,seq) AS n0, arg_max(e,seq) AS e9, arg_max(n,seq) AS n9 FROM tb GROUP BY run_id",
+    "an": f"SELECT run_id, CASE WHEN e IS NOT NULL AND n IS NOT NULL THEN e WHEN len(k)>=2 THEN least(k[1],k[2]) END AS ae, CASE WHEN e IS NOT NULL AND n IS NOT NULL THEN n WHEN len(k)>=2 THEN greatest(k[1],k[2]) END AS an FROM (SELECT sv.run_id, {_anc(1)} AS e, {_anc(2)} AS n, k FROM sv JOIN g1 USING (run_id))",
+    "cg": "SELECT lg.*, coalesce(ae,250000e0) AS ae, coalesce(an,1000000e0) AS an, row_number() OVER (PARTITION BY run_id ORDER BY line_no) AS i, distance_m*sin(radians(bearing_dd)) AS de, distance_m*cos(radians(bearing_dd)) AS dn FROM lg JOIN rt USING (run_id) JOIN an USING (run_id) WHERE track='COGO_TRAVERSE'",
+    "tt": "SELECT run_id, sum(de) AS me, sum(dn) AS mn, sum(distance_m) AS ln, sqrt(sum(de)*sum(de)+sum(dn)*sum(dn)) AS gap FROM cg GROUP BY run_id",
+    "fw": f"SELECT run_id, i, label, to_station, {rnd('ae+sum(de) OVER w', 3)} AS e, {rnd('an+sum(dn) OVER w', 3)} AS n, sum(distance_m) OVER w AS cd FROM cg WINDOW w AS (PARTITION BY run_id ORDER BY i)",
+    "pl": f"""SELECT run_id, seq, station_id, e, n, 'none' AS adjustment FROM tb UNION ALL
+      SELECT run_id, CAST(c AS INT), s0 || ' (close)', e0, n0, 'none' FROM te WHERE c>=3 AND (abs(e0-e9)>0.01e0 OR abs(n0-n9)>0.01e0) UNION ALL
+      SELECT run_id, CAST(i AS INT), CASE WHEN to_station<>'' THEN to_station WHEN label<>'' THEN label ELSE 'S' || i END, CASE WHEN gap>0 AND gap<=2 THEN {rnd('e-me*cd/ln', 3)} ELSE e END, CASE WHEN gap>0 AND gap<=2 THEN {rnd('n-mn*cd/ln', 3)} ELSE n END, CASE WHEN gap>0 AND gap<=2 THEN 'bowditch' ELSE 'none' END FROM fw JOIN tt USING (run_id) UNION ALL
+      SELECT run_id, 0, CASE WHEN from_station<>'' THEN from_station ELSE 'TP0 (Tie-Point)' END, ae, an, CASE WHEN gap>0 AND gap<=2 THEN 'bowditch' ELSE 'none' END FROM cg JOIN tt USING (run_id) WHERE i=1""",
+    "ar": "SELECT run_id, count(*) AS c, max(adjustment) AS adjustment, abs(sum((e2-e)*(n2+n)))/2 AS a FROM (SELECT *, coalesce(lead(e) OVER w, first(e) OVER w) AS e2, coalesce(lead(n) OVER w, first(n) OVER w) AS n2 FROM pl WINDOW w AS (PARTITION BY run_id ORDER BY seq)) GROUP BY run_id",
+}
+
 CHECKS = {
+    "cadastral_plan": with_(_PLAN, f"SELECT run_id, seq, station_id, {rnd('e', 2)} AS e, {rnd('n', 2)} AS n, adjustment FROM pl"),
+    "cadastral_summary": with_(_PLAN, f"""SELECT run_id, track, error_code, c AS ledger_stations, adjustment, CASE WHEN track='TABULAR' THEN 0e0 ELSE {rnd(rnd('gap', 4), 3)} END AS misclosure_m,
+      CASE WHEN track='TABULAR' THEN 'CLOSED' WHEN {rnd('gap', 4)}>2 THEN 'UNCLOSED' WHEN gap IS NOT NULL THEN 'CLOSED' END AS closure_status, {rnd(rnd('a/10000e0', 4), 3)} AS area_ha
+      FROM rt LEFT JOIN ar USING (run_id) LEFT JOIN tt USING (run_id)"""),
     "strip_thousands": with_({**SUB, "o": f"SELECT run_id, {_ng('raw_text')} AS t FROM sv"}, "SELECT run_id, md5(t) AS digest, CAST(length(t) AS INT) AS chars FROM o"),
     "cleanse_numeric": f"""WITH k AS ({_sel(NUMERALS, 'lineitem')}) SELECT raw, count(*) AS uses, CASE any_value(pk)%9
       WHEN 0 THEN CAST(replace(raw,'-','.') AS DOUBLE) WHEN 1 THEN CAST(replace(raw,',','') AS DOUBLE) WHEN 2 THEN CAST(replace(raw,' ','') AS DOUBLE) WHEN 3 THEN CAST(replace(raw,',','.') AS DOUBLE)

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from cadaspark.operators import crs, extract, measure, rings
+from cadaspark.operators import cadastral, crs, extract, measure, rings
 from cadaspark.operators.raster import tile_of
 
 CASES = {
@@ -153,3 +153,30 @@ def test_screening_of_four_parcels(spark):
     assert (out[3].flood_risk, out[3].terrain, out[3].traffic_light) == ("MEDIUM", "SUITABLE", "AMBER")
     assert (out[4].flood_risk, out[4].terrain, out[4].traffic_light) == ("HIGH", "UNSUITABLE", "RED")
     assert out[4].risk_score >= 75
+
+
+def test_plans_from_raw_text(spark):
+    subs = spark.createDataFrame([(11, TABLE), (12, TRAVERSE), (13, "no numbers at all")], "run_id long, raw_text string")
+    ledger, summary = cadastral.cadastral_plan(subs)
+    rows = {r.run_id: r for r in summary.collect()}
+    assert rows[11].track == "TABULAR" and rows[11].ledger_stations == 5 and rows[11].misclosure_m == 0
+    assert rows[12].track == "COGO_TRAVERSE" and rows[12].ledger_stations == 5
+    assert rows[12].misclosure_m < 1 and rows[12].closure_status == "CLOSED"
+    assert rows[12].area_ha == pytest.approx(120.5 * 95.75 / 10000, abs=1e-3)
+    assert rows[13].error_code == "INSUFFICIENT_SPATIAL_DATA" and rows[13].ledger_stations is None
+    traverse = ledger.filter("run_id = 12").orderBy("seq").collect()
+    assert [r.station_id for r in traverse] == ["TP0 (Tie-Point)", "L1", "L2", "L3", "L4"]
+    assert (traverse[0].e, traverse[0].n) == (387500.0, 550600.0)
+
+
+def test_every_submission_is_a_parcel_or_an_error(spark):
+    subs = spark.createDataFrame(
+        [(k, *v, 0.5) for k, v in CASES.items()] + [(99, "nothing to read here", None, None, None)],
+        "run_id long, raw_text string, coordinate_hint string, datum_label string, stated_area_ha double",
+    )
+    parcels = crs.extract_parcels(subs, extract.parse_auto(subs))
+    errors = {r.run_id: r.error_code for r in extract.extraction_errors(subs, parcels).collect()}
+    good = {r.run_id for r in parcels.filter("error_code IS NULL").collect()}
+    assert errors[99] == "NO_COORDINATES_DETECTED" and errors[6] == "POLYGON_OPEN"
+    assert good | set(errors) == set(CASES) | {99} and not good & set(errors)
+    assert any("T3" in r.dialogs for r in parcels.collect())

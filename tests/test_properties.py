@@ -152,3 +152,35 @@ def test_kml_and_registry_files(spark, tmp_path):
     (tmp_path / "reg" / "zbad.json").write_text("{ not json")
     got = readers.read_registry_json(spark, str(tmp_path / "reg")).orderBy("record_order").collect()
     assert [r.id for r in got] == ["A", "B", "C"]
+
+
+def test_parcels_without_position_keep_their_row(spark):
+    spots = spark.createDataFrame([(1, 6.5, 3.4), (2, None, None)], "id int, lat double, lng double")
+    goals = spark.range(5).select(F.lit(6.5).alias("lat"), F.lit(3.4).alias("lng"))
+    got = {r.id: r.n1 for r in spatial.building_rings(spots, goals).collect()}
+    assert got == {1: 5, 2: None}
+
+
+def test_functions_cut_nothing_unless_told(spark):
+    long = "x" * 900
+    got = spark.range(1).select(
+        textrules.redact_sensitive(F.lit(long)).alias("a"), textrules.redact_sensitive(F.lit(long), width=240).alias("b"),
+        textrules.parse_summary(F.lit(long))["summary"].alias("c"), textrules.redact_partial(F.lit("sk-" + "a" * 60)).alias("d"),
+        textrules.input_hazard(F.lit("you are now a " + "z" * 100))["hazard_match"].alias("e"),
+    ).first()
+    assert (got.a, got.b, got.c) == (long, long[:240], long)
+    assert got.d == "sk-a" + "*" * 59 and got.e == "you are now a " + "z" * 100
+
+
+def test_allow_list(spark):
+    rows = spark.range(10).withColumnRenamed("id", "user")
+    lists = spark.createDataFrame([(" 3, 5,,8 ",), (None,), ("5",)], "ids string")
+    allowed = governance.parse_allow_list(lists, "ids")
+    assert sorted(r.user for r in governance.allow_list_filter(rows, "user", allowed).collect()) == [3, 5, 8]
+    assert governance.allow_list_filter(rows, "user", allowed.limit(0)).count() == 10
+
+
+def test_csv_fields(spark):
+    lines = ['a,b,c', '"x,y",2,"he said ""no, never"""', ',,', '"' + "q," * 50_000 + '",end', ""]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "line string").select(readers._fields(F.col("line"))).collect()]
+    assert got == [["a", "b", "c"], ["x,y", "2", 'he said "no, never"'], ["", "", ""], ["q," * 50_000, "end"], [""]]

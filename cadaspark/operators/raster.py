@@ -216,9 +216,9 @@ def outfall_profile(paths: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def profile_range(profiles: DataFrame) -> DataFrame:
-    """Elevation axis of a chart: extremes with a tenth of the range as padding."""
+    """Elevation axis of a chart: extremes with a tenth of the range as padding; null for a run without any elevation."""
     c = F.col
-    seen = profiles.filter("elevation_m IS NOT NULL").groupBy("run_id").agg(
+    seen = profiles.groupBy("run_id").agg(
         F.min("elevation_m").alias("low"), F.max("elevation_m").alias("high")
     )
     pad = F.when(c("high") == c("low"), 10.0).otherwise(c("high") - c("low")) * 0.1

@@ -144,6 +144,6 @@ CHECKS = {
     "longest_axis": with_(AXIS, f"SELECT run_id, seq, seq2, {rnd('e', 2)} AS e, {rnd('n', 2)} AS n, {rnd('qe', 2)} AS qe, {rnd('qn', 2)} AS qn FROM axis"),
     "internal_profile": with_(_INT, "SELECT run_id, pos, distance_m, elevation_m, 'Internal Point ' || (pos+1) AS label FROM pf"),
     "outfall_profile": with_(_OUT, "SELECT run_id, pos, distance_m, elevation_m, CASE pos WHEN 0 THEN 'Plot Edge (Lowest)' WHEN 9 THEN CASE priority WHEN 1 THEN 'Canal' WHEN 2 THEN 'River Channel' ELSE 'Gutter' END ELSE 'Outfall Pt ' || pos END AS label FROM pf"),
-    "profile_range": with_({**_INT, "mm": "SELECT run_id, min(elevation_m) AS low, max(elevation_m) AS high FROM pf WHERE elevation_m IS NOT NULL GROUP BY run_id"},
+    "profile_range": with_({**_INT, "mm": "SELECT run_id, min(elevation_m) AS low, max(elevation_m) AS high FROM pf GROUP BY run_id"},
       f"SELECT run_id, {rnd('low-CASE WHEN high=low THEN 10e0 ELSE high-low END*0.1e0', 3)} AS axis_min, {rnd('high+CASE WHEN high=low THEN 10e0 ELSE high-low END*0.1e0', 3)} AS axis_max FROM mm"),
 }

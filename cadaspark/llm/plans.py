@@ -135,9 +135,6 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 CHECKS: dict[str, str] = {
-    "op7_licenses": op7_licenses,
-    "op8_hilbert": op8_hilbert,
-    "op9_pages": op9_pages,
     "op10_url_filter": f"""
 WITH parsed AS (
   SELECT page_id,

@@ -44,3 +44,8 @@ def test_stages_take_odd_rows(odd):
         assert stage(spark, docs.limit(0), SF).count() == 0
         docs = out
     assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).select("doc_id").distinct().count() == 10
+
+
+def test_checks_are_sql_of_registered_queries():
+    checks = __spark_entry__.oracle_sql()
+    assert set(checks) <= set(__spark_entry__.queries()) and all(isinstance(v, str) for v in checks.values())

@@ -41,6 +41,8 @@ ROUNDS = 4
 CLASS_STEPS = 4
 # Ids are broadcast up to this many (16 MB); beyond it they are joined.
 BROADCAST_IDS = 2_000_000
+# Shared parts and places in regions likewise (two short columns each, about 30 MB).
+BROADCAST_KEYS = 1_000_000
 REMEMBERED = 400_000
 _WORDS: dict[bytes, int] = {}
 MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -176,9 +178,16 @@ def _regions(keyed: DataFrame, salt: int) -> DataFrame:
     single = keyed.select(*inside, F.explode("keys").alias("key"), "doc_id", *(["out"] if divided else []))
     order = F.struct(F.xxhash64("doc_id", F.lit(salt)), F.col("doc_id").alias("d")) if salt else F.struct(F.col("doc_id").alias("d"))
     looked = [F.max("out").alias("out")] if divided else []
-    pivots = single.groupBy(*inside, "key").agg(F.min(order).alias("p"), F.max(order).alias("q"), *looked).where("p != q")
-    pivots = pivots.where("out") if divided else pivots
-    met = single.join(pivots.select(*inside, "key", F.col("p.d").alias("pivot")), [*inside, "key"])
+    common = single.groupBy(*inside, "key").agg(
+        F.min(order).alias("p"), F.max(order).alias("q"), F.count("*").alias("n"), *looked
+    ).where("p != q")
+    common = common.where("out") if divided else common
+    common = keep(common.select(*inside, "key", "n", F.col("p.d").alias("pivot"), F.col("q.d").alias("other")), "shared-parts")
+    # two members are known already; only parts with more of them meet the sets again
+    pairs = common.where("n = 2").select(*inside, "pivot", F.explode(F.array("pivot", "other")).alias("doc_id"))
+    many = common.where("n > 2").select(*inside, "key", "pivot")
+    many = F.broadcast(many) if many.count() <= BROADCAST_KEYS else many
+    met = single.join(many, [*inside, "key"]).select(*inside, "pivot", "doc_id").union(pairs)
     return met.select(F.concat_ws("/", *inside, "pivot").alias("cell"), "doc_id").distinct()
 
 
@@ -308,14 +317,18 @@ def link_table(docs: DataFrame, points: DataFrame, plan: Plan) -> DataFrame:
     if points.where("not sure").limit(1).count():
         cells = cells.union(_more_parts(docs, points, plan)).distinct()
     cells = keep(cells.join(size_of, "doc_id"), "regions")
-    sets = keep(sets_of(_ids(docs, cells.select("doc_id").distinct(), "left_semi"), plan).distinct(), "sets")
+    sets = keep(sets_of(_ids(docs, cells.select("doc_id").distinct(), "left_semi"), plan), "sets")
+    if sets.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        sets = keep(sets.distinct(), "sets")
     links = spark.createDataFrame([], "a bigint, b bigint")
     for salt in range(1, ROUNDS + 1):
         sizes = cells.groupBy("cell").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("shingles"))
         large = keep(sizes.where((F.col("sets") > LEAF_SETS) | (F.col("shingles") > LEAF_SHINGLES)), "large-regions")
         some = large.limit(1).count() > 0
         small = cells.join(large.select("cell"), "cell", "left_anti") if some else cells
-        links = links.union(_joined_leaves(small.select("cell", "doc_id").join(sets, "doc_id"), plan))
+        places = keep(small.select("cell", "doc_id"), "leaf-places")
+        places = F.broadcast(places) if places.count() <= BROADCAST_KEYS else places
+        links = links.union(_joined_leaves(sets.join(places, "doc_id"), plan))
         if not some:
             return links
         rest = cells.join(large.select("cell"), "cell", "left_semi").select(F.col("cell").alias("outer"), "doc_id", "n_shingles")
@@ -350,7 +363,7 @@ def classes(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     first = known.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
     mine = keep(known.select("doc_id", "fingerprint").join(first, "fingerprint").select("doc_id", "rep").distinct(), "equal-sets")
     reps = mine.where("doc_id = rep").select("doc_id")
-    points = keep(known.select("doc_id", "n_shingles", "sure", "keys").join(reps, "doc_id", "left_semi"), "points")
+    points = keep(_ids(known.select("doc_id", "n_shingles", "sure", "keys"), reps, "left_semi"), "points")
     links = link_table(texts.where("doc_id is not null"), points, plan)
     equal = mine.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = keep(components(links.union(equal)), "components")

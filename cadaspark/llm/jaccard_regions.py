@@ -106,7 +106,7 @@ class Plan:
         return most + most // 16 + 6
 
     def projections(self, h: np.ndarray, salt: int) -> tuple[bool, np.ndarray]:
-        """A hash for each part that is not empty, and whether agreement of linked sets on one of them is sure."""
+        """Hashes of the first parts that are not empty, and whether agreement of linked sets on one of them is sure."""
         n = len(h)
         if self.differ(n) < 1:
             return True, np.zeros(0, dtype=np.int64)  # only an equal set can link
@@ -119,9 +119,10 @@ class Plan:
                 order = np.argsort(part, kind="stable")
                 part = part[order]
                 first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                sums = np.add.reduceat(_mixed(salted[order] ^ MIX[2]), first)
-                out.append(_mixed(sums + (part[first] + np.uint64((size_class + 1) << 32)) * MIX[0]))
                 sure = sure and len(first) > self.differ(n)
+                sums = np.add.reduceat(_mixed(salted[order] ^ MIX[2]), first)
+                keys = _mixed(sums + (part[first] + np.uint64((size_class + 1) << 32)) * MIX[0])
+                out.append(keys[: self.differ(n) + 1])
         return sure, np.concatenate(out).view(np.int64)
 
 
@@ -176,13 +177,15 @@ def _regions(keyed: DataFrame, salt: int) -> DataFrame:
     divided = "outer" in keyed.columns
     inside = ["outer"] if divided else []
     single = keyed.select(*inside, F.explode("keys").alias("key"), "doc_id", *(["out"] if divided else []))
-    order = F.struct(F.xxhash64("doc_id", F.lit(salt)), F.col("doc_id").alias("d")) if salt else F.struct(F.col("doc_id").alias("d"))
+    # without a salt a plain number will do
+    order = F.struct(F.xxhash64("doc_id", F.lit(salt)), F.col("doc_id").alias("d")) if salt else F.col("doc_id")
+    pivot, other = (F.col("p.d"), F.col("q.d")) if salt else (F.col("p"), F.col("q"))
     looked = [F.max("out").alias("out")] if divided else []
     common = single.groupBy(*inside, "key").agg(
         F.min(order).alias("p"), F.max(order).alias("q"), F.count("*").alias("n"), *looked
     ).where("p != q")
     common = common.where("out") if divided else common
-    common = keep(common.select(*inside, "key", "n", F.col("p.d").alias("pivot"), F.col("q.d").alias("other")), "shared-parts")
+    common = keep(common.select(*inside, "key", "n", pivot.alias("pivot"), other.alias("other")), "shared-parts")
     # two members are known already; only parts with more of them meet the sets again
     pairs = common.where("n = 2").select(*inside, "pivot", F.explode(F.array("pivot", "other")).alias("doc_id"))
     many = common.where("n > 2").select(*inside, "key", "pivot")

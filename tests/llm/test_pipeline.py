@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -49,3 +52,31 @@ def test_stages_take_odd_rows(odd):
 def test_checks_are_sql_of_registered_queries():
     checks = __spark_entry__.oracle_sql()
     assert set(checks) <= set(__spark_entry__.queries()) and all(isinstance(v, str) for v in checks.values())
+
+
+def five_words(text):
+    words = text.lower().split()
+    return frozenset(zip(*[words[i:] for i in range(5)])) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
+
+
+def test_duplicates_stage_links_five_words_at_80(spark):
+    """Copies with one word in 50 replaced: 0.82 by five words, 0.89 by three; and others on either side of the bar."""
+    rng = random.Random(11)
+    texts = []
+    for n, changes in [(100, 2)] * 8 + [(50, 1)] * 8 + [(100, 1), (100, 3), (100, 4), (200, 4), (200, 6), (30, 1), (12, 1), (4, 1)]:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        copy = list(words)
+        for i in range(changes):
+            copy[(2 * i + 1) * n // (2 * changes)] = "other"
+        texts += [" ".join(words), " ".join(copy)]
+    rows = list(enumerate(texts))
+    sets = {i: five_words(t) for i, t in rows}
+    label = {i: i for i in sets}
+    for i, j in itertools.combinations(sets, 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            low, high = sorted((label[i], label[j]))
+            label = {k: low if v == high else v for k, v in label.items()}
+    assert all(label[2 * i + 1] == 2 * i for i in range(16)) and len(set(label.values())) > 26
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = plans.stage_duplicates(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.values()))

@@ -1,7 +1,7 @@
 """License scan: winnowed fingerprints pick candidate places, banded alignment measures them.
 
-A template is a list of words. Hashes of ``GRAM`` consecutive words are winnowed (the least of every ``WINDOW`` neighbours is kept)
-into an inverted index from fingerprint to (template, place). A text is looked up at every place, so any ``GRAM + WINDOW - 1`` words in
+Templates are short notices, file headers, opening paragraphs and whole texts. A template is a list of words. Hashes of ``GRAM`` consecutive words are winnowed (the least of every ``WINDOW`` neighbours is kept)
+into an inverted index from fingerprint to (template, place); templates of up to ``SHORT`` words keep all. A text is looked up at every place, so any ``GRAM + WINDOW - 1`` words in
 common are found. Hits of a template on nearby diagonals make a candidate, which is aligned word by word inside a band around its
 diagonals. Matches that cover at least ``COVERAGE`` of the template are reported with their span; each occurrence has a row, and
 where matches overlap the one with most matched words is reported.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from cadaspark.llm.arrow import fresh, slices
 
 GRAM, WINDOW, BAND, COVERAGE = 3, 2, 8, 0.85
+SHORT = 16
 
-# Public licence notices.
+# Public licence notices and file headers.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "MIT-licensed": "Licensed under the MIT License.",
@@ -49,6 +51,48 @@ TEMPLATES = {
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "CC0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+    "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later "
+    "version.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+    "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+    "any later version.",
+    "LGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+    "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+    "any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+    "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+    "any later version.",
+    "EPL-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+    "2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+}
+
+
+def _notices() -> dict[str, str]:
+    """What short notices say after any opening; in lower case, as words are compared."""
+    out = {"Apache-2.0": "apache license version 2.0", "EPL-2.0": "eclipse public license 2.0", "Unlicense": "unlicense"}
+    out |= {name: f"{name.lower()} license" for name in ("MIT", "ISC")}
+    out |= {f"BSD-{n}-Clause": f"bsd {n} clause license" for n in (2, 3)}
+    out["MPL-2.0"] = "mozilla public license version 2.0"
+    named = {f"{name}-under": f"under the {text}" for name, text in out.items()}
+    for short, word in (("GPL", ""), ("LGPL", "lesser "), ("AGPL", "affero ")):
+        for version in ("2.0", "2.1", "3.0"):
+            text = f"licensed under the gnu {word}general public license version {version.removesuffix('.0')}"
+            named |= {f"{short}-{version}-under": text.removeprefix("licensed "), f"{short}-{version}-work": f"this work is {text}"}
+    for terms in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"):
+        for version in ("2.0", "2.5", "3.0", "4.0"):
+            named[f"CC-{terms}-{version}-under"] = f"under cc {terms.lower()} {version}"
+            named[f"CC-{terms}-{version}-licensed"] = f"licensed under cc {terms.lower()} {version}"
+    del named["GPL-3.0-work"], named["CC-BY-4.0-licensed"], named["CC-BY-SA-4.0-licensed"], named["CC-BY-NC-4.0-licensed"]  # above
+    return named
+
+
+TEMPLATES |= _notices()
+# Whole texts, without the lines that name the holder; those of the GNU family up to the end of their terms.
+TEMPLATES |= {
+    f"{f.name.removesuffix('.txt')}-text": f.read_text(encoding="utf-8")
+    for f in sorted(files("cadaspark.llm").joinpath("licenses").iterdir(), key=lambda f: f.name)
+    if f.name.endswith(".txt")
 }
 
 WORD = re.compile("[A-Za-z0-9\x80-\U0010ffff]+")
@@ -83,7 +127,8 @@ class Index:
             grams = self.grams(np.array(codes, dtype=np.int64)).tolist()
             # the order of winnowing must not follow the alphabet
             mixed = [g * 0x9E3779B97F4A7C15 % (1 << 64) for g in grams]
-            for at in winnow(mixed):
+            # a short notice keeps all: an inserted word would cut the only hash that winnowing leaves
+            for at in winnow(mixed) if len(codes) > SHORT else range(len(grams)):
                 self.postings[grams[at]].append((name, at))
         self.known = np.array(sorted(self.postings), dtype=np.int64)
 
@@ -118,6 +163,19 @@ class Index:
         return out
 
 
+def reachable(template: list[int], text: np.ndarray, low: int, high: int) -> int:
+    """How many template words occur at all in their part of the band: ``align`` never matches more."""
+    start = low - BAND
+    width = high - low + 2 * BAND + 1
+    size = len(template)
+    inside = max(0, min(len(text), start + size + width) - max(0, start))
+    if inside < COVERAGE * size:
+        return inside
+    at = start + np.arange(size)[:, None] + np.arange(width)
+    same = text[np.clip(at, 0, len(text) - 1)] == np.array(template)[:, None]
+    return int((same & (at >= 0) & (at < len(text))).any(axis=1).sum())
+
+
 def align(template: list[int], text: list[int], low: int, high: int) -> tuple[int, int, int]:
     """Most words matched in order inside the band of diagonals low - BAND .. high + BAND: count, first and last word matched."""
     first = low - BAND
@@ -159,6 +217,8 @@ def matches(index: Index, text: str | None) -> list[tuple[str, int, int, float,
         text_codes, out = codes.tolist(), []
         for name, low, high, _ in found:
             template = index.codes[name]
+            if reachable(template, codes, low, high) < COVERAGE * len(template):
+                continue
             count, start, end = align(template, text_codes, low, high)
             if count >= COVERAGE * len(template):
                 out.append((name, count, len(template), start, end))

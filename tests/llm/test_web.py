@@ -178,3 +178,43 @@ def test_odd_texts_for_licenses(odd, spark):
     assert got[0][2:] == (7, 1.0) and 0.9 < got[1][3] < 1
     assert license_alignment.scan(odd, license_alignment.TEMPLATES, ["doc_id"]).count() == 0
     assert license_alignment.scan(df, {}, ["doc_id"]).count() == 0
+
+
+def found_in(text, index=[]):
+    index = index or index.append(license_alignment.Index(license_alignment.TEMPLATES)) or index
+    return [(m[0], m[3]) for m in license_alignment.matches(index[0], text)]
+
+
+def test_headers_and_notices_that_the_tables_do_not_hold():
+    header = license_alignment.TEMPLATES["GPL"]
+    assert found_in(header) == [("GPL", 1.0)]
+    for word, name in [("Lesser", "LGPL-3.0-header"), ("Affero", "AGPL-3.0-header")]:
+        assert found_in(f"// {header.replace('General', word + ' General')} //") == [(name, 1.0)]
+    assert found_in(header.replace("version 3", "version 2")) == [("GPL-2.0-header", 1.0)]
+    for opening in ("Distributed", "Made available", "This package is free and comes"):
+        assert found_in(f"{opening} under the MIT License.") == [("MIT-under", 1.0)]
+    assert found_in("Distributed under the terms of the ISC license") == [("ISC-under", 1.0)]
+    assert found_in("This work is licensed under the GNU General Public License, version 2.") == [("GPL-2.0-work", 1.0)]
+    assert found_in("This work is licensed under the GNU Affero General Public License, version 3.") == [("AGPL-3.0-work", 1.0)]
+    assert found_in("Licensed under CC BY-NC-ND 4.0.") == [("CC-BY-NC-ND-4.0-licensed", 1.0)]
+    assert found_in("Licensed under CC BY-NC 3.0.") == [("CC-BY-NC-3.0-licensed", 1.0)]
+
+
+def test_whole_licenses_are_spanned():
+    texts = {n: t for n, t in license_alignment.TEMPLATES.items() if n.endswith("-text")}
+    assert {"MIT-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "ISC-text", "Unlicense-text", "GPL-2.0-text"} <= set(texts)
+    index = license_alignment.Index(license_alignment.TEMPLATES)
+    for name, text in texts.items():
+        (row,) = license_alignment.matches(index, f"Copyright someone. {text} The end of it.")
+        assert row[0] == name and row[3] == 1 and row[4] >= 19 and row[5] >= 19 + 0.95 * len(text)
+
+
+def test_reachable_words_bound_the_alignment():
+    rng = random.Random(9)
+    for _ in range(300):
+        template = [rng.randint(1, 9) for _ in range(rng.randint(3, 12))]
+        text = [rng.randint(0, 9) for _ in range(rng.randint(1, 30))]
+        low = rng.randint(-12, 25)
+        bound = license_alignment.reachable(template, license_alignment.np.array(text), low, low + 2)
+        count = license_alignment.align(template, text, low, low + 2)[0]
+        assert bound >= count or bound < license_alignment.COVERAGE * len(template) > count

@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from cadaspark.llm import (
     hilbert_neighbours,
     hyperdimensional_language,
+    importance_resampling,
     jaccard_regions,
     license_alignment,
     packing,
     page_trees,
     quality_trees,
     sentencepiece_bpe,
+    spelling_variants,
     url_cascade,
     weak_rules,
+    winnowed_leaks,
 )
 from cadaspark.llm.arrow import fresh
+from cadaspark.sources.scratch import keep
 
 
 QUALITY_FROM = 0.3
@@ -122,6 +126,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    weighed = importance_resampling.weigh(docs.select("doc_id", "text"), target)
+    done = importance_resampling.draw(weighed.drop("text"), percent=10, least_words=20, seed=2024)
+    return done.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_variants.word_counts(table(spark, sf_dir, "documents"), least_length=6, drop_every=199)
+    return spelling_variants.groups(keep(words.where("n >= 5"), "frequent-words"), factor=5)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = winnowed_leaks.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return done.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language": op2_language,
@@ -133,6 +157,9 @@ QUERIES = {
     "op8_hilbert": op8_hilbert,
     "op9_pages": op9_pages,
     "op10_url_filter": op10_url_filter,
+    "op11_resampling": op11_resampling,
+    "op12_spelling": op12_spelling,
+    "op13_decontamination": op13_decontamination,
 }
 CHECKS: dict[str, str] = {
     "op10_url_filter": f"""

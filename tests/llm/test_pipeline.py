@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_query_is_registered():
     names = __spark_entry__.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
 
 
 def test_stages_follow_their_operators(spark):

@@ -7,6 +7,11 @@ sets agree on at least one part. All sets with the same part form a neighbourhoo
 everything that shares a neighbourhood with it form its region; a set lies in each region whose pivot it touches, which is the
 replication at the boundaries. Two linked sets meet in at least one region.
 
+The parts of all sets travel once, packed: a task sends four bytes of a part's hash and the set's id to the bucket of the hash, many at
+a time, and a bucket tells who shares what. A part that many sets of one task hold (a large group of near copies) sends one of them,
+and its other holders learn the pivot by a salted join. Only then do the sets themselves travel, once to meet the list of their regions and once to
+each region, in six bytes a shingle, most of which compress to five.
+
 Regions that are small enough are joined in one task: distances to a pivot give links, and by the triangle inequality a linked set
 needs no look of its own when nothing outside the pivot's component lies within its window. Larger regions lose what is linked to the
 pivot and lies outside all windows, and the rest is divided again with new parts and pivots; what does not shrink is joined block
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadaspark.llm.arrow import slices
@@ -39,10 +44,15 @@ LEAF_SETS, LEAF_SHINGLES = 4_000, 2_000_000
 ROUNDS = 4
 # Classes of sizes, in steps of the largest ratio between linked sets.
 CLASS_STEPS = 4
-# Ids are broadcast up to this many (16 MB); beyond it they are joined.
-BROADCAST_IDS = 2_000_000
-# Shared parts and places in regions likewise (two short columns each, about 30 MB).
-BROADCAST_KEYS = 1_000_000
+# A task packs about this many parts before it sends them, and a bucket is meant for about so many.
+PACKED, BUCKET = 4_000_000, 1_000_000
+LEAST_BUCKETS = 64
+# A part held by so many sets of one pack sends one of them; its other holders are told by a join in SALTS shares.
+HEAVY, SALTS = 64, 16
+# Fixed bits of the filter of ids whose sets are needed (4 MB); when it fills, more sets travel than needed.
+FILTER_BITS = 1 << 25
+# Further partitions for sets of which too many parts were empty.
+MORE = 8
 REMEMBERED = 400_000
 _WORDS: dict[bytes, int] = {}
 MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -126,72 +136,201 @@ class Plan:
         return sure, np.concatenate(out).view(np.int64)
 
 
-def _ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Join with a table of distinct ``doc_id``: broadcast behind a check of its size."""
-    small = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, "doc_id", how)
+def pack_set(h: np.ndarray) -> bytes:
+    """A set in 48 bits a shingle, in order: the upper bytes repeat and compress."""
+    low = np.sort(h & np.uint64((1 << 48) - 1))
+    return (low >> np.uint64(40)).astype(np.uint8).tobytes() + (low >> np.uint64(32)).astype(np.uint8).tobytes() + low.astype(np.uint32).tobytes()
+
+
+def unpack_set(packed: bytes) -> np.ndarray:
+    n = len(packed) // 6
+    upper, middle = np.frombuffer(packed, np.uint8, n).astype(np.uint64), np.frombuffer(packed, np.uint8, n, n).astype(np.uint64)
+    return upper << np.uint64(40) | middle << np.uint64(32) | np.frombuffer(packed, np.uint32, n, 2 * n)
+
+
+def _batch(columns: dict[str, pa.Array], rows: int) -> pa.RecordBatch:
+    arrays = [columns.get(f.name, None) for f in TOLD]
+    arrays = [pa.nulls(rows, f.type) if a is None else a.cast(f.type) for a, f in zip(arrays, TOLD, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, [f.name for f in TOLD])
+
+
+# Rows of a text (doc_id to sure), of a pack of parts (bucket, keys, owners, several) or of heavy parts (heavy_key, heavy_id).
+TOLD = pa.schema([
+    ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fingerprint", pa.binary()), ("sure", pa.bool_()), ("bucket", pa.int64()),
+    ("keys", pa.binary()), ("owners", pa.binary()), ("several", pa.binary()), ("heavy_key", pa.int64()), ("heavy_id", pa.int64()),
+])
+TOLD_DDL = (
+    "doc_id bigint, n_shingles bigint, fingerprint binary, sure boolean, bucket bigint, keys binary, owners binary, several binary, "
+    "heavy_key bigint, heavy_id bigint"
+)
+
+
+def _packs(keys: np.ndarray, owners: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Parts and the ids of their sets, by bucket; heavy parts send their least id, and a row for every holder."""
+    if not len(keys):
+        return
+    bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
+    place = (bucket << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)).view(np.int64)
+    order = np.lexsort((owners, place))
+    place, owners = place[order], owners[order]
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    times = np.diff(np.append(first, len(place)))
+    heavy = np.repeat(times >= HEAVY, times)
+    for start in range(0, int(heavy.sum()), 100_000):
+        some = slice(start, start + 100_000)
+        k, o = place[heavy][some], owners[heavy][some]
+        yield _batch({"heavy_key": pa.array(k), "heavy_id": pa.array(o)}, len(k))
+    sent = ~heavy
+    sent[first] = True
+    several, place, owners = heavy[sent].astype(np.uint8), place[sent], owners[sent]
+    bounds = np.searchsorted(place, np.arange(buckets + 1) << 32)
+    filled = np.flatnonzero(np.diff(bounds))
+    for start in range(0, len(filled), 256):
+        some = filled[start : start + 256]
+        spans = [slice(bounds[b], bounds[b + 1]) for b in some]
+        packed = {
+            "bucket": pa.array(some),
+            "keys": pa.array([place[x].astype(np.uint32).tobytes() for x in spans], pa.binary()),
+            "owners": pa.array([owners[x].tobytes() for x in spans], pa.binary()),
+            "several": pa.array([several[x].tobytes() for x in spans], pa.binary()),
+        }
+        yield _batch(packed, len(some))
+
+
+def measured(docs: DataFrame, plan: Plan, salt: int = 0, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """Rows of ``TOLD`` for every text, or for those with so many shingles; within a pack equal sets send the parts of the least id."""
+    chars = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    # a word takes five bytes at least; keys are the share of shingles in which linked sets can differ
+    buckets = int(max(LEAST_BUCKETS, plan.differ(chars // 5) // BUCKET))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple[int, bool, np.ndarray]] = {}
+        waiting = 0
 
-def measured(docs: DataFrame, plan: Plan, salt: int = 0) -> DataFrame:
-    """doc_id, n_shingles, fingerprint of the set, ``sure`` and the projection keys of every text."""
+        def packs() -> Iterator[pa.RecordBatch]:
+            if held:
+                ids = np.array([i for i, _, _ in held.values()], dtype=np.int64)
+                keys = [k for _, _, k in held.values()]
+                yield from _packs(np.concatenate(keys).view(np.uint64), np.repeat(ids, [len(k) for k in keys]), buckets)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            sizes, prints, sure, keys = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            rows = []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = shingles(text, plan.width)
-                sizes.append(len(h))
-                prints.append(xxhash.xxh3_128_hexdigest(h.tobytes()) if len(h) else None)
-                certain, found = plan.projections(h, salt)
-                sure.append(certain)
-                keys.append(found)
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.string()), pa.array(sure), lists],
-                ["doc_id", "n_shingles", "fingerprint", "sure", "keys"],
-            )
+                if sizes and not sizes[0] <= len(h) <= sizes[1]:
+                    continue
+                if not len(h):
+                    rows.append((i, 0, None, True))
+                    continue
+                mark = xxhash.xxh3_128_digest(h.tobytes())
+                if mark in held:
+                    least, sure, keys = held[mark]
+                else:
+                    least, (sure, keys) = i, plan.projections(h, salt)
+                    waiting += len(keys)
+                rows.append((i, len(h), mark, sure))
+                if i is not None:
+                    held[mark] = (min(i, least), sure, keys)
+            if rows:
+                i, n, mark, sure = zip(*rows, strict=True)
+                columns = {
+                    "doc_id": pa.array(i, pa.int64()), "n_shingles": pa.array(n, pa.int64()),
+                    "fingerprint": pa.array(mark, pa.binary()), "sure": pa.array(sure, pa.bool_()),
+                }
+                yield _batch(columns, len(rows))
+            if waiting > PACKED:
+                yield from packs()
+                held, waiting = {}, 0
+        yield from packs()
+
+    narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    return narrow.mapInArrow(run, TOLD_DDL)
+
+
+def _place() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("bigint")
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
+
+
+def id_filter(ids: DataFrame) -> DataFrame:
+    """(filter_word, filter_bits) of some ids: at most FILTER_BITS / 64 rows, whatever their number."""
+    words = ids.select(F.shiftright(_place(), 6).alias("filter_word"), _bit(_place()).alias("b"))
+    return keep(words.groupBy("filter_word").agg(F.bit_or("b").alias("filter_bits")), "id-filter")
 
-    schema = "doc_id bigint, n_shingles bigint, fingerprint string, sure boolean, keys array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
 
+def passing(df: DataFrame, held: DataFrame, yes: bool = True) -> DataFrame:
+    """Rows whose ``doc_id`` passes a filter, or those that it is sure not to hold; null ids never pass."""
+    met = df.join(F.broadcast(held), F.shiftright(_place(), 6) == F.col("filter_word"), "left")
+    hit = F.col("doc_id").isNotNull() & F.coalesce(F.col("filter_bits").bitwiseAND(_bit(_place())) != 0, F.lit(False))
+    return met.where(hit if yes else ~hit).select(*[F.col(f"`{c}`") for c in df.columns])
 
-def sets_of(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id and the packed set of every text."""
+
+def sets_of(docs: DataFrame, ids: DataFrame, plan: Plan) -> DataFrame:
+    """doc_id and the packed set of every text whose id is among ``ids``, and of a few others that pass their filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            packed = [shingles(t, plan.width).tobytes() for t in batch.column(1).to_pylist()]
+            packed = [pack_set(shingles(t, plan.width)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "set"])
 
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, "doc_id bigint, set binary")
+    return passing(narrow, id_filter(ids)).mapInArrow(run, "doc_id bigint, set binary")
+
+
+def shared_parts(told: DataFrame) -> DataFrame:
+    """(cell, doc_id): every set with the pivot, the least id, of each of its parts that another set holds; from rows of ``TOLD``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, owners, several = (
+            np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t)
+            for c, t in (("keys", np.uint32), ("owners", np.int64), ("several", np.uint8))
+        )
+        bucket = table.column("bucket")[0].as_py()
+        order = np.lexsort((owners, keys))
+        keys, owners, several = keys[order], owners[order], several[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        times = np.diff(np.append(first, len(keys)))
+        pivot = np.repeat(owners[first], times)
+        many = np.repeat(times > 1, times)
+        met = np.unique(np.stack([pivot[many], owners[many]]), axis=1)
+        heavy = first[np.maximum.reduceat(several, first) > 0]
+        return pa.table({
+            "cell": pa.array(np.concatenate([met[0], owners[heavy]])),
+            "doc_id": pa.array(np.concatenate([met[1], owners[heavy]])),
+            "heavy_key": pa.concat_arrays([pa.nulls(met.shape[1], pa.int64()), pa.array(bucket << 32 | keys[heavy].astype(np.int64))]),
+        })
+
+    packs = told.where("bucket is not null").select("bucket", "keys", "owners", "several")
+    met = keep(packs.groupBy("bucket").applyInArrow(run, "cell bigint, doc_id bigint, heavy_key bigint"), "shared-parts")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    pivots = met.where("heavy_key is not null").select("heavy_key", "cell", salts)
+    holders = told.where("heavy_key is not null").select(
+        "heavy_key", F.col("heavy_id").alias("doc_id"), F.pmod("heavy_id", F.lit(SALTS)).cast("int").alias("salt")
+    )
+    told_by_join = holders.join(pivots, ["heavy_key", "salt"]).select("cell", "doc_id")
+    return met.select("cell", "doc_id").union(told_by_join).distinct()
 
 
 def _regions(keyed: DataFrame, salt: int) -> DataFrame:
-    """(cell, doc_id) of all regions with at least two sets, from (outer, doc_id, keys, out).
+    """(cell, doc_id) of all regions with at least two sets inside the regions that are divided, from (outer, doc_id, keys, out).
 
-    The pivot of a neighbourhood is its least member in an order that changes from round to round. ``outer`` and ``out``, if given, are
-    the region that is divided and whether the set still looks for links; neighbourhoods without such a set are left.
+    The pivot of a neighbourhood is its least member in an order that changes from round to round. ``out`` is whether a set still looks
+    for links; neighbourhoods without such a set are left.
     """
-    divided = "outer" in keyed.columns
-    inside = ["outer"] if divided else []
-    single = keyed.select(*inside, F.explode("keys").alias("key"), "doc_id", *(["out"] if divided else []))
-    # without a salt a plain number will do
-    order = F.struct(F.xxhash64("doc_id", F.lit(salt)), F.col("doc_id").alias("d")) if salt else F.col("doc_id")
-    pivot, other = (F.col("p.d"), F.col("q.d")) if salt else (F.col("p"), F.col("q"))
-    looked = [F.max("out").alias("out")] if divided else []
-    common = single.groupBy(*inside, "key").agg(
-        F.min(order).alias("p"), F.max(order).alias("q"), F.count("*").alias("n"), *looked
-    ).where("p != q")
-    common = common.where("out") if divided else common
-    common = keep(common.select(*inside, "key", "n", pivot.alias("pivot"), other.alias("other")), "shared-parts")
+    single = keyed.select("outer", F.explode("keys").alias("key"), "doc_id", "out")
+    order = F.struct(F.xxhash64("doc_id", F.lit(salt)), F.col("doc_id").alias("d"))
+    common = single.groupBy("outer", "key").agg(
+        F.min(order).alias("p"), F.max(order).alias("q"), F.count("*").alias("n"), F.max("out").alias("out")
+    ).where("p != q and out")
+    common = keep(common.select("outer", "key", "n", F.col("p.d").alias("pivot"), F.col("q.d").alias("other")), "divided-parts")
     # two members are known already; only parts with more of them meet the sets again
-    pairs = common.where("n = 2").select(*inside, "pivot", F.explode(F.array("pivot", "other")).alias("doc_id"))
-    many = common.where("n > 2").select(*inside, "key", "pivot")
-    many = F.broadcast(many) if many.count() <= BROADCAST_KEYS else many
-    met = single.join(many, [*inside, "key"]).select(*inside, "pivot", "doc_id").union(pairs)
-    return met.select(F.concat_ws("/", *inside, "pivot").alias("cell"), "doc_id").distinct()
+    pairs = common.where("n = 2").select("outer", "pivot", F.explode(F.array("pivot", "other")).alias("doc_id"))
+    many = common.where("n > 2").select("outer", "key", "pivot")
+    met = single.join(many, ["outer", "key"]).select("outer", "pivot", "doc_id").union(pairs)
+    return met.select(F.xxhash64("outer", "pivot").alias("cell"), "doc_id").distinct()
 
 
 def _centres(keyed: DataFrame) -> DataFrame:
@@ -241,7 +380,7 @@ def _joined_leaves(members: DataFrame, plan: Plan) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
-        sets = [np.frombuffer(s, dtype=np.uint64) for s in table.column("set").to_pylist()]
+        sets = [unpack_set(s) for s in table.column("set").to_pylist()]
         found = leaf_links(table.column("doc_id").to_numpy(), sets, plan) if len(sets) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
@@ -256,7 +395,7 @@ def _pivot_distances(members: DataFrame, plan: Plan) -> DataFrame:
         for batch in batches:
             far, near = [], []
             for s, p in zip(batch.column("set").to_pylist(), batch.column("pivot_set").to_pylist(), strict=True):
-                x, y = np.frombuffer(s, dtype=np.uint64), np.frombuffer(p, dtype=np.uint64)
+                x, y = unpack_set(s), unpack_set(p)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 far.append(1 - both / (len(x) + len(y) - both))
                 near.append(bool(plan.links(both, len(x), len(y))))
@@ -277,24 +416,29 @@ def _blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
     )
     placed = members.join(wide, "outer").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(77)), F.col("k")).cast("int"))
     placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    pair = F.concat_ws("/", "outer", F.least("block", "other"), F.greatest("block", "other"))
+    pair = F.xxhash64("outer", F.least("block", "other"), F.greatest("block", "other"))
     return placed.select(pair.alias("cell"), "doc_id").distinct()
 
 
 def _more_parts(docs: DataFrame, points: DataFrame, plan: Plan) -> DataFrame:
-    """Regions from further parts around sets of which too many parts were empty, until each has met its partners."""
+    """Regions from further parts around sets of which too many parts were empty, until each has met its partners.
+
+    What is left after ``MORE`` partitions meets all sets of its sizes in one region, which is divided like any other.
+    """
     unsure = points.where("not sure")
-    low, high = unsure.agg(F.min("n_shingles"), F.max("n_shingles")).first()
-    sizes = F.col("n_shingles").between(low * plan.percent // 100, high * 100 // plan.percent + 1)
-    around = points.where(sizes).select("doc_id")
     cells = None
-    for salt in itertools.count(1000):
-        again = keep(measured(_ids(docs, around, "left_semi"), plan, salt), "projections")
-        more = _regions(again, 0)
+    for salt in range(1000, 1000 + MORE):
+        low, high = unsure.agg(F.min("n_shingles"), F.max("n_shingles")).first()
+        again = keep(measured(docs, plan, salt, (low * plan.percent // 100, high * 100 // plan.percent + 1)), "projections")
+        more = shared_parts(again).select(F.xxhash64("cell", F.lit(salt)).alias("cell"), "doc_id")
         cells = more if cells is None else cells.union(more)
-        unsure = keep(again.where("not sure").select("doc_id").join(unsure.select("doc_id").distinct(), "doc_id"), "unsure")
+        left = again.where("not sure").select("doc_id", "n_shingles").distinct()
+        unsure = keep(left.join(unsure.select("doc_id").distinct(), "doc_id", "left_semi"), "unsure")
         if unsure.limit(1).count() == 0:
             return cells
+    low, high = unsure.agg(F.min("n_shingles"), F.max("n_shingles")).first()
+    band = points.where(F.col("n_shingles").between(low * plan.percent // 100, high * 100 // plan.percent + 1))
+    return cells.union(band.select(F.lit(-1).cast("bigint").alias("cell"), "doc_id").distinct())
 
 
 def _keys_again(members: DataFrame, plan: Plan, salt: int) -> DataFrame:
@@ -302,50 +446,52 @@ def _keys_again(members: DataFrame, plan: Plan, salt: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [plan.projections(np.frombuffer(s, dtype=np.uint64), salt) for s in batch.column(2).to_pylist()]
+            found = [plan.projections(unpack_set(s), salt) for s in batch.column(2).to_pylist()]
             keys = pa.array([k.tolist() for _, k in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([s for s, _ in found]), keys], ["outer", "doc_id", "sure", "keys"]
             )
 
     narrow = members.select("outer", "doc_id", "set")
-    return narrow.mapInArrow(run, "outer string, doc_id bigint, sure boolean, keys array<bigint>")
+    return narrow.mapInArrow(run, "outer bigint, doc_id bigint, sure boolean, keys array<bigint>")
 
 
-def link_table(docs: DataFrame, points: DataFrame, plan: Plan) -> DataFrame:
-    """Links (a, b) between different sets. ``points``: doc_id, n_shingles, sure, keys, one row per distinct set."""
+def link_table(docs: DataFrame, told: DataFrame, points: DataFrame, plan: Plan) -> DataFrame:
+    """Links (a, b) between different sets. ``points``: doc_id, n_shingles, sure, one row per distinct set; ``told``: rows of TOLD."""
     spark = docs.sparkSession
-    size_of = points.select("doc_id", "n_shingles")
-    cells = _regions(points.select("doc_id", "keys"), 0)
+    size_of = points.select("doc_id", "n_shingles").distinct()
+    cells = shared_parts(told)
     if points.where("not sure").limit(1).count():
         cells = cells.union(_more_parts(docs, points, plan)).distinct()
+    # equal sets are represented by one of them; regions left with a single set have nothing to find
     cells = keep(cells.join(size_of, "doc_id"), "regions")
-    sets = keep(sets_of(_ids(docs, cells.select("doc_id").distinct(), "left_semi"), plan), "sets")
-    if sets.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        sets = keep(sets.distinct(), "sets")
     links = spark.createDataFrame([], "a bigint, b bigint")
+    sets = None
     for salt in range(1, ROUNDS + 1):
-        sizes = cells.groupBy("cell").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("shingles"))
-        large = keep(sizes.where((F.col("sets") > LEAF_SETS) | (F.col("shingles") > LEAF_SHINGLES)), "large-regions")
-        some = large.limit(1).count() > 0
-        small = cells.join(large.select("cell"), "cell", "left_anti") if some else cells
-        places = keep(small.select("cell", "doc_id"), "leaf-places")
-        places = F.broadcast(places) if places.count() <= BROADCAST_KEYS else places
-        links = links.union(_joined_leaves(sets.join(places, "doc_id"), plan))
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("shingles")).where("sets > 1")
+        sizes = keep(sizes.select("*", ((F.col("sets") > LEAF_SETS) | (F.col("shingles") > LEAF_SHINGLES)).alias("large")), "region-sizes")
+        some = sizes.where("large").limit(1).count() > 0
+        places = cells.join(sizes.where("not large").select("cell"), "cell", "left_semi").select("cell", "doc_id")
+        places = keep(places.distinct(), "leaf-places")
+        here = sets_of(docs, places.select("doc_id"), plan) if sets is None else sets
+        links = links.union(_joined_leaves(here.join(places.hint("merge"), "doc_id"), plan))
         if not some:
             return links
-        rest = cells.join(large.select("cell"), "cell", "left_semi").select(F.col("cell").alias("outer"), "doc_id", "n_shingles")
+        rest = cells.join(sizes.where("large").select("cell"), "cell", "left_semi")
+        rest = keep(rest.select(F.col("cell").alias("outer"), "doc_id", "n_shingles"), "divided")
+        # the sets of large regions are met again in every round
+        sets = keep(sets_of(docs, rest.select("doc_id"), plan).dropDuplicates(["doc_id", "set"]), "sets") if sets is None else sets
         again = keep(_keys_again(rest.join(sets, "doc_id"), plan, salt), "projections")
         aims = keep(_centres(again), "centres")
         pivot_sets = sets.join(aims.select(F.col("pivot").alias("doc_id")).distinct(), "doc_id")
         pivot_sets = pivot_sets.select(F.col("doc_id").alias("pivot"), F.col("set").alias("pivot_set"))
         placed = rest.join(sets, "doc_id").join(aims.join(pivot_sets, "pivot"), "outer")
-        told = keep(_pivot_distances(placed, plan), "pivot-distances")
-        near = told.where("near and doc_id != pivot")
+        spread = keep(_pivot_distances(placed, plan), "pivot-distances")
+        near = spread.where("near and doc_id != pivot")
         links = links.union(near.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
         # linked sets stay only where the window of a set outside the pivot's ball reaches them
-        edge = told.where("not near").groupBy("outer").agg(F.min("far").alias("nearest"))
-        left = told.join(edge, "outer").where(f"not near or far + {plan.radius + 1e-9} >= nearest")
+        edge = spread.where("not near").groupBy("outer").agg(F.min("far").alias("nearest"))
+        left = spread.join(edge, "outer").where(f"not near or far + {plan.radius + 1e-9} >= nearest")
         left = keep(left.select("outer", "doc_id", "n_shingles", (~F.col("near")).alias("out")), "left-over")
         if left.limit(1).count() == 0:
             return links
@@ -362,25 +508,38 @@ def classes(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     plan = plan or Plan()
     texts = docs.select("doc_id", "text")
     told = keep(measured(texts, plan), "shingle-sets")
-    known = told.where("doc_id is not null and fingerprint is not null")
-    first = known.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
-    mine = keep(known.select("doc_id", "fingerprint").join(first, "fingerprint").select("doc_id", "rep").distinct(), "equal-sets")
-    reps = mine.where("doc_id = rep").select("doc_id")
-    points = keep(_ids(known.select("doc_id", "n_shingles", "sure", "keys"), reps, "left_semi"), "points")
-    links = link_table(texts.where("doc_id is not null"), points, plan)
+    rows = told.where("n_shingles is not null").select("doc_id", "n_shingles", "fingerprint", "sure")
+    known = rows.where("doc_id is not null and fingerprint is not null")
+    # only sets that several ids hold are joined, in shares: one set may be held by very many
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    first = known.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
+    first = first.select("fingerprint", "rep", salts)
+    salted = known.select("*", F.pmod("doc_id", F.lit(SALTS)).cast("int").alias("salt"))
+    mine = salted.join(first, ["fingerprint", "salt"], "left")
+    mine = keep(mine.select("doc_id", "n_shingles", "sure", F.coalesce("rep", "doc_id").alias("rep")), "equal-sets")
+    points = mine.where("doc_id = rep").select("doc_id", "n_shingles", "sure")
+    links = link_table(texts, told, points, plan)
     equal = mine.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = keep(components(links.union(equal)), "components")
-    done = told.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    done = rows.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return done.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
-    """The row with the least id of every component, with all its columns; of rows that share an id one stays."""
+    """The row with the least id of every component, with all its columns.
+
+    Of rows that share an id the one with the least text stays, and of equal ones any.
+    """
     told = keep(classes(docs, plan), "jaccard-classes").where("doc_id is not null")
     gone = told.where("doc_id != component_id").select("doc_id").distinct()
-    out = _ids(docs, gone, "left_anti")
+    gone = keep(gone, "gone")
+    # most rows are sure to stay and do not travel; the others are looked up
+    held = id_filter(gone)
+    doubtful = passing(docs, held).join(gone, "doc_id", "left_anti")
+    out = passing(docs, held, yes=False).select(*docs.columns).union(doubtful.select(*docs.columns))
     repeated = told.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     if repeated:
-        named = out.where("doc_id is not null").dropDuplicates(["doc_id"])
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        named = out.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(whole, F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row")).select("row.*")
         out = named.unionByName(out.where("doc_id is null"))
     return out.select(*docs.columns)

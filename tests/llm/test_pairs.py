@@ -11,16 +11,17 @@ from cadaspark.llm import components, hilbert_neighbours, jaccard_regions, plans
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
 
-def shingle_set(text):
+def shingle_set(text, width=3):
     words = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOWER))
-    return frozenset(zip(words, words[1:], words[2:])) if len(words) >= 3 else frozenset([tuple(words)] if words else [])
+    runs = zip(*[words[i:] for i in range(width)])
+    return frozenset(runs) if len(words) >= width else frozenset([tuple(words)] if words else [])
 
 
-def brute(rows, percent=90):
+def brute(rows, percent=90, width=3):
     """(n_shingles, smallest reachable id) by comparing every two sets."""
     sets = defaultdict(list)
     for i, text in rows:
-        sets[i].append(shingle_set(text))
+        sets[i].append(shingle_set(text, width))
     parent = {i: i for i in sets}
 
     def find(x):
@@ -35,7 +36,7 @@ def brute(rows, percent=90):
             if 100 * both >= percent * (len(x) + len(y) - both):
                 p, q = sorted((find(i), find(j)))
                 parent[q] = p
-    return Counter((i, len(shingle_set(t)), find(i)) for i, t in rows)
+    return Counter((i, len(shingle_set(t, width)), find(i)) for i, t in rows)
 
 
 def answers(df, plan=None):
@@ -73,6 +74,30 @@ def test_families_of_near_copies(spark, mixed):
     assert answers(spark.createDataFrame(mixed, "doc_id long, text string")) == brute(mixed)
 
 
+def test_families_at_five_words_and_80_percent(spark, mixed):
+    plan = jaccard_regions.Plan(percent=80, width=5)
+    assert answers(spark.createDataFrame(mixed, "doc_id long, text string"), plan) == brute(mixed, 80, 5)
+
+
+def test_heavy_parts_and_many_packs(spark, mixed, monkeypatch):
+    """Parts that many sets hold send one of them from each pack."""
+    monkeypatch.setattr(jaccard_regions, "HEAVY", 2)
+    monkeypatch.setattr(jaccard_regions, "PACKED", 300)
+    monkeypatch.setattr(jaccard_regions, "SALTS", 3)
+    assert answers(spark.createDataFrame(mixed, "doc_id long, text string")) == brute(mixed)
+
+
+def test_sets_survive_packing():
+    h = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 3000, dtype=np.uint64))
+    assert (jaccard_regions.unpack_set(jaccard_regions.pack_set(h)) == np.sort(h & np.uint64((1 << 48) - 1))).all()
+
+
+def test_one_row_stays_of_an_id_with_two_texts(spark):
+    rows = [(1, "b c d"), (1, "a b c"), (2, "x y z"), (3, "b c d")]
+    kept = jaccard_regions.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == [(1, "a b c"), (2, "x y z")]
+
+
 def test_large_regions_are_divided(spark, mixed, monkeypatch):
     monkeypatch.setattr(jaccard_regions, "LEAF_SETS", 6)
     assert answers(spark.createDataFrame(mixed, "doc_id long, text string")) == brute(mixed)
@@ -84,8 +109,10 @@ def test_blocks_join_what_does_not_shrink(spark, mixed, monkeypatch):
     assert answers(spark.createDataFrame(mixed, "doc_id long, text string")) == brute(mixed)
 
 
-def test_empty_parts_are_made_up_for(spark, mixed, monkeypatch):
+@pytest.mark.parametrize("more", [8, 1])
+def test_empty_parts_are_made_up_for(spark, mixed, monkeypatch, more):
     """With hardly more parts than can differ, many sets are unsure of meeting and further parts are needed."""
+    monkeypatch.setattr(jaccard_regions, "MORE", more)
     monkeypatch.setattr(jaccard_regions.Plan, "parts_of", lambda self, c: self.differ(int((10 / 9) ** (4 * c + 5)) + 1) + 1)
     assert answers(spark.createDataFrame(mixed, "doc_id long, text string")) == brute(mixed)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadaspark.functions import geo
 from cadaspark.functions.numeric import rnd
-from cadaspark.operators import cells
+from cadaspark.operators import cells, polygons
 from cadaspark.operators.ordered import with_previous
 
 RIVER_BOUND_M = 80000.0
@@ -65,56 +65,11 @@ def building_rings(parcels: DataFrame, buildings: DataFrame) -> DataFrame:
     return parcels.join(named, ["lat", "lng"], "left")
 
 
-def _polygon_hits(points: DataFrame, edges: DataFrame, margin: float) -> DataFrame:
-    """(place, polygon) pairs within ``margin`` metres, a place inside the outline counting as 0.
-
-    Edges are (feature_id, lat1, lng1, lat2, lng2); returns (lat, lng, feature_id, distance_m).
-    """
-    c = F.col
-    outline = edges.select("feature_id", "lat1", "lng1", "lat2", "lng2")
-    boxes = (
-        outline.withColumns(cells.box_of_lines(margin))
-        .groupBy("feature_id")
-        .agg(F.min("min_lat").alias("min_lat"), F.max("max_lat").alias("max_lat"),
-             F.min("min_lng").alias("min_lng"), F.max("max_lng").alias("max_lng"))
-    )
-    close = cells.box_join(cells.places(points), boxes, ["feature_id"])
-    met = cells.project_points(close).join(cells.project_lines(outline).drop("lat1", "lng1", "lat2", "lng2"), ["feature_id", "zone"])
-    # Even-odd rule in the projected plane: edges that straddle the point's northing, to its east.
-    straddles = (c("y1") > c("n")) != (c("y2") > c("n"))
-    to_east = c("e") < F.try_divide((c("x2") - c("x1")) * (c("n") - c("y1")), c("y2") - c("y1")) + c("x1")
-    tested = met.groupBy("lat", "lng", "feature_id").agg(
-        F.min(cells.line_distance()).alias("d"),
-        F.sum(F.when(F.when(straddles, to_east), 1).otherwise(0)).alias("crossings"),
-    )
-    return tested.select(
-        "lat", "lng", "feature_id",
-        F.when(c("crossings") % 2 == 1, 0.0).otherwise(c("d")).alias("distance_m"),
-    ).filter(c("distance_m") <= margin)
-
-
-def _containing_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(place, polygon) pairs with the place inside, edges taken as straight in degrees."""
-    c = F.col
-    outline = edges.select("feature_id", "lat1", "lng1", "lat2", "lng2")
-    boxes = outline.groupBy("feature_id").agg(
-        F.min(F.least("lat1", "lat2")).alias("min_lat"), F.max(F.greatest("lat1", "lat2")).alias("max_lat"),
-        F.min(F.least("lng1", "lng2")).alias("min_lng"), F.max(F.greatest("lng1", "lng2")).alias("max_lng"),
-    )
-    met = cells.box_join(cells.places(points), boxes, ["feature_id"]).join(outline, "feature_id")
-    straddles = (c("lat1") > c("lat")) != (c("lat2") > c("lat"))
-    to_east = c("lng") < F.try_divide((c("lng2") - c("lng1")) * (c("lat") - c("lat1")), c("lat2") - c("lat1")) + c("lng1")
-    tested = met.groupBy("lat", "lng", "feature_id").agg(
-        F.sum(F.when(F.when(straddles, to_east), 1).otherwise(0)).alias("crossings")
-    )
-    return tested.filter("crossings % 2 = 1").select("lat", "lng", "feature_id")
-
-
 def landuse_conflicts(parcels: DataFrame, edges: DataFrame, radius: float = OUTFALL_M) -> DataFrame:
     """Sorted conflicting tags per parcel (at most the eleven listed)."""
     tags = edges.select("feature_id", F.lower(F.trim("tag")).alias("tag")).filter(F.col("tag").isin(CONFLICT_TAGS))
     relevant = edges.join(tags.select("feature_id").distinct(), "feature_id", "left_semi")
-    hits = _polygon_hits(parcels, relevant, radius).join(tags.distinct(), "feature_id")
+    hits = polygons.in_metres(parcels, relevant, radius).join(tags.distinct(), "feature_id")
     found = hits.groupBy("lat", "lng").agg(F.sort_array(F.collect_set("tag")).alias("conflicts"))
     joined = parcels.join(found, ["lat", "lng"], "left")
     return joined.withColumn("conflicts", F.coalesce("conflicts", F.array().cast("array<string>")))
@@ -138,7 +93,7 @@ def outfall_asset(
         "lat", "lng", F.when(c("layer") == "river", 2).otherwise(3).alias("priority"), "feature_id", "distance_m"
     )
     wet = landuse if any_landuse else landuse.filter(F.lower("tag").isin(WATER_TAGS))
-    canals = _polygon_hits(spots, wet, OUTFALL_M).select(
+    canals = polygons.in_metres(spots, wet, OUTFALL_M).select(
         "lat", "lng", F.lit(1).alias("priority"), "feature_id", "distance_m"
     )
     best = linear.unionByName(canals).groupBy("lat", "lng").agg(
@@ -242,7 +197,7 @@ def sentinel_zone(lat: Column, lng: Column, zones=SENTINEL_ZONES) -> Column:
 def admin_lookup(parcels: DataFrame, outlines: DataFrame) -> DataFrame:
     """Boundary table lookup; ``outlines`` are polygon edges with state and area names."""
     names = outlines.select("feature_id", "state", "area").distinct()
-    hits = _containing_polygons(parcels, outlines).groupBy("lat", "lng").agg(F.min("feature_id").alias("feature_id"))
+    hits = polygons.in_degrees(parcels, outlines).groupBy("lat", "lng").agg(F.min("feature_id").alias("feature_id"))
     found = hits.join(names, "feature_id").select("lat", "lng", F.col("state").alias("_s"), F.col("area").alias("_a"))
     joined = parcels.join(found, ["lat", "lng"], "left")
     return joined.withColumns(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadaspark.functions import textrules
 from cadaspark.functions.numeric import rnd
-from cadaspark.operators.ordered import with_next
+from cadaspark.operators.carried import scan
 
 def prohibited_phrases(reports: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """One row per phrase found in each text field."""
@@ -83,9 +83,7 @@ def audit_log_stats(events: DataFrame) -> DataFrame:
     """
     c = F.col
     turning = events.filter(c("action").isin("shields_down", "shields_up", "shields_auto_restore"))
-    linked = with_next(
-        turning, ["sandbox"], ["ts", "event_id"], F.floor(F.unix_timestamp("ts") / 86400), ["action", "ts"], "nxt"
-    )
+    linked = scan(turning, ["sandbox"], ["ts", "event_id"], following={"nxt": ["action", "ts"]})
     ended = (c("action") == "shields_down") & (c("nxt.action") != "shields_down")
     micros = lambda t: F.unix_micros(t.cast("timestamp"))
     seconds = F.when(ended, (micros(c("nxt.ts")) - micros(c("ts"))) / 1e6)

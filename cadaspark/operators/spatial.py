@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cadaspark.functions import geo
 from cadaspark.functions.numeric import rnd
 from cadaspark.operators import cells, polygons
-from cadaspark.operators.ordered import with_previous
+from cadaspark.operators.carried import scan
 
 RIVER_BOUND_M = 80000.0
 ROAD_BOUND_M = 50000.0
@@ -164,15 +164,12 @@ def prior_report(reports: DataFrame, tolerance: float = SAME_PARCEL_M) -> DataFr
     """Most recent earlier report within ``tolerance`` metres of each report.
 
     An as-of join: the reports around one place form one stream in time order, and the predecessor
-    of a report there is its answer. No pair of reports is ever formed; days are the chunks.
+    of a report there is its answer. No pair of reports is ever formed, and a busy place spreads over many tasks.
     """
     c = F.col
     timeline = reports.select(c("lat").alias("qlat"), c("lng").alias("qlng"), "report_id", "generated_at")
     stream = near_places(reports, tolerance).join(timeline, ["qlat", "qlng"])
-    chunk = F.floor(F.unix_timestamp("generated_at") / 86400)
-    linked = with_previous(
-        stream, ["lat", "lng"], ["generated_at", "report_id"], chunk, ["report_id", "generated_at"], "prior"
-    )
+    linked = scan(stream, ["lat", "lng"], ["generated_at", "report_id"], previous={"prior": ["report_id", "generated_at"]})
     own = linked.filter((c("lat") == c("qlat")) & (c("lng") == c("qlng")))
     return own.select(
         "report_id", "generated_at",

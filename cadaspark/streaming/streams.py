@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cadaspark.operators.ordered import running_sums
+from cadaspark.operators.carried import scan
 from cadaspark.sources.scratch import scratch_path
 
 RETENTION = "24 hours"
@@ -76,13 +76,10 @@ def submission_windows(events: DataFrame, kind: str, lateness: str = "1 hour") -
 def call_limit(events: DataFrame) -> DataFrame:
     """Batch: every run, with its longest row of calls without a valid output and whether it passes three.
 
-    Gaps and islands: valid outputs number the islands, days are the chunks of a long run.
+    Gaps and islands: valid outputs number the islands.
     """
     c = F.col
-    numbered = running_sums(
-        events, ["run_id"], ["ts", "event_id"], F.floor(F.unix_timestamp("ts") / 86400),
-        {"island": F.when(c("valid"), 1).otherwise(0)},
-    )
+    numbered = scan(events, ["run_id"], ["ts", "event_id"], {"island": F.when(c("valid"), 1).otherwise(0)})
     streaks = numbered.filter(~c("valid")).groupBy("run_id", "island").agg(F.count("*").alias("streak"))
     worst = events.select("run_id").distinct().join(streaks.groupBy("run_id").agg(F.max("streak").alias("longest")), "run_id", "left")
     worst = worst.withColumn("longest", F.coalesce("longest", F.lit(0).cast("long")))

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadaspark.functions import geo
 from cadaspark.functions.numeric import rnd
-from cadaspark.operators import cells as cells_ops
-from cadaspark.operators import rings
-from cadaspark.operators.ordered import running_sums, with_next
+from cadaspark.operators import hulls, rings
 from cadaspark.operators.spatial import SENTINEL_ZONES, sentinel_zone
 from cadaspark.sources.scratch import keep
 
@@ -104,70 +102,45 @@ def metric_rings(vertices: DataFrame) -> DataFrame:
 
 
 def longest_axis(metric: DataFrame) -> DataFrame:
-    """Farthest vertex pair of each ring, clipped to the ring (its longest inside piece).
-
-    Vertices that cannot be an end of the farthest pair are dropped first: with R the largest
-    distance from the box centre and D the longer box side, an end lies at least D - R from it.
-    Ties within a millimetre go to the earlier pair.
-    """
-    c = F.col
+    """Farthest vertex pair of each ring, clipped to the ring (its longest inside piece); of zero length where all vertices coincide."""
     metric = keep(metric, "rings")
-    unique = metric.groupBy("run_id", "zone", "e", "n").agg(F.min("seq").alias("seq"))
-    box = unique.groupBy("run_id").agg(
-        F.min("e").alias("e0"), F.max("e").alias("e1"), F.min("n").alias("n0"), F.max("n").alias("n1")
-    )
-    away = geo.planar(c("e"), c("n"), (c("e0") + c("e1")) / 2, (c("n0") + c("n1")) / 2)
-    far = unique.join(box, "run_id").withColumn("away", away)
-    limit = far.groupBy("run_id").agg(
-        (F.max(F.greatest(c("e1") - c("e0"), c("n1") - c("n0"))) - F.max("away") - 0.01).alias("limit")
-    )
-    ends = far.join(limit, "run_id").filter("away >= limit").select("run_id", "zone", "seq", "e", "n")
-    other = ends.select("run_id", c("seq").alias("seq2"), c("e").alias("qe"), c("n").alias("qn"))
-    pairs = ends.join(other, "run_id").filter("seq < seq2")
-    length = geo.planar(c("e"), c("n"), c("qe"), c("qn"))
-    best = pairs.groupBy("run_id").agg(
-        F.min(F.struct((-F.floor(length * 1000 + 0.5)).alias("rank"), "seq", "seq2", "zone", "e", "n", "qe", "qn")).alias("b")
-    )
-    axis = best.select("run_id", "b.seq", "b.seq2", "b.zone", "b.e", "b.n", "b.qe", "b.qn")
     edges = rings.ring_edges(metric, "e", "n", rings.CLOSE_M).select("run_id", "x1", "y1", "x2", "y2")
-    return _clip(keep(axis, "axis"), keep(edges, "edges"))
+    return clipped(keep(hulls.longest_pairs(metric), "axis"), edges)
+
 
+def clipped(axis: DataFrame, edges: DataFrame) -> DataFrame:
+    """The longest run of pieces of each axis that lie inside its ring.
 
-def _clip(axis: DataFrame, edges: DataFrame) -> DataFrame:
-    """Cut the axis where it crosses edges and keep the longest run of inside pieces."""
+    Each edge is compared with the axis of its own ring only: it crosses the axis' line somewhere, or lies along it. Sorted along the line, crossings
+    switch between outside and inside; a stretch along an edge belongs to the ring.
+    """
     c = F.col
     dx, dy = c("qe") - c("e"), c("qn") - c("n")
-    ex, ey = c("x2") - c("x1"), c("y2") - c("y1")
-    det = dx * ey - dy * ex
-    met = axis.select("run_id", "e", "n", "qe", "qn").join(edges, "run_id").withColumn("det", det)
-    crossing = met.filter(F.abs("det") > 1e-9).select(
-        "run_id",
-        F.try_divide((c("x1") - c("e")) * ey - (c("y1") - c("n")) * ex, c("det")).alias("t"),
-        F.try_divide((c("x1") - c("e")) * dy - (c("y1") - c("n")) * dx, c("det")).alias("u"),
-    ).filter("t > 0 AND t < 1 AND u >= 0 AND u <= 1")
-    ends = axis.select("run_id", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
-    cuts = crossing.select("run_id", "t").unionByName(ends).select("run_id", rnd(c("t"), 9).alias("t")).distinct()
-    pieces = with_next(cuts, ["run_id"], ["t"], F.floor(c("t") * 256), ["t"], "nxt").select(
-        "run_id", c("t").alias("t1"), c("nxt.t").alias("t2")
-    ).filter("t2 IS NOT NULL")
-    middle = pieces.join(axis.select("run_id", "e", "n", "qe", "qn"), "run_id").withColumns(
-        {"mx": c("e") + (c("t1") + c("t2")) / 2 * dx, "my": c("n") + (c("t1") + c("t2")) / 2 * dy}
-    )
-    probe = middle.join(edges, "run_id")
-    straddles = (c("y1") > c("my")) != (c("y2") > c("my"))
-    east = c("mx") < F.try_divide((c("x2") - c("x1")) * (c("my") - c("y1")), c("y2") - c("y1")) + c("x1")
-    tested = probe.groupBy("run_id", "t1", "t2").agg(
-        # A piece running along an edge belongs to the ring.
-        (
-            (F.sum(F.when(F.when(straddles, east), 1).otherwise(0)) % 2 == 1)
-            | (F.min(cells_ops.line_distance("mx", "my")) <= ON_EDGE_M)
-        ).alias("inside")
+    side = lambda k: dx * (c(f"y{k}") - c("n")) - dy * (c(f"x{k}") - c("e"))
+    along = lambda k: (c(f"x{k}") - c("e")) * dx + (c(f"y{k}") - c("n")) * dy
+    line = axis.select("run_id", "e", "n", "qe", "qn", (dx * dx + dy * dy).alias("square")).where("square > 0")
+    met = line.join(edges, "run_id").withColumns({"s1": side(1), "s2": side(2), "t1": along(1) / c("square"), "t2": along(2) / c("square")})
+    crossing = met.where((c("s1") > 0) != (c("s2") > 0)).select(
+        "run_id", (c("t1") + (c("t2") - c("t1")) * c("s1") / (c("s1") - c("s2"))).alias("t"), F.lit(1).alias("flip"), F.lit(0).alias("cover")
     )
-    # Neighbouring inside pieces belong together: outside pieces number the islands.
-    islands = running_sums(
-        tested, ["run_id"], ["t1"], F.floor(c("t1") * 256), {"island": F.when(c("inside"), 0).otherwise(1)}
+    near = F.greatest(F.abs("s1"), F.abs("s2")) <= F.sqrt("square") * ON_EDGE_M
+    ends = F.explode(F.array(
+        F.struct(F.least("t1", "t2").alias("t"), F.lit(1).alias("cover")), F.struct(F.greatest("t1", "t2").alias("t"), F.lit(-1).alias("cover"))
+    )).alias("at")
+    lying = met.where(near & (c("t1") != c("t2"))).select("run_id", ends).select("run_id", "at.t", F.lit(0).alias("flip"), "at.cover")
+    border = line.select("run_id", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"), F.lit(0).alias("flip"), F.lit(0).alias("cover"))
+    events = crossing.unionByName(lying).unionByName(border).groupBy("run_id", rnd(c("t"), 9).alias("t")).agg(
+        F.sum("flip").alias("flip"), F.sum("cover").alias("cover")
     )
-    spans = islands.filter("inside").groupBy("run_id", "island").agg(F.min("t1").alias("a"), F.max("t2").alias("b"))
+    order = Window.partitionBy("run_id").orderBy("t")
+    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pieces = events.select(
+        "run_id", "t", F.lead("t").over(order).alias("until"), F.sum("flip").over(before).alias("flips"), F.sum("cover").over(before).alias("covers")
+    ).where("t >= 0 AND until <= 1")
+    # neighbouring inside pieces belong together: outside pieces number the islands
+    pieces = pieces.withColumn("inside", (c("flips") % 2 == 1) | (c("covers") > 0))
+    islands = pieces.withColumn("island", F.sum(F.when(c("inside"), 0).otherwise(1)).over(before))
+    spans = islands.where("inside").groupBy("run_id", "island").agg(F.min("t").alias("a"), F.max("until").alias("b"))
     longest = spans.groupBy("run_id").agg(
         F.min(F.struct((-F.floor((c("b") - c("a")) * 1e6 + 0.5)).alias("rank"), "a", "b")).alias("s")
     )

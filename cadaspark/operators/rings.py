@@ -1,7 +1,7 @@
 """Ordered-vertex geometry over long tables ``(run_id, seq, ...)`` with a dense ``seq`` from 0.
 
-Edges come from :func:`with_next`, which bounds the rows of one task even for one giant ring; all
-per-ring facts are plain aggregates with map-side combine.
+Edges meet on (run_id, seq), which bounds the rows of one task even for one giant ring; all per-ring facts are plain aggregates
+with map-side combine.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from cadaspark.functions.geo import WGS84, haversine, inside_box
 from cadaspark.functions.numeric import rnd
-from cadaspark.operators.ordered import running_sums, seq_chunk, with_next
+from cadaspark.operators.ordered import running_sums, seq_chunk
+from cadaspark.sources.scratch import keep
 
 KEY = ["run_id"]
 CLOSE_DEG = 1e-6
@@ -24,12 +25,21 @@ DEFAULT_ANCHOR = (250000.0, 1000000.0)
 
 
 def edges(points: DataFrame, x: str, y: str) -> DataFrame:
-    """One row per vertex with the following vertex as (x2, y2); null on the last one."""
-    linked = with_next(points.select("run_id", "seq", x, y), KEY, ["seq"], seq_chunk(), [x, y], "nxt")
-    return linked.select(
-        "run_id", "seq",
-        F.col(x).alias("x1"), F.col(y).alias("y1"),
-        F.col(f"nxt.{x}").alias("x2"), F.col(f"nxt.{y}").alias("y2"),
+    """One row per vertex with the following vertex as (x2, y2); null on the last one.
+
+    A vertex is the start of its own edge and the end of the one before: both meet on (run_id, seq), so that no ring stands in one task.
+    """
+    c = F.col
+    ends = F.array(
+        F.struct("seq", F.struct(c(x).alias("x"), c(y).alias("y")).alias("start"), F.lit(None).cast("struct<x:double,y:double>").alias("stop")),
+        F.struct((c("seq") - 1).cast(points.schema["seq"].dataType).alias("seq"), F.lit(None).cast("struct<x:double,y:double>").alias("start"),
+                 F.struct(c(x).alias("x"), c(y).alias("y")).alias("stop")),
+    )
+    met = points.select("run_id", F.explode(ends).alias("v")).groupBy("run_id", c("v.seq").alias("seq")).agg(
+        F.max("v.start").alias("start"), F.max("v.stop").alias("stop")
+    )
+    return met.where("start IS NOT NULL").select(
+        "run_id", "seq", c("start.x").alias("x1"), c("start.y").alias("y1"), c("stop.x").alias("x2"), c("stop.y").alias("y2")
     )
 
 
@@ -207,26 +217,28 @@ def _touch(d, ax, ay, bx, by, px, py) -> Column:
 def self_intersection(points: DataFrame, x: str = "lng", y: str = "lat") -> DataFrame:
     """Whether a ring crosses or touches itself.
 
-    Edges meet only inside a shared cell (cells as wide as the longest edge of the ring), so a ring
-    of many short edges is compared locally instead of pairwise.
+    Edges meet only inside a shared cell. Cells are as wide as the mean edge of the ring and long edges are cut into pieces of that
+    width (twice as many pieces as edges at most), so one long edge does not bring all others together. Whole edges are compared, so a
+    contact where an edge was cut counts like any other.
     """
     c = F.col
-    ring = ring_edges(points, x, y)
-    size = ring.groupBy("run_id").agg(
-        F.count("*").alias("m"),
-        F.max(F.greatest(F.abs(c("x2") - c("x1")), F.abs(c("y2") - c("y1")))).alias("size"),
-    )
-    sized = ring.join(size.filter("size > 0"), "run_id")
-
-    def span(a: str, b: str) -> Column:
-        return F.sequence(
-            F.floor(F.least(c(a), c(b)) / c("size")), F.floor(F.greatest(c(a), c(b)) / c("size"))
-        )
-
-    placed = sized.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
-    left = placed.select("run_id", "cx", "cy", "m", *[c(k).alias(f"a_{k}") for k in ("seq", "x1", "y1", "x2", "y2")])
-    right = placed.select("run_id", "cx", "cy", *[c(k).alias(f"b_{k}") for k in ("seq", "x1", "y1", "x2", "y2")])
-    pairs = left.join(right, ["run_id", "cx", "cy"]).filter("a_seq < b_seq")
+    ring = keep(ring_edges(points, x, y), "ring-edges")
+    width = F.greatest(F.abs(c("x2") - c("x1")), F.abs(c("y2") - c("y1")))
+    size = ring.groupBy("run_id").agg(F.count("*").alias("m"), F.avg(width).alias("size"))
+    sized = ring.join(size.filter("size > 0"), "run_id").withColumn("k", F.greatest(F.ceil(width / c("size")), F.lit(1)))
+    pieces = sized.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), c("k") - 1)))
+
+    def span(axis: str) -> Column:
+        p, q = (c(f"{axis}1") + (c(f"{axis}2") - c(f"{axis}1")) * (c("i") + j) / c("k") for j in (0, 1))
+        slack = c("size") * 1e-9
+        return F.sequence(F.floor((F.least(p, q) - slack) / c("size")), F.floor((F.greatest(p, q) + slack) / c("size")))
+
+    placed = pieces.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y"))).drop("i", "k", "size")
+    one, two = placed.alias("a"), placed.alias("b")
+    pairs = one.join(two, [c(f"a.{k}") == c(f"b.{k}") for k in ("run_id", "cx", "cy")]).filter("a.seq < b.seq").select(
+        c("a.run_id").alias("run_id"), c("a.m").alias("m"),
+        *[c(f"{s}.{k}").alias(f"{s}_{k}") for s in ("a", "b") for k in ("seq", "x1", "y1", "x2", "y2")],
+    )
     a, b = ([c(f"{s}_{k}") for k in ("x1", "y1", "x2", "y2")] for s in ("a", "b"))
     d1, d2 = _turn(*b, a[0], a[1]), _turn(*b, a[2], a[3])
     d3, d4 = _turn(*a, b[0], b[1]), _turn(*a, b[2], b[3])

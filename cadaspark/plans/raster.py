@@ -95,8 +95,9 @@ AXIS = {
     "vz": f"SELECT v.*, {zone('m')} AS zone FROM v JOIN (SELECT run_id, {rnd('avg(lng)', 6)} AS m FROM v GROUP BY run_id) USING (run_id)",
     "vm": utm("vz", "lat", "lng", "zone"),
     "uq": "SELECT run_id, zone, e, n, min(seq) AS seq FROM vm GROUP BY ALL",
-    "ax": """SELECT a.run_id, a.zone, a.seq, b.seq AS seq2, a.e, a.n, b.e AS qe, b.n AS qn FROM uq a JOIN uq b ON a.run_id=b.run_id AND a.seq<b.seq
+    "pr": """SELECT a.run_id, a.zone, a.seq, b.seq AS seq2, a.e, a.n, b.e AS qe, b.n AS qn FROM uq a JOIN uq b ON a.run_id=b.run_id AND a.seq<b.seq
       QUALIFY row_number() OVER (PARTITION BY a.run_id ORDER BY -floor(sqrt(power(a.e-b.e,2)+power(a.n-b.n,2))*1000+0.5e0), a.seq, b.seq)=1""",
+    "ax": """SELECT * FROM pr UNION ALL SELECT run_id, zone, seq, seq, e, n, e, n FROM uq WHERE run_id NOT IN (SELECT run_id FROM pr)""",
     "eg": """SELECT run_id, e AS x1, n AS y1, coalesce(lead(e) OVER w, first_value(e) OVER w) AS x2, coalesce(lead(n) OVER w, first_value(n) OVER w) AS y2 FROM vm
       WINDOW w AS (PARTITION BY run_id ORDER BY seq)""",
     "cr": """SELECT run_id, ((x1-e)*(y2-y1)-(y1-n)*(x2-x1))/det AS t, ((x1-e)*(qn-n)-(y1-n)*(qe-e))/det AS u

@@ -2,10 +2,11 @@
 
 The distance is 1 - |x & y| / |x | y| and two texts link at ``RADIUS`` or less. Equal sets are one point. Random pivots are of no use
 here: nearly all distances are 1, so every window would reach every region. Pivots are therefore first chosen in projections:
-shingles fall by hash into k parts, and k exceeds the number of shingles in which two linked sets of that size can differ, so that linked
-sets agree on at least one part. All sets with the same part form a neighbourhood, whose least member is the pivot. A pivot and
-everything that shares a neighbourhood with it form its region; a set lies in each region whose pivot it touches, which is the
-replication at the boundaries. Two linked sets meet in at least one region.
+shingles fall by hash into k parts, and k exceeds the number d of shingles in which two linked sets of that size can differ, so that linked
+sets agree on at least k - d parts. All sets with the same part form a neighbourhood, whose least member is the pivot. With the parts of a
+set ordered from rare to frequent, linked sets agree on one of the first d + 1 of each; a set therefore lies in the regions of the pivots of these
+parts only, which is the replication at the boundaries. Parts that no other set holds come first, so a set of which fewer than k - d parts are
+shared, such as one that has a passage in common with others, lies in no region. Two linked sets meet in at least one.
 
 The parts of all sets travel once, packed: a task sends four bytes of a part's hash and the set's id to the bucket of the hash, many at
 a time, and a bucket tells who shares what. A part that many sets of one task hold (a large group of near copies) sends one of them,
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadaspark.llm.arrow import slices
@@ -115,12 +116,15 @@ class Plan:
         most = self.differ(largest)
         return most + most // 16 + 6
 
-    def projections(self, h: np.ndarray, salt: int) -> tuple[bool, np.ndarray]:
-        """Hashes of the first parts that are not empty, and whether agreement of linked sets on one of them is sure."""
+    def parts(self, h: np.ndarray, salt: int) -> list[tuple[np.ndarray, int]]:
+        """For each class of a set: hashes of its parts that are not empty, and how many of them linked sets need not agree on, less one.
+
+        Below zero, too many parts are empty and agreement on one is not sure.
+        """
         n = len(h)
         if self.differ(n) < 1:
-            return True, np.zeros(0, dtype=np.int64)  # only an equal set can link
-        sure, out = True, []
+            return []  # only an equal set can link
+        out = []
         with np.errstate(over="ignore"):
             salted = _mixed(h + np.uint64(salt + 1) * MIX[1])
             for size_class in self.classes_of(n):
@@ -129,11 +133,16 @@ class Plan:
                 order = np.argsort(part, kind="stable")
                 part = part[order]
                 first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                sure = sure and len(first) > self.differ(n)
                 sums = np.add.reduceat(_mixed(salted[order] ^ MIX[2]), first)
                 keys = _mixed(sums + (part[first] + np.uint64((size_class + 1) << 32)) * MIX[0])
-                out.append(keys[: self.differ(n) + 1])
-        return sure, np.concatenate(out).view(np.int64)
+                out.append((keys, len(keys) - self.differ(n) - 1))
+        return out
+
+    def projections(self, h: np.ndarray, salt: int) -> tuple[bool, np.ndarray]:
+        """Hashes of as many parts as linked sets can differ in and one, and whether agreement on one of them is sure."""
+        found = self.parts(h, salt)
+        keys = [k[: self.differ(len(h)) + 1] for k, _ in found]
+        return all(slack >= 0 for _, slack in found), np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
 
 
 def pack_set(h: np.ndarray) -> bytes:
@@ -154,36 +163,40 @@ def _batch(columns: dict[str, pa.Array], rows: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [f.name for f in TOLD])
 
 
-# Rows of a text (doc_id to sure), of a pack of parts (bucket, keys, owners, several) or of heavy parts (heavy_key, heavy_id).
+# Rows of a text (doc_id to slack2), of a pack of parts (bucket, keys, owners, marks) or of heavy parts (heavy_key, heavy_id, heavy_class).
+# ``slack`` is how many of the shared parts of a set need no region, by class.
 TOLD = pa.schema([
-    ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fingerprint", pa.binary()), ("sure", pa.bool_()), ("bucket", pa.int64()),
-    ("keys", pa.binary()), ("owners", pa.binary()), ("several", pa.binary()), ("heavy_key", pa.int64()), ("heavy_id", pa.int64()),
+    ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fingerprint", pa.binary()), ("slack", pa.int64()), ("slack2", pa.int64()),
+    ("bucket", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("marks", pa.binary()),
+    ("heavy_key", pa.int64()), ("heavy_id", pa.int64()), ("heavy_class", pa.int64()),
 ])
-TOLD_DDL = (
-    "doc_id bigint, n_shingles bigint, fingerprint binary, sure boolean, bucket bigint, keys binary, owners binary, several binary, "
-    "heavy_key bigint, heavy_id bigint"
-)
+TOLD_DDL = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'bigint'}" for f in TOLD)
+# Marks of a part in a pack: it stands for several sets; it is of the set's second class.
+SEVERAL, SECOND = 1, 2
 
 
-def _packs(keys: np.ndarray, owners: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _packs(keys: np.ndarray, owners: np.ndarray, second: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Parts and the ids of their sets, by bucket; heavy parts send their least id, and a row for every holder."""
     if not len(keys):
         return
     bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
     place = (bucket << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)).view(np.int64)
     order = np.lexsort((owners, place))
-    place, owners = place[order], owners[order]
+    place, owners, second = place[order], owners[order], second[order]
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     times = np.diff(np.append(first, len(place)))
     heavy = np.repeat(times >= HEAVY, times)
     for start in range(0, int(heavy.sum()), 100_000):
         some = slice(start, start + 100_000)
-        k, o = place[heavy][some], owners[heavy][some]
-        yield _batch({"heavy_key": pa.array(k), "heavy_id": pa.array(o)}, len(k))
+        k, o, c = place[heavy][some], owners[heavy][some], second[heavy][some]
+        yield _batch({"heavy_key": pa.array(k), "heavy_id": pa.array(o), "heavy_class": pa.array(c.astype(np.int64))}, len(k))
     sent = ~heavy
     sent[first] = True
-    several, place, owners = heavy[sent].astype(np.uint8), place[sent], owners[sent]
-    bounds = np.searchsorted(place, np.arange(buckets + 1) << 32)
+    marks = (heavy[sent] * SEVERAL + second[sent] * SECOND).astype(np.uint8)
+    place, owners = place[sent], owners[sent]
+    order = np.lexsort((owners, place >> 32))  # the parts of a set next to each other, so that its id compresses
+    place, owners, marks = place[order], owners[order], marks[order]
+    bounds = np.searchsorted(place >> 32, np.arange(buckets + 1))
     filled = np.flatnonzero(np.diff(bounds))
     for start in range(0, len(filled), 256):
         some = filled[start : start + 256]
@@ -192,7 +205,7 @@ def _packs(keys: np.ndarray, owners: np.ndarray, buckets: int) -> Iterator[pa.Re
             "bucket": pa.array(some),
             "keys": pa.array([place[x].astype(np.uint32).tobytes() for x in spans], pa.binary()),
             "owners": pa.array([owners[x].tobytes() for x in spans], pa.binary()),
-            "several": pa.array([several[x].tobytes() for x in spans], pa.binary()),
+            "marks": pa.array([marks[x].tobytes() for x in spans], pa.binary()),
         }
         yield _batch(packed, len(some))
 
@@ -200,18 +213,19 @@ def _packs(keys: np.ndarray, owners: np.ndarray, buckets: int) -> Iterator[pa.Re
 def measured(docs: DataFrame, plan: Plan, salt: int = 0, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Rows of ``TOLD`` for every text, or for those with so many shingles; within a pack equal sets send the parts of the least id."""
     chars = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    # a word takes five bytes at least; keys are the share of shingles in which linked sets can differ
+    # a word takes five bytes at least; parts are about the share of shingles in which linked sets can differ
     buckets = int(max(LEAST_BUCKETS, plan.differ(chars // 5) // BUCKET))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[int, bool, np.ndarray]] = {}
+        held: dict[bytes, tuple[int | None, list[tuple[np.ndarray, int]]]] = {}
         waiting = 0
 
         def packs() -> Iterator[pa.RecordBatch]:
-            if held:
-                ids = np.array([i for i, _, _ in held.values()], dtype=np.int64)
-                keys = [k for _, _, k in held.values()]
-                yield from _packs(np.concatenate(keys).view(np.uint64), np.repeat(ids, [len(k) for k in keys]), buckets)
+            sent = [(i, k, c) for i, found in held.values() if i is not None for c, (k, _) in enumerate(found)]
+            if sent:
+                sizes_of = [len(k) for _, k, _ in sent]
+                ids, second = (np.repeat(np.array(v, dtype=np.int64), sizes_of) for v in ([i for i, _, _ in sent], [c for _, _, c in sent]))
+                yield from _packs(np.concatenate([k for _, k, _ in sent]), ids, second, buckets)
 
         for batch in slices(batches, 1):
             rows = []
@@ -220,22 +234,22 @@ def measured(docs: DataFrame, plan: Plan, salt: int = 0, sizes: tuple[int, int]
                 if sizes and not sizes[0] <= len(h) <= sizes[1]:
                     continue
                 if not len(h):
-                    rows.append((i, 0, None, True))
+                    rows.append((i, 0, None, None, None))
                     continue
                 mark = xxhash.xxh3_128_digest(h.tobytes())
                 if mark in held:
-                    least, sure, keys = held[mark]
+                    least, found = held[mark]
                 else:
-                    least, (sure, keys) = i, plan.projections(h, salt)
-                    waiting += len(keys)
-                rows.append((i, len(h), mark, sure))
-                if i is not None:
-                    held[mark] = (min(i, least), sure, keys)
+                    least, found = i, plan.parts(h, salt)
+                    waiting += sum(len(k) for k, _ in found)
+                slack = [v for _, v in found] + [None, None]
+                rows.append((i, len(h), mark, slack[0], slack[1]))
+                held[mark] = (i if least is None else least if i is None else min(i, least), found)
             if rows:
-                i, n, mark, sure = zip(*rows, strict=True)
+                i, n, mark, slack, slack2 = zip(*rows, strict=True)
                 columns = {
-                    "doc_id": pa.array(i, pa.int64()), "n_shingles": pa.array(n, pa.int64()),
-                    "fingerprint": pa.array(mark, pa.binary()), "sure": pa.array(sure, pa.bool_()),
+                    "doc_id": pa.array(i, pa.int64()), "n_shingles": pa.array(n, pa.int64()), "fingerprint": pa.array(mark, pa.binary()),
+                    "slack": pa.array(slack, pa.int64()), "slack2": pa.array(slack2, pa.int64()),
                 }
                 yield _batch(columns, len(rows))
             if waiting > PACKED:
@@ -247,6 +261,10 @@ def measured(docs: DataFrame, plan: Plan, salt: int = 0, sizes: tuple[int, int]
     return narrow.mapInArrow(run, TOLD_DDL)
 
 
+def _sure() -> Column:
+    return F.least(F.coalesce("slack", F.lit(0)), F.coalesce("slack2", F.lit(0))) >= 0
+
+
 def _place() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("bigint")
 
@@ -281,37 +299,46 @@ def sets_of(docs: DataFrame, ids: DataFrame, plan: Plan) -> DataFrame:
 
 
 def shared_parts(told: DataFrame) -> DataFrame:
-    """(cell, doc_id): every set with the pivot, the least id, of each of its parts that another set holds; from rows of ``TOLD``."""
+    """(cell, doc_id): every set with the pivots, the least ids, of the rarest of its parts that other sets hold; from rows of ``TOLD``."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, owners, several = (
+        keys, owners, marks = (
             np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t)
-            for c, t in (("keys", np.uint32), ("owners", np.int64), ("several", np.uint8))
+            for c, t in (("keys", np.uint32), ("owners", np.int64), ("marks", np.uint8))
         )
-        bucket = table.column("bucket")[0].as_py()
         order = np.lexsort((owners, keys))
-        keys, owners, several = keys[order], owners[order], several[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        times = np.diff(np.append(first, len(keys)))
-        pivot = np.repeat(owners[first], times)
-        many = np.repeat(times > 1, times)
-        met = np.unique(np.stack([pivot[many], owners[many]]), axis=1)
-        heavy = first[np.maximum.reduceat(several, first) > 0]
+        place = (table.column("bucket")[0].as_py() << 32) | keys[order].astype(np.int64)
+        owners, marks = owners[order], marks[order]
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        times = np.diff(np.append(first, len(place)))
+        heavy = np.maximum.reduceat(marks & SEVERAL, first) > 0
+        # how many holders a part has; a heavy one has more than are seen here, so it comes after all others
+        holders = np.repeat(times + (heavy.astype(np.int64) << 40), times)
+        pivot, shared = np.repeat(owners[first], times), np.repeat((times > 1) | heavy, times)
         return pa.table({
-            "cell": pa.array(np.concatenate([met[0], owners[heavy]])),
-            "doc_id": pa.array(np.concatenate([met[1], owners[heavy]])),
-            "heavy_key": pa.concat_arrays([pa.nulls(met.shape[1], pa.int64()), pa.array(bucket << 32 | keys[heavy].astype(np.int64))]),
+            "doc_id": pa.array(owners[shared]), "second": pa.array((marks[shared] & SECOND > 0).astype(np.int64)),
+            "holders": pa.array(holders[shared]), "place": pa.array(place[shared]), "cell": pa.array(pivot[shared]),
+            "heavy": pa.array(np.repeat(heavy, times)[shared]),
         })
 
-    packs = told.where("bucket is not null").select("bucket", "keys", "owners", "several")
-    met = keep(packs.groupBy("bucket").applyInArrow(run, "cell bigint, doc_id bigint, heavy_key bigint"), "shared-parts")
+    schema = "doc_id bigint, second bigint, holders bigint, place bigint, cell bigint, heavy boolean"
+    packs = told.where("bucket is not null").select("bucket", "keys", "owners", "marks")
+    met = keep(packs.groupBy("bucket").applyInArrow(run, schema), "shared-parts")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    pivots = met.where("heavy_key is not null").select("heavy_key", "cell", salts)
-    holders = told.where("heavy_key is not null").select(
-        "heavy_key", F.col("heavy_id").alias("doc_id"), F.pmod("heavy_id", F.lit(SALTS)).cast("int").alias("salt")
-    )
-    told_by_join = holders.join(pivots, ["heavy_key", "salt"]).select("cell", "doc_id")
-    return met.select("cell", "doc_id").union(told_by_join).distinct()
+    pivots = met.where("heavy").groupBy("place").agg(F.max("holders").alias("holders"), F.max("cell").alias("cell"))
+    more = told.where("heavy_key is not null").select(
+        F.col("heavy_id").alias("doc_id"), F.col("heavy_class").alias("second"), F.col("heavy_key").alias("place"),
+        F.pmod("heavy_id", F.lit(SALTS)).cast("int").alias("salt"),
+    ).join(pivots.select("*", salts), ["place", "salt"])
+    columns = ["doc_id", "second", "holders", "place", "cell"]
+    every = met.where("not heavy").select(*columns).union(met.where("heavy").select(*columns).union(more.select(*columns)).distinct())
+    slack = told.where("n_shingles is not null").groupBy("doc_id").agg(F.min("slack").alias("slack"), F.min("slack2").alias("slack2"))
+    mine = Window.partitionBy("doc_id", "second")
+    placed = every.join(slack, "doc_id").withColumns({
+        "from_rare": F.row_number().over(mine.orderBy("holders", "place")), "shared": F.count("*").over(mine),
+    })
+    spare = F.when(F.col("second") == 0, F.col("slack")).otherwise(F.col("slack2"))
+    return placed.where(F.col("from_rare") <= F.col("shared") - spare).select("cell", "doc_id").distinct()
 
 
 def _regions(keyed: DataFrame, salt: int) -> DataFrame:
@@ -432,7 +459,7 @@ def _more_parts(docs: DataFrame, points: DataFrame, plan: Plan) -> DataFrame:
         again = keep(measured(docs, plan, salt, (low * plan.percent // 100, high * 100 // plan.percent + 1)), "projections")
         more = shared_parts(again).select(F.xxhash64("cell", F.lit(salt)).alias("cell"), "doc_id")
         cells = more if cells is None else cells.union(more)
-        left = again.where("not sure").select("doc_id", "n_shingles").distinct()
+        left = again.where("n_shingles is not null").where(~_sure()).select("doc_id", "n_shingles").distinct()
         unsure = keep(left.join(unsure.select("doc_id").distinct(), "doc_id", "left_semi"), "unsure")
         if unsure.limit(1).count() == 0:
             return cells
@@ -508,7 +535,7 @@ def classes(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     plan = plan or Plan()
     texts = docs.select("doc_id", "text")
     told = keep(measured(texts, plan), "shingle-sets")
-    rows = told.where("n_shingles is not null").select("doc_id", "n_shingles", "fingerprint", "sure")
+    rows = told.where("n_shingles is not null").select("doc_id", "n_shingles", "fingerprint", _sure().alias("sure"))
     known = rows.where("doc_id is not null and fingerprint is not null")
     # only sets that several ids hold are joined, in shares: one set may be held by very many
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")

@@ -31,15 +31,16 @@ from cadaspark.llm import boosting
 from cadaspark.llm.arrow import map_text
 
 SAMPLE = 300
-MADE = 600
+MADE = 900
+TREES = 80
 # Elements of HTML by how they stand in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
-    "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
+    "a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup "
     "time tt u var wbr img br acronym nobr ruby rb rt rp picture source audio video canvas meter output progress".split()
 )
 NEVER = set(
-    "head title script style noscript template iframe object embed svg math form button select textarea input option "
+    "head title script style noscript template iframe object embed svg math button select textarea input option label legend "
     "datalist dialog".split()
 )
 CLOSES = {  # an opening tag ends these open ones, up to the nearest of the stops
@@ -60,6 +61,7 @@ TOKENS = {
     "advert": "ad ads advert adverts advertisement sponsor sponsored promo promotion dfp adsense outbrain taboola commercial",
     "notice": "notice cookie cookies consent gdpr alert warning popup modal overlay message paywall announcement disclaimer",
     "talk": "comment comments reply replies respond disqus discussion thread reader feedback reviews",
+    "state": "has with no is right left site open enabled on single layout",
     "act": "form search login signup subscribe newsletter share social follow like signin register contact donate button",
 }
 _GROUPS = {t: g for g, words in TOKENS.items() for t in words.split()}
@@ -79,6 +81,20 @@ class Page(HTMLParser):
         self.feed(html or "")
         self.close()
         self._flush()
+        self._small_forms()
+
+    def _small_forms(self) -> None:
+        """Nothing in a form is main text, unless the form wraps most of the page; then only its controls go."""
+        if "form" not in self.tag:
+            return
+        chars = [0] * len(self.tag)
+        for node, text in self.pieces:
+            chars[node] += 0 if self.never[node] else len(text)
+        for v in range(len(chars) - 1, 0, -1):
+            chars[self.parent[v]] += chars[v]
+        for v in range(1, len(chars)):
+            small = self.tag[v] == "form" and 2 * chars[v] <= chars[0]
+            self.never[v] = self.never[v] or self.never[self.parent[v]] or small
 
     @property
     def node(self) -> int:
@@ -159,7 +175,7 @@ def attribute_words(attrs: list[tuple[str, str | None]]) -> set[str]:
 
 FIGURES = (
     ["depth", "children", "place", "siblings", "own_chars", "chars", "words", "link_share", "density", "stops", "word_length",
-     "blocks", "share_of_page", "before", "after", "sibling_mean", "in_menu", "in_edge", "in_aside", "in_article", "from_start"]
+     "blocks", "share_of_page", "before", "after", "sibling_mean", "in_menu", "in_edge", "in_aside", "in_article", "from_start", "heads", "beside_p"]
     + ["tag_" + t[0] for t in TAGS] + ["own_" + g for g in TOKENS] + ["above_" + g for g in TOKENS]
 )
 
@@ -203,11 +219,16 @@ def figures(page: Page) -> np.ndarray:
             after[v] = chars[family[i + 1]] if i + 1 < len(family) else 0
             mean[v] = (total - chars[v]) / max(len(family) - 1, 1)
     start = np.concatenate([[0], np.cumsum(own_chars)[:-1]]) / max(chars[0], 1)
+    heads = np.array([t == "h1" for t in page.tag], float)
+    for v in range(n - 1, 0, -1):
+        heads[page.parent[v]] += heads[v]
+    paragraphs = [sum(page.tag[v] == "p" for v in family) for family in kids]
+    beside = np.array([0.0] + [paragraphs[page.parent[v]] - (page.tag[v] == "p") for v in range(1, n)])
     log = np.log1p
     numbers = [
         depth, log(children), place, log(siblings), log(own_chars), log(chars), log(words), links / np.maximum(chars, 1),
         log(chars / blocks), marks / np.maximum(words, 1), chars / np.maximum(words, 1), log(blocks), chars / max(chars[0], 1),
-        log(before), log(after), log(mean), *inside.T, start,
+        log(before), log(after), log(mean), *inside.T, start, heads, log(beside),
     ]
     return np.column_stack([*numbers, tags, own, above])
 
@@ -226,9 +247,34 @@ def decode(page: Page, probability: np.ndarray) -> list[bool]:
     kept = [True] * n
     for v in range(1, n):
         kept[v] = bool(kept[page.parent[v]] and keep[v] > drop[v])
+    if not any(kept[node] for node, _ in page.pieces):
+        best = running_text(page)
+        below = {best}
+        for v in range(best + 1, n) if best else ():
+            if page.parent[v] in below and not page.never[v] and (page.tag[v] in ("p", "h1") or keep[v] > drop[v]):
+                below.add(v)
+                kept[v] = True
+        while best > 0:
+            kept[best] = True
+            best = page.parent[best]
     return kept
 
 
+def running_text(page: Page) -> int:
+    """The node whose own paragraphs hold most text, outside menus, asides and footers; 0 if that is less than two or 40 words."""
+    n = len(page.tag)
+    outside = [False] * n
+    for v in range(1, n):
+        outside[v] = outside[page.parent[v]] or page.never[v] or page.tag[v] in ("nav", "menu", "aside", "footer")
+    words, count = [0] * n, [0] * n
+    for node, text in page.pieces:
+        if page.tag[node] == "p" and not outside[node] and page.link_chars[node] * 2 < len(text):
+            words[page.parent[node]] += text.count(" ") + 1
+            count[page.parent[node]] += 1
+    best = max(range(n), key=lambda v: words[v])
+    return best if count[best] > 1 and words[best] >= 40 else 0
+
+
 def main_text(page: Page, kept: list[bool]) -> str:
     return "\n".join(text for node, text in page.pieces if kept[node])
 
@@ -290,6 +336,14 @@ def make_page(rng: random.Random, sentences: list[str]) -> str:
             name += rng.choice(["-box", "-wrap", "_1", "-area", "-inner", " block", "-list", "-section"])
         return f' {rng.choice(["class", "class", "id"])}="{name}"'
 
+    def mixed() -> str:
+        """A name that says what a page has besides, as bodies, wrappers and articles carry it."""
+        word = rng.choice(TOKENS[rng.choice(["side", "talk", "edge", "menu", "advert", "notice", "act"])].split())
+        lead = rng.choice(["has-", "with-", "right-", "left-", "no-", "is-", "site-", ""])
+        more = rng.choice(["", "", "-open", "-news", "-enabled", "-on"]) if lead else rng.choice(["-open", "-enabled", "-news", "-on"])
+        other = rng.choice(["", "post ", "single ", "page ", "entry ", "el ", "layout "])
+        return f' class="{other}{lead}{word}{more}"' if rng.random() < 0.9 else f' id="{lead}{word}{more}"'
+
     def menu(tag: str) -> str:
         items = "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(rng.randint(3, 9)))
         return f'<{tag}{named("menu") if tag != "nav" or rng.random() < 0.4 else ""}><ul>{items}</ul></{tag}>'
@@ -348,7 +402,11 @@ def make_page(rng: random.Random, sentences: list[str]) -> str:
         return re.sub(r"^<(\w+)", rf'<\1 {MAIN_MARK}="0"', html)
 
     extras = [advert, notice, side, form, talk, lambda: menu("div")]
-    parts = [f"<h1>{words(3, 12)}</h1>"] if rng.random() < 0.8 else []
+    title = f"<h1>{words(3, 12)}</h1>"
+    parts = [title] if rng.random() < 0.8 else []
+    if parts and rng.random() < 0.45:
+        note = rng.choice(["", "", f"<p>{words(2, 6)}</p>"])
+        parts = [rng.choice([f"<header>{title}{note}</header>", f'<div class="{rng.choice(["entry", "post", "article", "page"])}-header">{title}{note}</div>'])]
     for _ in range(rng.randint(1, 14)):
         parts.append(block())
         if rng.random() < 0.12:
@@ -360,14 +418,21 @@ def make_page(rng: random.Random, sentences: list[str]) -> str:
         core = f'<table><tr><td {MAIN_MARK}="1">{"".join(parts)}</td><td>{side()}</td></tr></table>'
     else:
         name = named("main") if wrap in ("div", "section") or rng.random() < 0.3 else ""
+        if wrap != "div" and rng.random() < 0.35:
+            name = mixed()
         core = f'<{wrap}{name} {MAIN_MARK}="1">{"".join(parts)}</{wrap}>'
     before = [f() for f in (head, lambda: menu("nav"), lambda: menu("div"), advert, notice, form, side) if rng.random() < 0.45]
     behind = [f() for f in (side, advert, talk, foot, foot, form, notice) if rng.random() < 0.45]
     rng.shuffle(before)
     inner = "".join(before) + core + "".join(behind)
+    if rng.random() < 0.25:  # a wrapper of its own around the article
+        inner = "".join(before) + f"<div{mixed()}>{core}</div>" + "".join(behind)
     for _ in range(rng.randint(0, 2)):
-        inner = f"<div{rng.choice(['', '', ' id=wrapper', ' class=container'])}>{inner}</div>"
-    return f"<html><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body>{inner}<script>var a=1;</script></body></html>"
+        inner = f"<div{rng.choice(['', '', ' id=wrapper', ' class=container', mixed()])}>{inner}</div>"
+    if rng.random() < 0.08:
+        inner = f'<form method="post" action="/page">{inner}</form>'
+    body = mixed() if rng.random() < 0.4 else ""
+    return f"<html><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body{body}>{inner}<script>var a=1;</script></body></html>"
 
 
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = SAMPLE) -> boosting.Forest:
@@ -385,7 +450,7 @@ def fit(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int
     x = np.concatenate([figures(p) for p in known])
     y = np.concatenate([p.labels() for p in known])
     told = np.array([not n for p in known for n in p.never])
-    return boosting.train(x[told], y[told], trees=60, depth=5, rate=0.2)
+    return boosting.train(x[told], y[told], trees=TREES, depth=5, rate=0.2)
 
 
 def extract(pages: DataFrame, forest: boosting.Forest, carry: list[str], html: str = "html") -> DataFrame:

@@ -218,3 +218,45 @@ def test_reachable_words_bound_the_alignment():
         bound = license_alignment.reachable(template, license_alignment.np.array(text), low, low + 2)
         count = license_alignment.align(template, text, low, low + 2)[0]
         assert bound >= count or bound < license_alignment.COVERAGE * len(template) > count
+
+
+LAYOUTS = {
+    "body with a sidebar": '<body class="has-sidebar"><div id="content">{}</div><aside>{}</aside>',
+    "right sidebar": '<body class="right-sidebar"><article>{}</article><div class="sidebar">{}</div>',
+    "open comments": '<body><article class="post comments-open">{}</article><footer>{}</footer>',
+    "has comments": '<body><article class="post has-comments">{}</article><footer>{}</footer>',
+    "tagged": '<body><article class="post tags-news">{}</article><footer>{}</footer>',
+    "builder": '<body><div class="elementor-widget"><article>{}</article></div><footer>{}</footer>',
+    "one form": '<body><form method="post"><div id="main">{}</div><footer>{}</footer></form>',
+}
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    return page_trees.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+@pytest.mark.parametrize("header", ["{}", "<header>{}</header>", '<div class="entry-header">{}</div>'])
+@pytest.mark.parametrize("layout", sorted(LAYOUTS))
+def test_ordinary_layouts_keep_their_article(trained, layout, header):
+    paragraphs = [
+        "The council met on Tuesday evening to discuss the new bridge, which has been planned for more than ten years.",
+        "Several residents spoke against the plan, saying that traffic through the old town would only grow worse.",
+        "An engineer explained that the foundations could be laid before the winter, if the money was granted in time.",
+        "A decision is expected next month; until then, the drawings can be seen at the town hall every morning.",
+    ]
+    title = "A new bridge for the old town"
+    article = header.format(f"<h1>{title}</h1>") + "".join(f"<p>{p}</p>" for p in paragraphs)
+    html = "<html><head><title>x</title></head>" + LAYOUTS[layout].format(article, "<p>All rights reserved, 2024.</p>") + "</body></html>"
+    page = page_trees.Page(html)
+    text = page_trees.main_text(page, page_trees.decode(page, trained.probability(page_trees.figures(page))))
+    assert text.split("\n") == [title, *paragraphs]
+
+
+def test_paragraphs_are_never_lost_altogether():
+    html = "<body><div><h1>Head</h1>" + "<p>" + "word " * 30 + "</p>" + "<p>" + "text " * 30 + "</p></div><nav><p>" + "menu " * 90 + "</p></nav>"
+    page = page_trees.Page(html)
+    nothing = page_trees.decode(page, np.full(len(page.tag), 1e-9))
+    assert page_trees.main_text(page, nothing).split("\n")[0] == "Head" and "menu" not in page_trees.main_text(page, nothing)
+    menu = page_trees.Page("<nav><p>" + "menu " * 90 + "</p></nav>")
+    assert page_trees.main_text(menu, page_trees.decode(menu, np.full(len(menu.tag), 1e-9))) == ""

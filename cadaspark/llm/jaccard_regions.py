@@ -46,7 +46,7 @@ ROUNDS = 4
 # Classes of sizes, in steps of the largest ratio between linked sets.
 CLASS_STEPS = 4
 # A task packs about this many parts before it sends them, and a bucket is meant for about so many.
-PACKED, BUCKET = 4_000_000, 1_000_000
+PACKED, BUCKET = 1_000_000, 1_000_000
 LEAST_BUCKETS = 64
 # A part held by so many sets of one pack sends one of them; its other holders are told by a join in SALTS shares.
 HEAVY, SALTS = 64, 16

@@ -3,6 +3,7 @@ import re
 from html import unescape
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 

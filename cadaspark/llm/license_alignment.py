@@ -152,12 +152,15 @@ class Index:
         for name, found in by_template.items():
             size = len(self.codes[name])
             groups: list[list[tuple[int, int]]] = []
+            latest: dict[int, int] = {}  # the last group that began in a band of diagonals; an earlier one there has ended
             for at, diagonal in found:  # in order of places
-                for group in reversed(groups[-8:]):
-                    if abs(group[0][1] - diagonal) <= BAND and at - group[0][0] <= size + BAND:
-                        group.append((at, diagonal))
-                        break
+                band = diagonal // BAND
+                near = [latest[b] for b in (band - 1, band, band + 1) if b in latest]
+                near = [g for g in near if abs(groups[g][0][1] - diagonal) <= BAND and at - groups[g][0][0] <= size + BAND]
+                if near:
+                    groups[max(near)].append((at, diagonal))
                 else:
+                    latest[band] = len(groups)
                     groups.append([(at, diagonal)])
             out += [(name, min(d for _, d in g), max(d for _, d in g), g[0][0]) for g in groups]
         return out

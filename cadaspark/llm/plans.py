@@ -195,7 +195,9 @@ FROM ruled
 }
 
 
-LANGUAGE_FROM = 0.1
+# The cosine that a long text must reach. A text of m trigrams has a cosine of about sqrt(m / (m + SHORT_TEXT)) of a long one's, since its own
+# chance choice of trigrams counts for as much as the language's; the bar falls alike.
+LANGUAGE_FROM, SHORT_TEXT = 0.1, 100.0
 # op4's agreed columns come from three words at 90 %; the stage has no such agreement and takes the usual five words at 80 %.
 DUPLICATES = jaccard_regions.Plan(percent=80, width=5)
 
@@ -209,11 +211,13 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language: texts without letters or far from every language go."""
+    """Documents in a learned language: texts without letters or far from every language, for their length, go."""
     model = hyperdimensional_language.fit(docs, remainder("doc_id", 4) != 2)
     lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
     judged = hyperdimensional_language.predict(docs, model, docs.columns, out=(lang, score))
-    known = (F.col(lang) != hyperdimensional_language.UNKNOWN) & (F.col(score) >= LANGUAGE_FROM)
+    trigrams = F.length(F.regexp_replace(F.col("text").cast("string"), r"\P{L}+", " "))
+    bar = LANGUAGE_FROM * F.sqrt(trigrams / (trigrams + SHORT_TEXT))
+    known = (F.col(lang) != hyperdimensional_language.UNKNOWN) & (F.col(score) >= bar)
     return judged.where(known).drop(lang, score)
 
 

@@ -21,6 +21,7 @@ KEEP_FROM = 0.5
 # A text is good or bad with even chances before the votes: where single rules speak alone, as here, a share of good texts
 # estimated together with the accuracies runs off to "all good". PRIOR is how many texts the starting accuracy is worth.
 GOOD, START_ACCURACY, PRIOR = 0.5, 0.9, 4.0
+VOCABULARY_GROWTH, FEW_WORDS = 0.7, 1.1
 
 
 def let(value: Column, body) -> Column:
@@ -106,7 +107,9 @@ def rules() -> dict[str, Column]:
     """Votes by name over the figures."""
     length, symbols = share("word_chars", "n_words"), share("n_symbols", "n_words")
     twins, repeats = share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")
-    upper, ended, variety = share("n_upper", "word_chars"), share("n_ended", "n_lines"), share("n_distinct", "n_words")
+    upper, ended = share("n_upper", "word_chars"), share("n_ended", "n_lines")
+    # different words grow more slowly than words: against this power the figure does not fall with the length of a text
+    variety = F.when(F.col("n_words") > 0, F.col("n_distinct") / F.pow("n_words", F.lit(VOCABULARY_GROWTH)))
     never = F.lit(False)
     marks = (symbols <= 0.05) & (upper <= 0.2)
     return {
@@ -115,9 +118,9 @@ def rules() -> dict[str, Column]:
         "twin_lines": vote(never, twins > 0.3),
         "repeated_words": vote(never, repeats > 0.3),
         "shouting": vote(never, upper > 0.5),
-        "few_words_over_and_over": vote(never, (variety < 0.2) & (F.col("n_words") < 5000)),
+        "few_words_over_and_over": vote(never, variety < FEW_WORDS),
         "plain_marks": vote(marks & length.between(3, 10), never),
-        "running_text": vote(marks & (repeats <= 0.1) & (variety >= 0.2), never),
+        "running_text": vote(marks & (repeats <= 0.1) & (variety >= FEW_WORDS), never),
         "whole_sentences": vote(marks & (repeats <= 0.2) & (ended >= 0.7), never),
     }
 

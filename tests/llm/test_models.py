@@ -156,3 +156,12 @@ def test_repeated_windows_by_hand(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.n_repeat_words for r in weak_rules.figures(rows).collect()}
     assert got == {i: figures(t)[4] for i, t in enumerate(texts)}
+
+
+def test_few_words_over_and_over_at_any_length(spark):
+    """Texts drawn from 200 words are told apart from texts of many words, with no switch at any length."""
+    rng = np.random.default_rng(5)
+    few = [(n, " ".join(f"word{k}" for k in rng.integers(0, 200, n))) for n in (2000, 4999, 5000, 20_000)]
+    many = [(-n, " ".join(f"word{k}" for k in rng.zipf(1.3, n) % 100_000)) for n in (100, 1000, 20_000)]
+    got = {r.doc_id: r.few_words_over_and_over for r in weak_rules.judge(spark.createDataFrame(few + many, "doc_id long, text string")).collect()}
+    assert all((v == 0) == (i > 0) for i, v in got.items())

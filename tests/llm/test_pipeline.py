@@ -80,3 +80,16 @@ def test_duplicates_stage_links_five_words_at_80(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = plans.stage_duplicates(spark, docs, SF)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.values()))
+
+
+def test_short_clean_texts_stay_and_other_languages_go(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.text for r in plans.stage_language(spark, docs, sf).select("text").collect()}
+    english = [r.text for r in docs.where("lang = 'en'").collect()]
+    short = [" ".join(t.split()[:4]) for t in english if t and len(t.split()) > 60 and t[:40].replace(" ", "").isalpha()][:40]
+    other = ["Добрый день, как ваши дела сегодня? Всё хорошо, спасибо.", "これはとても短い文章です。", "12 34 / 56"]
+    rows = [(10**6 + i, t, None, "x", len(t)) for i, t in enumerate([*short, *other])]
+    more = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    stayed = {r.text for r in plans.stage_language(spark, more, sf).where("doc_id >= 1000000").collect()}
+    assert len(short) > 10 and stayed == set(short) and len(kept) > 0.9 * docs.select("text").distinct().count()

@@ -40,16 +40,26 @@ def merge_states(*states: DataFrame) -> DataFrame:
     return merged.groupBy(*AREA).agg(*[F.sum(c).alias(c) for c in merged.columns if c not in AREA])
 
 
-def benchmark_means(state: DataFrame) -> DataFrame:
+def benchmark_means(state: DataFrame, *more: str) -> DataFrame:
     """Two means per measure: nulls as zero (the stored running mean) and over known values only."""
     c = F.col
     return state.select(
-        *AREA, "report_count",
+        *AREA, *more, "report_count",
         *[rnd(c(f"sum_{m}") / c("report_count"), 4).alias(f"avg_{m}") for m in MEASURES],
         *[rnd(F.try_divide(c(f"sum_{m}"), c(f"n_{m}")), 4).alias(f"plain_{m}") for m in MEASURES],
     )
 
 
+def benchmark_rollup(rows: DataFrame) -> DataFrame:
+    """Means per area, per state and over all: the additive area state rolled up, so that rows are read and shuffled once.
+
+    ``level`` is 0 for an area, 1 for a state and 3 for all, which tells a total from a missing name.
+    """
+    state = benchmark_state(rows)
+    totals = state.rollup(*AREA).agg(*[F.sum(k).alias(k) for k in state.columns if k not in AREA], F.grouping_id().alias("level"))
+    return benchmark_means(totals, "level")
+
+
 def lga_benchmark(rows: DataFrame) -> DataFrame:
     return benchmark_means(benchmark_state(rows))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cadaspark.functions import textrules as t
 from cadaspark.operators import governance as g
+from cadaspark.operators import networks
 from cadaspark.plans.checks import _sel, rnd
 from cadaspark.sources import bridge as b
 
@@ -121,6 +122,21 @@ def hosts(spark, sf):
     return made.unionByName(pages).select("id", "host", t.private_host(c("host")).alias("private"))
 
 
+# Lists from the suppliers: networks of every length from 8 to 30, and names from the hosts of pages.
+NETWORKS = ["s_suppkey AS id", """CONCAT_WS('.', CAST(s_suppkey * 37 % 256 AS STRING), CAST(s_suppkey * 101 % 256 AS STRING), CAST(s_suppkey * 53 % 256 AS STRING),
+  CAST(s_suppkey * 11 % 256 AS STRING)) || CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE '/' || CAST(8 + s_suppkey % 23 AS STRING) END AS network"""]
+CLIENTS = ["c_custkey AS id", """CONCAT_WS('.', CAST(c_custkey * 37 % 256 AS STRING), CAST(CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 101 % 256 ELSE c_custkey % 256 END AS STRING),
+  CAST(c_custkey * 53 % 256 AS STRING), CAST(CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 11 % 256 ELSE c_custkey * 7 % 256 END AS STRING)) AS host"""]
+
+
+def network_lists(spark, sf):
+    """Client addresses and page hosts against lists derived from the suppliers and from the longest page hosts."""
+    pages = b.table(spark, sf, "pages").select((-c("page_id") - 1).alias("id"), t.url_host(c("url")).alias("host"))
+    names = pages.where("id % 5 = 0").select(F.regexp_replace("host", r"^[^.]*\.", "").alias("name"))
+    clients = b.table(spark, sf, "customer").selectExpr(*CLIENTS)
+    return networks.listed(clients.unionByName(pages), b.table(spark, sf, "supplier").selectExpr(*NETWORKS), names)
+
+
 def allowed_events(spark, sf):
     """Events of the users that the suppliers of nation 3 list: each gives its own number and its remainder by 50."""
     lists = b.table(spark, sf, "supplier").filter("s_nationkey = 3").selectExpr("concat(' ', s_suppkey, ',, ', s_suppkey % 50, ' ') AS ids")
@@ -138,11 +154,13 @@ QUERIES = {
     "redact_sensitive": _text_query(SECRET_TEXT, lambda x: t.redact_sensitive(x, width=STORED_CHARS)),
     "redact_url": url,
     "private_host": hosts,
+    "network_lists": network_lists,
     "credential_overlap": lambda spark, sf: g.credential_overlap(b.table(spark, sf, "customer").selectExpr(*OWNERS)),
     "allow_list_filter": allowed_events,
     "audit_log_stats": lambda spark, sf: g.audit_log_stats(b.table(spark, sf, "events").selectExpr(*AUDIT)),
 }
 
+_ip = lambda x: "+".join(f"CAST(split_part({x},'.',{i + 1}) AS BIGINT)*{256 ** (3 - i)}" for i in range(4))
 _TX = f"tx AS ({_sel(TEXTS, 'documents')} UNION ALL {_sel(TURNS, 'conversations')})"
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 
@@ -196,6 +214,13 @@ CHECKS = {
       n AS (SELECT *, CASE WHEN starts_with(host,'::ffff:') THEN substr(host,8) ELSE lower(regexp_replace(host,'\\.$','')) END AS h FROM s),
       m AS (SELECT *, CASE WHEN regexp_full_match(h,'(\\d+\\.){{3}}\\d+') AND list_max([CAST(x AS INT) FOR x IN string_split(h,'.')])<=255 THEN {_V4} END AS v FROM n)
       SELECT id, host, coalesce({_nets}, false) OR h='localhost' OR ends_with(h,'.localhost') OR h='local' OR ends_with(h,'.local') OR h='internal' OR ends_with(h,'.internal') OR starts_with(host,'[fe8') AS private FROM m""",
+    "network_lists": f"""WITH pg AS (SELECT -page_id-1 AS id, regexp_extract(url,'^[a-z]+://(?:[^/?#@]*@)?([^/?#:]*)',1) AS host FROM pages),
+      h AS ({_sel(CLIENTS, 'customer')} UNION ALL SELECT * FROM pg), ns AS (SELECT DISTINCT lower(regexp_replace(host,'^[^.]*\\.','')) AS name FROM pg WHERE id%5=0),
+      nt AS (SELECT network, {_ip("split_part(network,'/',1)")} AS net, CASE WHEN contains(network,'/') THEN CAST(split_part(network,'/',2) AS INT) ELSE 32 END AS len FROM ({_sel(NETWORKS, 'supplier')})),
+      a AS (SELECT DISTINCT host, {_ip('host')} AS v FROM h WHERE regexp_full_match(host,'(\\d+\\.){{3}}\\d+')),
+      f AS (SELECT host, network AS listed_by FROM a JOIN nt ON (v>>(32-len))=(net>>(32-len)) QUALIFY row_number() OVER (PARTITION BY host ORDER BY len DESC, network)=1
+        UNION ALL SELECT host, name FROM (SELECT DISTINCT host FROM pg) JOIN ns ON name<>'' AND (lower(host)=name OR ends_with(lower(host),'.'||name)) QUALIFY row_number() OVER (PARTITION BY host ORDER BY length(name) DESC)=1)
+      SELECT id, host, listed_by FROM h LEFT JOIN f USING (host)""",
     "credential_overlap": f"""WITH o AS ({_sel(OWNERS, 'customer')}), pr AS (SELECT a.channel, a.owner,
        coalesce(a.hash_1=b.hash_1,false) OR (a.two_keys AND coalesce(a.hash_2=b.hash_2,false)) AS m,
        a.hash_1 IS NULL OR b.hash_1 IS NULL OR (a.two_keys AND (a.hash_2 IS NULL OR b.hash_2 IS NULL)) AS u FROM o a JOIN o b ON a.channel=b.channel AND a.owner<>b.owner),

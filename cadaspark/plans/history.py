@@ -124,6 +124,7 @@ QUERIES = {
     "feed_fallback": lambda spark, sf: feeds.feed_fallback(_feeds(spark, sf)),
     "null_feed": null_feed,
     "lga_benchmark": lambda spark, sf: history.lga_benchmark(_measured(spark, sf)),
+    "benchmark_rollup": lambda spark, sf: history.benchmark_rollup(_measured(spark, sf)),
     "benchmark_incremental": incremental,
     "benchmark_percentile": lambda spark, sf: history.percentile(_measured(spark, sf), "parcel_id"),
     "history_page": lambda spark, sf: history.history_page(b.reports(spark, sf), "u6", limit=50, light="green", offset=5),
@@ -159,6 +160,7 @@ MEAS = {**rule_plan._ind_sql, "ms": _sel(MEASURED, "ind")}
 _bench = "SELECT state, lga, count(*) AS report_count, " + ", ".join(
     f"{rnd(f'sum({m})/count(*)', 4)} AS avg_{m}, {rnd(f'avg({m})', 4)} AS plain_{m}" for m in history.MEASURES
 ) + " FROM ms GROUP BY state, lga"
+_rollup = _bench.replace("SELECT state, lga,", "SELECT state, lga, GROUPING(state, lga) AS level,").replace("GROUP BY state, lga", "GROUP BY ROLLUP (state, lga)")
 _prior_sql = spatial_plan.CHECKS["prior_report"]
 _rank = lambda v: f"CASE upper({v}) WHEN 'GREEN' THEN 1 WHEN 'AMBER' THEN 2 WHEN 'RED' THEN 3 WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 WHEN 'SUITABLE' THEN 1 WHEN 'MARGINAL' THEN 2 WHEN 'UNSUITABLE' THEN 3 END"
 
@@ -191,6 +193,7 @@ CHECKS = {
     "feed_fallback": with_(FEED, "SELECT run_id, bool_or(status NOT IN ('ok','no_record')) AS fallback_used, count(*) FILTER (status NOT IN ('ok','no_record')) AS failed_sources FROM fd GROUP BY run_id"),
     "null_feed": f"WITH m AS ({spatial_plan.CHECKS['registry_match']}) SELECT parcel_id, record_id AS title_number, CASE WHEN record_id IS NULL THEN 'No registry data available' ELSE 'Mock Registry (local JSON)' END AS source_name, record_id IS NOT NULL AS feed_active, CASE WHEN record_id IS NULL THEN 0e0 ELSE 0.7e0 END AS feed_confidence, record_id IS NOT NULL AS source_verified FROM m",
     "lga_benchmark": with_(MEAS, _bench),
+    "benchmark_rollup": with_(MEAS, _rollup),
     "benchmark_incremental": with_(MEAS, _bench),
     "benchmark_percentile": with_({**MEAS, "mm": "SELECT state, lga, sum(flood_score)/count(*) AS mean FROM ms GROUP BY ALL"},
       f"SELECT parcel_id, CASE WHEN mean<>0 THEN {rnd('least(greatest(flood_score/(mean*2)*100e0,0e0),99e0)', 1)} END AS flood_percentile, {rnd('percent_rank() OVER (PARTITION BY state, lga ORDER BY flood_score)', 4)} AS percent_rank FROM ms JOIN mm USING (state, lga)"),

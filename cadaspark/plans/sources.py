@@ -89,6 +89,17 @@ def write_reports(spark, sf):
     return sinks.read_reports(spark, path).select("report_id", "state", "lga", "score", "version")
 
 
+def compact_reports(spark, sf):
+    """Three writes: all reports, a quarter with new scores of which some move to another state, and one state that moves as a whole."""
+    path = scratch_path(spark, "report-store")
+    base = b.reports(spark, sf).select("report_id", "state", "lga", "score", F.lit(1).alias("version"))
+    sinks.upsert_reports(base, path)
+    place = F.when(c("report_id") % 8 == 0, "Moved").otherwise(c("state"))
+    sinks.upsert_reports(base.filter("report_id % 4 = 0").withColumns({"version": F.lit(2), "score": c("score") + 1000.0, "state": place}), path)
+    sinks.upsert_reports(base.filter("state = 'Kano'").withColumns({"version": F.lit(3), "state": F.lit("Ogun")}), path)
+    return sinks.stored_reports(spark, path).select("report_id", "state", "lga", "score", "version")
+
+
 def export_json(spark, sf):
     root = scratch_path(spark, "export")
     reports = b.reports(spark, sf).select("report_id", "persona", "score", "traffic_light")
@@ -98,8 +109,10 @@ def export_json(spark, sf):
 
 
 def availability(spark, sf):
-    name = F.regexp_replace("file", r"\.parquet$", "")
-    return readers.layer_availability(spark, sf, "*.parquet", name)
+    """Contents of a layer store written from the given features."""
+    path = scratch_path(spark, "layer-store")
+    b.lines(spark, sf).repartition("layer", "state").write.partitionBy("layer", "state").parquet(path)
+    return readers.layer_contents(spark, path)
 
 
 STAGES = "CASE event_type WHEN 'signup' THEN 'INIT' WHEN 'click' THEN 'CONFIRMED' WHEN 'view' THEN 'GIS_ANALYSIS' WHEN 'purchase' THEN 'COMPLETE' ELSE 'ERROR' END"
@@ -155,6 +168,7 @@ QUERIES = {
     "read_raster_cells": raster_cells,
     "read_rules_config": rules_config,
     "write_reports": write_reports,
+    "compact_reports": compact_reports,
     "export_reports_json": export_json,
     "layer_availability": availability,
     "stream_gate": gate,
@@ -178,8 +192,11 @@ CHECKS = {
     "read_raster_cells": with_({k: v for k, v in DEM.items() if k != "px"}, "SELECT tile, count(*) AS cells, floor(sum(value)*10+0.5e0)/10 AS total FROM dem WHERE tile BETWEEN 'N06E003' AND 'N06E013' GROUP BY tile"),
     "read_rules_config": with_({**inputs("p"), "z": f"SELECT * FROM (VALUES {_zone_rows}) t(name,a,b,x,y)"}, "SELECT name, count(*) AS parcels, min(parcel_id) AS first_parcel FROM p JOIN z ON lat BETWEEN a AND b AND lng BETWEEN x AND y GROUP BY name"),
     "write_reports": with_(["rep"], "SELECT report_id, CASE WHEN report_id%4=0 THEN 'Moved' ELSE state END AS state, lga, CASE WHEN report_id%4=0 THEN score+1000 ELSE score END AS score, CAST(CASE WHEN report_id%4=0 THEN 2 ELSE 1 END AS INT) AS version FROM rep"),
+    "compact_reports": with_(["rep"], """SELECT report_id, CASE WHEN state='Kano' THEN 'Ogun' WHEN report_id%8=0 THEN 'Moved' ELSE state END AS state, lga,
+      CASE WHEN report_id%4=0 AND state IS DISTINCT FROM 'Kano' THEN score+1000 ELSE score END AS score,
+      CAST(CASE WHEN state='Kano' THEN 3 WHEN report_id%4=0 THEN 2 ELSE 1 END AS INT) AS version FROM rep"""),
     "export_reports_json": with_(["rep"], "SELECT report_id, 'JSON' AS export_format, persona, score, traffic_light FROM rep"),
-    "layer_availability": "SELECT n AS layer, n || '.parquet' AS file, CAST(1 AS BIGINT) AS files FROM (SELECT unnest(['region','nation','customer','supplier','part','orders','lineitem','events','documents','embeddings','pages','benchmark','labels','conversations']) AS n)",
+    "layer_availability": with_(["lines"], "SELECT layer, count(DISTINCT state) AS files, string_agg(DISTINCT state, ',' ORDER BY state) AS names, count(*) AS segments, count(DISTINCT feature_id) AS features FROM lines GROUP BY layer"),
     "stream_gate": f"WITH e AS ({_EV}) SELECT s.gate_run AS run_id, s.us AS submitted_us, k.us AS confirmed_us, 'running' AS status FROM e s JOIN e k ON s.gate_run=k.gate_run AND s.event_type='signup' AND k.event_type='purchase' AND k.us BETWEEN s.us AND s.us+86400000000",
     "session_state": f"""WITH e AS ({_EV}), g AS (SELECT run_id, arg_max(stage, {{'u': us, 'i': event_id}}) AS stage, max(us) AS updated_us, count(*) AS events, bool_or(stage='CONFIRMED') AS ok FROM e GROUP BY run_id)
       SELECT run_id, stage, CASE stage WHEN 'ERROR' THEN 'error' WHEN 'COMPLETE' THEN 'completed' ELSE CASE WHEN ok THEN 'running' ELSE 'pending' END END AS status, updated_us, events FROM g""",

@@ -140,3 +140,11 @@ def layer_availability(spark: SparkSession, path: str, glob: str, layer: Column)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("file")).distinct().withColumn("layer", layer)
     counts = named.groupBy("layer").agg(F.count("*").alias("files"))
     return named.join(counts, "layer")
+
+
+def layer_contents(spark: SparkSession, path: str) -> DataFrame:
+    """What a layer store (partitioned by layer and state) holds: files by state, their names, segments and features of each layer."""
+    return spark.read.parquet(path).groupBy("layer").agg(
+        F.count_distinct("state").alias("files"), F.array_join(F.sort_array(F.collect_set("state")), ",").alias("names"),
+        F.count("*").alias("segments"), F.count_distinct("feature_id").alias("features"),
+    )

@@ -46,7 +46,7 @@ ROUNDS = 4
 # Classes of sizes, in steps of the largest ratio between linked sets.
 CLASS_STEPS = 4
 # A task packs about this many parts before it sends them, and a bucket is meant for about so many.
-PACKED, BUCKET = 1_000_000, 1_000_000
+PACKED, BUCKET = 500_000, 1_000_000
 LEAST_BUCKETS = 64
 # A part held by so many sets of one pack sends one of them; its other holders are told by a join in SALTS shares.
 HEAVY, SALTS = 64, 16
@@ -54,8 +54,8 @@ HEAVY, SALTS = 64, 16
 FILTER_BITS = 1 << 25
 # Further partitions for sets of which too many parts were empty.
 MORE = 8
-REMEMBERED = 400_000
-_WORDS: dict[bytes, int] = {}
+# Words whose hash a task remembers.
+REMEMBERED = 200_000
 MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -65,24 +65,26 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
+class Words(dict):
+    """64-bit hash of a word, remembered within one task."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def shingles(text: str | None, width: int, known: Words | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a whole text; A-Z are lower-cased, words end at blanks."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(_WORDS) > REMEMBERED:
-        _WORDS.clear()
-    known = _WORDS
-    codes = []
-    for w in words:
-        code = known.get(w)
-        if code is None:
-            code = known[w] = xxhash.xxh3_64_intdigest(w)
-        codes.append(code)
-    h = np.array(codes, dtype=np.uint64)
+    if len(words) < width:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], dtype=np.uint64)
+    known = Words() if known is None else known
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     with np.errstate(over="ignore"):
-        if len(words) < width:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], dtype=np.uint64)
         total = np.zeros(len(h) - width + 1, dtype=np.uint64)
         for i in range(width):
             total = _mixed(total + h[i : len(h) - width + 1 + i] + MIX[i % 3])
@@ -198,8 +200,8 @@ def _packs(keys: np.ndarray, owners: np.ndarray, second: np.ndarray, buckets: in
     place, owners, marks = place[order], owners[order], marks[order]
     bounds = np.searchsorted(place >> 32, np.arange(buckets + 1))
     filled = np.flatnonzero(np.diff(bounds))
-    for start in range(0, len(filled), 256):
-        some = filled[start : start + 256]
+    for start in range(0, len(filled), 64):
+        some = filled[start : start + 64]
         spans = [slice(bounds[b], bounds[b + 1]) for b in some]
         packed = {
             "bucket": pa.array(some),
@@ -218,7 +220,7 @@ def measured(docs: DataFrame, plan: Plan, salt: int = 0, sizes: tuple[int, int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple[int | None, list[tuple[np.ndarray, int]]]] = {}
-        waiting = 0
+        waiting, known = 0, Words()
 
         def packs() -> Iterator[pa.RecordBatch]:
             sent = [(i, k, c) for i, found in held.values() if i is not None for c, (k, _) in enumerate(found)]
@@ -230,7 +232,7 @@ def measured(docs: DataFrame, plan: Plan, salt: int = 0, sizes: tuple[int, int]
         for batch in slices(batches, 1):
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = shingles(text, plan.width)
+                h = shingles(text, plan.width, known)
                 if sizes and not sizes[0] <= len(h) <= sizes[1]:
                     continue
                 if not len(h):
@@ -290,8 +292,9 @@ def sets_of(docs: DataFrame, ids: DataFrame, plan: Plan) -> DataFrame:
     """doc_id and the packed set of every text whose id is among ``ids``, and of a few others that pass their filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in slices(batches, 1):
-            packed = [pack_set(shingles(t, plan.width)) for t in batch.column(1).to_pylist()]
+            packed = [pack_set(shingles(t, plan.width, known)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "set"])
 
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))

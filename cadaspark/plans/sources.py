@@ -133,6 +133,37 @@ def _event_stream(spark, sf):
     return _shape(spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet"))
 
 
+def _replayed(spark, sf, parts=4):
+    """The events as a stream of several micro-batches: files in order of time, one a batch."""
+    events, path = b.table(spark, sf, "events"), scratch_path(spark, "event-files")
+    us = F.expr(MICROS)
+    inner = events.select(us.cast("double").alias("us")).approxQuantile("us", [i / parts for i in range(1, parts)], 0.001)
+    for low, high in zip([None, *inner], [*inner, None]):
+        some = F.lit(True) if low is None else us >= low
+        some = some if high is None else some & (us < high)
+        events.where(some).coalesce(1).write.mode("append").parquet(path)
+    return _shape(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+
+def expired_gate(spark, sf):
+    """Both outcomes of the gate: runs that are confirmed within a day, and those whose day has passed without it."""
+    events = _replayed(spark, sf)
+    side = lambda kind: events.filter(c("event_type") == kind).select(c("gate_run").alias("run_id"), "ts")
+    out = streams.run_to_table(streams.stream_gate(side("signup"), side("purchase"), expired=True), "append")
+    return out.select("run_id", F.unix_micros("submitted_at").alias("submitted_us"), F.unix_micros("confirmed_at").alias("confirmed_us"), "status")
+
+
+def closed_windows(spark, sf):
+    """Windows of all three kinds as they are closed by the watermark, over several micro-batches."""
+    events = _replayed(spark, sf)
+    done = [streams.run_to_table(streams.submission_windows(events, kind), "append") for kind in ("tumbling", "sliding", "session")]
+    return done[0].unionByName(done[1]).unionByName(done[2])
+
+
+def call_sessions(spark, sf):
+    return streams.run_to_table(streams.call_sessions(_replayed(spark, sf)), "append")
+
+
 def gate(spark, sf):
     side = lambda kind: _event_stream(spark, sf).filter(c("event_type") == kind).select(c("gate_run").alias("run_id"), "ts")
     out = streams.run_to_table(streams.stream_gate(side("signup"), side("purchase")), "append")
@@ -172,6 +203,9 @@ QUERIES = {
     "export_reports_json": export_json,
     "layer_availability": availability,
     "stream_gate": gate,
+    "stream_gate_expired": expired_gate,
+    "closed_windows": closed_windows,
+    "call_sessions": call_sessions,
     "session_state": sessions,
     "stream_benchmark": bench_stream,
     "submission_windows": windows,
@@ -182,6 +216,13 @@ _EV = f"SELECT {', '.join(EVENT_COLUMNS)}, epoch_us(ts) AS us FROM events"
 _zone_rows = ", ".join(f"('{n}',{v[0]!r}e0,{v[1]!r}e0,{v[2]!r}e0,{v[3]!r}e0)" for n, *v in spatial.SENTINEL_ZONES + [(n + " state", *v) for n, *v in b.STATE_BOXES])
 _means = ", ".join(f"(floor(sum({m})/count(*)*1e4+0.5e0)/1e4) AS avg_{m}, (floor(avg({m})*1e4+0.5e0)/1e4) AS plain_{m}" for m in history.MEASURES)
 
+_us = "epoch_us(ts)"
+_WINDOWS = f"""WITH e AS ({_EV}), t AS (SELECT 'tumbling' AS kind, us//21600000000*21600000000 AS start_us, 21600000000 AS len, stage FROM e UNION ALL
+       SELECT 'sliding', (us//21600000000-d)*21600000000, 43200000000, stage FROM e, (SELECT unnest([0,1]) AS d)),
+      o AS (SELECT *, CASE WHEN us-lag(us) OVER (PARTITION BY run_id ORDER BY us)<1800000000 THEN 0 ELSE 1 END AS brk FROM e), s AS (SELECT run_id, us, stage, sum(brk) OVER (PARTITION BY run_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM o)
+      SELECT kind, CAST(NULL AS BIGINT) AS run_id, start_us, start_us+len AS end_us, count(*) AS runs, count(*) FILTER (stage='ERROR') AS errors FROM t GROUP BY ALL UNION ALL
+      SELECT 'session', run_id, min(us), max(us)+1800000000, count(*), count(*) FILTER (stage='ERROR') FROM s GROUP BY run_id, k"""
+
 CHECKS = {
     "read_stations_csv": """WITH r AS (SELECT c_custkey%4 AS file_id, c_custkey AS k, row_number() OVER (PARTITION BY c_custkey%4 ORDER BY c_custkey)-1 AS row_index FROM customer)
       SELECT file_id, row_index, CASE file_id WHEN 0 THEN 'BP' || k WHEN 2 THEN 'A ' || k ELSE 'S' || (row_index+1) END AS station_id,
@@ -198,13 +239,19 @@ CHECKS = {
     "export_reports_json": with_(["rep"], "SELECT report_id, 'JSON' AS export_format, persona, score, traffic_light FROM rep"),
     "layer_availability": with_(["lines"], "SELECT layer, count(DISTINCT state) AS files, string_agg(DISTINCT state, ',' ORDER BY state) AS names, count(*) AS segments, count(DISTINCT feature_id) AS features FROM lines GROUP BY layer"),
     "stream_gate": f"WITH e AS ({_EV}) SELECT s.gate_run AS run_id, s.us AS submitted_us, k.us AS confirmed_us, 'running' AS status FROM e s JOIN e k ON s.gate_run=k.gate_run AND s.event_type='signup' AND k.event_type='purchase' AND k.us BETWEEN s.us AND s.us+86400000000",
+    "stream_gate_expired": f"""WITH e AS ({_EV}), s AS (SELECT gate_run, us FROM e WHERE event_type='signup'), k AS (SELECT gate_run, us FROM e WHERE event_type='purchase'),
+      w AS (SELECT least((SELECT max(us) FROM s), (SELECT max(us) FROM k)) - 3600000000 AS w), j AS (SELECT s.gate_run, s.us, k.us AS kus FROM s LEFT JOIN k ON s.gate_run=k.gate_run AND k.us BETWEEN s.us AND s.us+86400000000)
+      SELECT gate_run AS run_id, us AS submitted_us, kus AS confirmed_us, CASE WHEN kus IS NULL THEN 'cancelled' ELSE 'running' END AS status FROM j, w WHERE kus IS NOT NULL OR us+86400000000 < w""",
+    "closed_windows": f"SELECT o.* FROM ({_WINDOWS}) o WHERE end_us <= (SELECT max({_us}) - 3600000000 FROM events)",
+    "call_sessions": f"""WITH e AS ({_EV}), g AS (SELECT *, CASE WHEN us-lag(us) OVER w<=21600000000 THEN 0 ELSE 1 END AS brk FROM e WINDOW w AS (PARTITION BY run_id ORDER BY us, event_id)),
+      s AS (SELECT *, sum(brk) OVER (PARTITION BY run_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS ses FROM g),
+      i AS (SELECT *, sum(CASE WHEN valid THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, ses ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS isl FROM s),
+      k AS (SELECT run_id, ses, isl, min(us) AS a, max(us) AS z, count(*) AS n, count(*) FILTER (NOT valid) AS bad FROM i GROUP BY ALL),
+      r AS (SELECT run_id, min(a) AS started_us, max(z) AS ended_us, CAST(sum(n) AS BIGINT) AS calls, CAST(max(bad) AS BIGINT) AS longest FROM k GROUP BY run_id, ses)
+      SELECT *, longest>3 AS abort FROM r WHERE ended_us+21600000000 < (SELECT max(us) FROM e)-3600000000""",
     "session_state": f"""WITH e AS ({_EV}), g AS (SELECT run_id, arg_max(stage, {{'u': us, 'i': event_id}}) AS stage, max(us) AS updated_us, count(*) AS events, bool_or(stage='CONFIRMED') AS ok FROM e GROUP BY run_id)
       SELECT run_id, stage, CASE stage WHEN 'ERROR' THEN 'error' WHEN 'COMPLETE' THEN 'completed' ELSE CASE WHEN ok THEN 'running' ELSE 'pending' END END AS status, updated_us, events FROM g""",
     "stream_benchmark": f"WITH e AS ({_EV}), r AS (SELECT {', '.join(AREA_ROWS)} FROM e) SELECT state, lga, count(*) AS report_count, {_means} FROM r GROUP BY state, lga",
-    "submission_windows": f"""WITH e AS ({_EV}), t AS (SELECT 'tumbling' AS kind, us//21600000000*21600000000 AS start_us, 21600000000 AS len, stage FROM e UNION ALL
-       SELECT 'sliding', (us//21600000000-d)*21600000000, 43200000000, stage FROM e, (SELECT unnest([0,1]) AS d)),
-      o AS (SELECT *, CASE WHEN us-lag(us) OVER (PARTITION BY run_id ORDER BY us)<1800000000 THEN 0 ELSE 1 END AS brk FROM e), s AS (SELECT run_id, us, stage, sum(brk) OVER (PARTITION BY run_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM o)
-      SELECT kind, CAST(NULL AS BIGINT) AS run_id, start_us, start_us+len AS end_us, count(*) AS runs, count(*) FILTER (stage='ERROR') AS errors FROM t GROUP BY ALL UNION ALL
-      SELECT 'session', run_id, min(us), max(us)+1800000000, count(*), count(*) FILTER (stage='ERROR') FROM s GROUP BY run_id, k""",
+    "submission_windows": _WINDOWS,
     "call_limit": f"WITH e AS ({_EV}), i AS (SELECT *, sum(CASE WHEN valid THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM e), s AS (SELECT run_id, k, count(*) AS n FROM i WHERE NOT valid GROUP BY ALL) SELECT r.run_id, coalesce(max(n),0) AS longest, coalesce(max(n),0)>3 AS abort FROM (SELECT DISTINCT run_id FROM e) r LEFT JOIN s ON r.run_id=s.run_id GROUP BY r.run_id",
 }

@@ -49,6 +49,20 @@ def sample_elevation(points: DataFrame, cells: DataFrame, lat: str = "lat", lng:
     return keyed.join(_valued(cells, "dem", out), ["tile", "px_row", "px_col"], "left").drop("tile", "px_row", "px_col")
 
 
+def lowest_vertex(vertices: DataFrame, cells: DataFrame) -> DataFrame:
+    """run_id, lat, lng of the lowest boundary vertex of each ring by sampled elevation, the earliest of equals.
+
+    A ring without any sampled elevation gets its centroid, the mean of all its vertices.
+    """
+    c = F.col
+    sampled = sample_elevation(vertices.select("run_id", "seq", "lat", "lng"), cells)
+    found = sampled.groupBy("run_id").agg(
+        F.min(F.when(c("elevation_m").isNotNull(), F.struct("elevation_m", "seq", "lat", "lng"))).alias("low"),
+        rnd(F.avg("lat"), 6).alias("lat"), rnd(F.avg("lng"), 6).alias("lng"),
+    )
+    return found.select("run_id", F.coalesce("low.lat", "lat").alias("lat"), F.coalesce("low.lng", "lng").alias("lng"))
+
+
 def slope_pct(points: DataFrame, cells: DataFrame) -> DataFrame:
     """Steepest rise over run between any two of 3 x 3 samples 90 m apart.
 

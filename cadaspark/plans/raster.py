@@ -38,10 +38,16 @@ def internal(spark, sf):
 
 def _paths(spark, sf):
     picked = plan._asset(spark, sf).select(c("parcel_id").alias("run_id"), "priority", "feature_id")
-    starts = plan.lowest_vertex(spark, sf).join(picked, "run_id")
+    starts = raster.lowest_vertex(b.vertices(spark, sf), b.dem_cells(spark, sf)).join(picked, "run_id")
     return spatial.outfall_path(starts, spatial.asset_segments(b.lines(spark, sf), b.landuse_edges(spark, sf)))
 
 
+def outfall_distance(spark, sf):
+    """From the lowest boundary vertex to the drainage asset; null where there is none."""
+    paths = _paths(spark, sf).select("run_id", crnd(c("outfall_m"), 1).alias("outfall_m"))
+    return b.vertices(spark, sf).select("run_id").distinct().join(paths, "run_id", "left")
+
+
 def outfall(spark, sf):
     return raster.outfall_profile(_paths(spark, sf), b.dem_cells(spark, sf))
 
@@ -53,6 +59,7 @@ QUERIES = {
     "longest_axis": axis_view,
     "internal_profile": internal,
     "outfall_profile": outfall,
+    "outfall_distance": outfall_distance,
     "profile_range": lambda spark, sf: raster.profile_range(internal(spark, sf)),
 }
 
@@ -125,13 +132,16 @@ def _profile(source: str, extra: str = "") -> dict[str, str]:
 _INT = {**AXIS, **DEM, **_profile("axis")}
 _OUT = {
     **plan._ASSET, **DEM, **inputs("v"),
-    "lowv": "SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY (run_id*7+seq*13)%29, seq)=1",
+    "ve": f"SELECT run_id, seq, lat, lng, px.v AS elev FROM v LEFT JOIN px ON tile={_tile('lat', 'lng')} AND px_row={_row('lat', 'lat')} AND px_col={_col('lng', 'lng')}",
+    "lowv": f"""SELECT run_id, lat, lng FROM ve WHERE elev IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY elev, seq)=1
+      UNION ALL SELECT run_id, {rnd('avg(lat)', 6)}, {rnd('avg(lng)', 6)} FROM ve GROUP BY run_id HAVING count(elev)=0""",
     "st": f"SELECT run_id, priority, feature_id, lat, lng, {zone('lng')} AS zone FROM lowv JOIN best ON run_id=parcel_id",
     "su": utm("st", "lat", "lng", "zone", "se", "sn"),
     "od": plan._dist("SELECT run_id, se, sn, lu2.* FROM su JOIN lu2 USING (zone, priority, feature_id)", "se", "sn"),
     "pa": "SELECT run_id, zone, priority, se AS e, sn AS n, x1+t*(x2-x1) AS qe, y1+t*(y2-y1) AS qn FROM od QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY d)=1",
     **_profile("pa", ", priority"),
 }
+_OUT_DISTANCE = {k: v for k, v in _OUT.items() if k not in ("sm", "sl", "pf")}
 _pairs = ", ".join(
     f"abs(v{i}-v{j})/(90e0*sqrt({(i//3-j//3)**2 + (i%3-j%3)**2}))*100e0" for i in range(9) for j in range(i + 1, 9)
 )
@@ -145,6 +155,7 @@ CHECKS = {
     "longest_axis": with_(AXIS, f"SELECT run_id, seq, seq2, {rnd('e', 2)} AS e, {rnd('n', 2)} AS n, {rnd('qe', 2)} AS qe, {rnd('qn', 2)} AS qn FROM axis"),
     "internal_profile": with_(_INT, "SELECT run_id, pos, distance_m, elevation_m, 'Internal Point ' || (pos+1) AS label FROM pf"),
     "outfall_profile": with_(_OUT, "SELECT run_id, pos, distance_m, elevation_m, CASE pos WHEN 0 THEN 'Plot Edge (Lowest)' WHEN 9 THEN CASE priority WHEN 1 THEN 'Canal' WHEN 2 THEN 'River Channel' ELSE 'Gutter' END ELSE 'Outfall Pt ' || pos END AS label FROM pf"),
+    "outfall_distance": with_(_OUT_DISTANCE, f"SELECT lowv.run_id, {rnd('min(d)', 1)} AS outfall_m FROM lowv LEFT JOIN od USING (run_id) GROUP BY lowv.run_id"),
     "profile_range": with_({**_INT, "mm": "SELECT run_id, min(elevation_m) AS low, max(elevation_m) AS high FROM pf GROUP BY run_id"},
       f"SELECT run_id, {rnd('low-CASE WHEN high=low THEN 10e0 ELSE high-low END*0.1e0', 3)} AS axis_min, {rnd('high+CASE WHEN high=low THEN 10e0 ELSE high-low END*0.1e0', 3)} AS axis_max FROM mm"),
 }

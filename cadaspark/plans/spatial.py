@@ -59,21 +59,6 @@ def asset(spark, sf):
     )
 
 
-def lowest_vertex(spark, sf):
-    """Lowest boundary vertex of each parcel; the vertex elevation is a formula of the corner here."""
-    v = bridge.vertices(spark, sf).withColumn("elev", (c("run_id") * 7 + c("seq") * 13) % 29)
-    low = v.groupBy("run_id").agg(F.min(F.struct("elev", "seq", "lat", "lng")).alias("b"))
-    return low.select("run_id", "b.lat", "b.lng")
-
-
-def outfall(spark, sf):
-    picked = _asset(spark, sf).select(c("parcel_id").alias("run_id"), "priority", "feature_id")
-    starts = lowest_vertex(spark, sf).join(picked, "run_id")
-    segs = spatial.asset_segments(bridge.lines(spark, sf), bridge.landuse_edges(spark, sf))
-    paths = spatial.outfall_path(starts, segs).select("run_id", crnd(c("outfall_m"), 1).alias("outfall_m"))
-    return lowest_vertex(spark, sf).select("run_id").join(paths, "run_id", "left")
-
-
 def registry(spark, sf):
     spots = _spots(spark, sf)
     hits = spatial.registry_match(spots, bridge.registry(spark, sf))
@@ -123,7 +108,6 @@ QUERIES = {
     "building_rings": rings,
     "landuse_conflicts": conflicts,
     "outfall_asset": asset,
-    "outfall_distance": outfall,
     "state_for_point": lambda spark, sf: _spots(spark, sf).select("parcel_id", screening.state_for_point(c("lat"), c("lng")).alias("state")),
     "sentinel_zone": zone_name,
     "admin_lookup": admin,
@@ -213,12 +197,6 @@ CHECKS = {
     "landuse_conflicts": with_({**_POLY, "tg": f"SELECT parcel_id, lower(trim(tag)) AS tag FROM hit WHERE d<=200 AND lower(trim(tag)) IN ({_conf})"},
       "SELECT p.parcel_id, coalesce(cs,'') AS conflicts FROM p LEFT JOIN (SELECT parcel_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS cs FROM tg GROUP BY parcel_id) USING (parcel_id)"),
     "outfall_asset": with_(_ASSET, f"SELECT p.parcel_id, priority IS NOT NULL AS outfall_connected, CASE WHEN priority=1 THEN 'Drainage Canal' WHEN priority=2 THEN 'Active River' WHEN priority=3 THEN 'Paved Road' END AS asset, feature_id, {rnd('d', 1)} AS distance_m FROM p LEFT JOIN best USING (parcel_id)"),
-    "outfall_distance": with_({**_ASSET, **inputs("v"),
-      "lowv": "SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY (run_id*7+seq*13)%29, seq)=1",
-      "st": f"SELECT run_id, priority, feature_id, lat, lng, {zone('lng')} AS zone FROM lowv JOIN best ON run_id=parcel_id",
-      "su": utm("st", "lat", "lng", "zone", "se", "sn"),
-      "od": _dist("SELECT run_id, se, sn, lu2.* FROM su JOIN lu2 USING (zone, priority, feature_id)", "se", "sn")},
-      f"SELECT lowv.run_id, {rnd('min(d)', 1)} AS outfall_m FROM lowv LEFT JOIN od USING (run_id) GROUP BY lowv.run_id"),
     "state_for_point": with_(["p"], f"SELECT parcel_id, {state_case('lat', 'lng')} AS state FROM p"),
     "sentinel_zone": with_(["p"], f"SELECT parcel_id, {_sent} AS zone_name, ({_sent}) IS NULL AS out_of_zone FROM p"),
     "admin_lookup": with_(["p"], """SELECT parcel_id, coalesce(n_name,'Unresolved — confirm State') AS admin_state, coalesce('Area ' || n_nationkey,'Unresolved — confirm LGA') AS admin_area

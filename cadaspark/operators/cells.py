@@ -14,6 +14,8 @@ from cadaspark.sources.scratch import keep
 BASE_M = 1000.0
 # Cell widths in base cells, coarse to fine, used to narrow the nearest search.
 DESCENT = (80, 8, 1)
+# Cells with more than DENSE segments are split, level by level, into cells of these parts of a base cell.
+FINER, DENSE = (4, 16, 64), 64
 # Box cells in degrees, and how many salts spread the points of one cell at that level.
 BOX_LEVELS = ((0.005, 1), (0.05, 4), (0.5, 16), (5.0, 64), (360.0, 256))
 METRES_PER_DEGREE = 110000.0
@@ -141,17 +143,19 @@ def _candidate_cells(probe_cells: DataFrame, layer_cells: DataFrame, bound: floa
 def nearest(points: DataFrame, lines: DataFrame, bound: float, carry: list[str]) -> DataFrame:
     """Nearest segment within ``bound`` metres of each distinct place of ``points``.
 
-    Returns (lat, lng, distance_m, *carry); places with nothing in range are absent. Ties within a
+    Candidate cells come from a descent over cell tables; dense ones are split further, and each place keeps only the small cells within reach of it, so a
+    place in a crowded city meets about as few segments as one outside. Returns (lat, lng, distance_m, *carry); places with nothing in range are absent. Ties within a
     millimetre go to the lower ``feature_id``.
     """
     c = F.col
     probes = project_points(places(points)).withColumns({"ax": _cell(c("e")), "ay": _cell(c("n"))})
-    layer = _line_cells(project_lines(lines))
+    layer = _line_cells(keep(project_lines(lines), "layer-lines"))
     probe_cells = probes.select("zone", "ax", "ay").distinct()
     pairs = _candidate_cells(probe_cells, layer.select("zone", "cx", "cy", "sure"), bound)
-    met = probes.join(pairs, ["zone", "ax", "ay"]).join(
-        layer.select("zone", "cx", "cy", "x1", "y1", "x2", "y2", "feature_id", *carry), ["zone", "cx", "cy"]
-    )
+    met = probes.join(pairs, ["zone", "ax", "ay"]).select("zone", "lat", "lng", "e", "n", F.lit(0).alias("level"), "cx", "cy")
+    filed = layer.select("zone", F.lit(0).alias("level"), "cx", "cy", "x1", "y1", "x2", "y2", "feature_id", *carry)
+    met, filed = _split_dense(met, filed)
+    met = met.join(filed, ["zone", "level", "cx", "cy"])
     measured = met.withColumn("distance_m", line_distance())
     best = measured.filter(c("distance_m") <= bound).groupBy("lat", "lng").agg(
         F.min(F.struct(F.floor(c("distance_m") * 1000 + 0.5).alias("mm"), "feature_id", "distance_m", *carry)).alias("b")
@@ -159,6 +163,44 @@ def nearest(points: DataFrame, lines: DataFrame, bound: float, carry: list[str])
     return best.select("lat", "lng", "b.distance_m", *[f"b.{k}" for k in carry])
 
 
+def _split_dense(met: DataFrame, filed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places with their candidate cells, and segments by cell, after crowded cells have been split where they are crowded.
+
+    Of a split cell a place keeps the parts that are no farther than the nearest part with a certain point of a segment may be.
+    """
+    c = F.col
+    segment = [k for k in filed.columns if k not in ("level", "cx", "cy")]
+    ratio_before = 1
+    for level, ratio in enumerate(FINER, 1):
+        of_cell = ["zone", "level", "cx", "cy"]
+        last = filed.where(c("level") == level - 1)
+        dense = keep(last.groupBy(*of_cell).agg(F.count("*").alias("held")).where(c("held") > DENSE).select(*of_cell), "dense-cells")
+        if dense.limit(1).count() == 0:
+            break
+        size, step = BASE_M / ratio, ratio // ratio_before
+        crowd = last.join(dense, of_cell, "left_semi").select(*segment).distinct()
+        parent = [F.floor(c(k) / step).alias(f"p{k}") for k in ("cx", "cy")]
+        above = dense.select("zone", c("cx").alias("pcx"), c("cy").alias("pcy"))
+        parts = _line_cells(crowd, size).select("*", *parent).join(above, ["zone", "pcx", "pcy"], "left_semi")
+        parts = keep(parts, "cell-parts")
+        children = parts.groupBy("zone", "pcx", "pcy", "cx", "cy").agg(F.max("sure").alias("sure"))
+        near = met.join(dense, of_cell, "left_semi").withColumnsRenamed({"cx": "pcx", "cy": "pcy"}).join(children, ["zone", "pcx", "pcy"])
+        gaps = {k: (c(v) - c(f"c{x}") * size, (c(f"c{x}") + 1) * size - c(v)) for k, v, x in (("x", "e", "x"), ("y", "n", "y"))}
+        (xa, xb), (ya, yb) = gaps["x"], gaps["y"]
+        low_x, low_y = F.greatest(-xa, -xb, F.lit(0.0)), F.greatest(-ya, -yb, F.lit(0.0))
+        high_x, high_y = F.greatest(F.abs(xa), F.abs(xb)), F.greatest(F.abs(ya), F.abs(yb))
+        near = near.withColumns({
+            "low": F.sqrt(low_x * low_x + low_y * low_y), "high": F.when(c("sure"), F.sqrt(high_x * high_x + high_y * high_y)),
+        })
+        reach = F.min("high").over(Window.partitionBy("zone", "lat", "lng"))
+        near = near.withColumn("reach", reach).where("reach IS NULL OR low <= reach + 1e-6")
+        near = near.select(*met.columns[:-3], F.lit(level).alias("level"), "cx", "cy")
+        met = keep(met.join(dense, of_cell, "left_anti").select(*near.columns).union(near), "candidate-cells")
+        filed = filed.join(dense, of_cell, "left_anti").select(*filed.columns).union(parts.withColumn("level", F.lit(level)).select(*filed.columns))
+        ratio_before = ratio
+    return met, filed
+
+
 def line_distance(px: str = "e", py: str = "n") -> Column:
     c = F.col
     t = segment_parameter(c(px), c(py), c("x1"), c("y1"), c("x2"), c("y2"))

@@ -63,6 +63,29 @@ def test_nearest_is_exact_for_any_cell(spark, monkeypatch, base):
             assert value == pytest.approx(brute, abs=0.051)
 
 
+def test_nearest_stays_exact_and_flat_in_a_crowded_city(spark, monkeypatch):
+    """20,000 short segments in one square kilometre: places there meet few of them, and answers equal those of all pairs."""
+    k = F.col("id")
+    city = spark.range(20_000).select(
+        k.alias("feature_id"), (6.5 + (k * 7919 % 10007) / 10007 * 0.008).alias("lat1"), (3.4 + (k * 104729 % 9973) / 9973 * 0.008).alias("lng1")
+    ).withColumns({"lat2": F.col("lat1") + 0.00002, "lng2": F.col("lng1") + 0.00003})
+    spots = spark.range(200).select(k.alias("parcel_id"), (6.499 + (k * 37 % 200) / 200 * 0.01).alias("lat"), (3.399 + (k * 91 % 199) / 199 * 0.01).alias("lng"))
+    met_rows = []
+    whole = cells._split_dense
+
+    def watched(met, filed):
+        met, filed = whole(met, filed)
+        met_rows.append(met.join(filed, ["zone", "level", "cx", "cy"]).count())
+        return met, filed
+
+    monkeypatch.setattr(cells, "_split_dense", watched)
+    got = {r.parcel_id: r.road_m for r in spatial.nearest_road(spots, city).collect()}
+    pairs = cells.project_points(spots).join(cells.project_lines(city), "zone").withColumn("d", cells.line_distance())
+    want = {r.parcel_id: r.d for r in pairs.groupBy("parcel_id").agg(F.min("d").alias("d")).collect()}
+    assert len(got) == 200 and all(got[i] == pytest.approx(want[i], abs=0.051) for i in got)
+    assert met_rows[0] < 200 * 800  # of 20,000 a place
+
+
 def test_hot_place_and_copies(spark):
     """Copies of one place and one crowded cell change nothing but the counts."""
     spots = spark.range(300).select((F.col("id")).alias("parcel_id"), F.lit(6.5).alias("lat"), F.lit(3.4).alias("lng"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadaspark.functions import rules, units
-from cadaspark.sources.bridge import STATE_BOXES
+from cadaspark.sources.config import STATE_BOXES
 
 
 def state_for_point(lat, lng, boxes=STATE_BOXES):

@@ -119,8 +119,9 @@ def read_layer_segments(spark: SparkSession, path: str, layer: str, state: str |
     segments = spark.read.parquet(path).filter(F.col("layer") == layer)
     if state:
         own = segments.filter(F.col("state") == state)
-        if not own.isEmpty():
-            return own
+        # the national rows only where the state has none, without a job of its own
+        national = segments.filter(F.col("state") == NATIONAL).join(own.select("layer").distinct(), "layer", "left_anti")
+        return own.unionByName(national.select(*own.columns))
     return segments.filter(F.col("state") == NATIONAL)
 
 
@@ -134,14 +135,6 @@ def read_audit_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(AUDIT_SCHEMA).json(path).withColumn("ts", F.to_timestamp("timestamp"))
 
 
-def layer_availability(spark: SparkSession, path: str, glob: str, layer: Column) -> DataFrame:
-    """Files per layer, one row per file beside the count; ``layer`` reads the ``file`` column."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file")).distinct().withColumn("layer", layer)
-    counts = named.groupBy("layer").agg(F.count("*").alias("files"))
-    return named.join(counts, "layer")
-
-
 def layer_contents(spark: SparkSession, path: str) -> DataFrame:
     """What a layer store (partitioned by layer and state) holds: files by state, their names, segments and features of each layer."""
     return spark.read.parquet(path).groupBy("layer").agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadaspark.operators import cadastral, crs, extract, measure, rings
 from cadaspark.operators.raster import tile_of
 
+# The inputs of the reference cases.
 CASES = {
     1: ("6.6018N 3.5062E; 6.6025N 3.5075E; 6.6010N 3.5080E; 6.6003N 3.5067E; 6.6018N 3.5062E", None, None),
     2: ("6.4355N 3.5912E; 6.4362N 3.5925E; 6.4348N 3.5930E; 6.4341N 3.5917E; 6.4355N 3.5912E", None, None),

@@ -161,7 +161,66 @@ QUERIES = {
     "op12_spelling": op12_spelling,
     "op13_decontamination": op13_decontamination,
 }
+# CRC-32 for DuckDB, which has none: the table of its polynomial, and a walk over the bytes of a text.
+_CRC_TABLE = """crc_table AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def _crc(text: str) -> str:
+    bytes_of = f"[CAST('0x' || substr(hex(encode({text})), 2 * j + 1, 2) AS BIGINT) FOR j IN range(octet_length(encode({text})))]"
+    walk = f"list_reduce(list_prepend(4294967295, {bytes_of}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))"
+    return f"xor({walk}, 4294967295)"
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WIDE_WORDS = f"coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
 CHECKS: dict[str, str] = {
+    "op11_resampling": f"""
+WITH {_CRC_TABLE}, d AS (SELECT row_number() OVER () AS r, doc_id, {_WIDE_WORDS} AS w FROM documents),
+b AS (SELECT {_WIDE_WORDS} AS w FROM benchmark),
+dw AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(w) AS word FROM d) GROUP BY ALL),
+bw AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM b) GROUP BY ALL),
+words AS (SELECT word, {_crc('word')} % 10000 AS bucket FROM (SELECT word FROM dw UNION SELECT word FROM bw), crc_table),
+s AS (SELECT bucket, sum(n) AS s FROM dw JOIN words USING (word) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS t FROM bw JOIN words USING (word) GROUP BY bucket),
+total AS (SELECT coalesce((SELECT sum(n) FROM dw), 0)::DOUBLE AS s_all, coalesce((SELECT sum(n) FROM bw), 0)::DOUBLE AS t_all),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (t_all + 10000)))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM words) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), total),
+weights AS (SELECT r, CAST(sum(n * gain) AS BIGINT) AS weight FROM dw JOIN words USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('2024:' || doc_id), 8) AS BIGINT) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (r)),
+fit AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20 AND score IS NOT NULL)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN fit USING (r)
+""",
+    "op12_spelling": f"""
+WITH {_CRC_TABLE}, runs AS (SELECT doc_id, {_LOWER.format('run')} AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, n, CASE WHEN doc_id IS NOT NULL THEN {_crc("(doc_id || ':' || run)")} END AS h FROM runs, crc_table WHERE length(run) >= 6),
+worn AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM worn WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+gaps AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other FROM gaps a JOIN gaps b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT g.word, v.word FROM gaps g JOIN words v ON g.rest = v.word UNION SELECT v.word, g.word FROM gaps g JOIN words v ON g.rest = v.word),
+best AS (SELECT near.word, count(*) AS n_near, first(o.word ORDER BY o.n DESC, o.word) AS other, max(o.n) AS other_n FROM near JOIN words o ON o.word = other GROUP BY near.word),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS last FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.last WHERE f.form IS NOT NULL)
+SELECT formed.word, formed.form, c.last AS root, formed.n, formed.n_near, formed.form_n FROM formed JOIN chain c ON c.word = formed.word JOIN formed e ON e.word = c.last AND e.form IS NULL
+""".replace("WITH ", "WITH RECURSIVE ", 1),
+    "op13_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WIDE_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WIDE_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, k, k + least(len(w), 10) - 1), ' ') AS span
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, least(len(w), 1)) + 1)) AS k FROM i)),
+sizes AS (SELECT DISTINCT n FROM iw),
+spans AS (SELECT r, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') AS span FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT r, k, n, CAST(item_id AS VARCHAR) AS item FROM spans JOIN iw USING (n, span)),
+places AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN places USING (r) LEFT JOIN named USING (r)
+""",
     "op10_url_filter": f"""
 WITH parsed AS (
   SELECT page_id,

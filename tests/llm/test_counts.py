@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
 from cadaspark.llm import importance_resampling, plans, spelling_variants, winnowed_leaks
@@ -226,3 +227,19 @@ def test_leaks_of_odd_rows(odd):
     assert judged(odd, frame) == leaked(rows, items)
     assert judged(odd, frame.limit(0)) == leaked(rows, [])
     assert winnowed_leaks.judge(odd.limit(0), frame).count() == 0
+
+
+@pytest.mark.parametrize(
+    "name,columns,plain",
+    [
+        ("op11_resampling", "doc_id, n_features, weight, score, rank", lambda docs, items: resampled(docs, items)),
+        ("op12_spelling", "word, form, root, n, n_near, form_n", lambda docs, items: Counter(grouped(counted(docs)))),
+        ("op13_decontamination", "doc_id, n_words, n_hit, n_items, items_sha256, contaminated", leaked),
+    ],
+)
+def test_sql_equals_the_plain_version(name, columns, plain):
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    docs, items = (duck.execute(f"SELECT {k}, text FROM {t}").fetchall() for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    assert Counter(duck.execute(f"SELECT {columns} FROM ({plans.CHECKS[name]})").fetchall()) == plain(docs, items)

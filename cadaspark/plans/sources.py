@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadaspark.functions import numeric
-from cadaspark.operators import cells, extract, history, spatial
+from cadaspark.operators import cells, history, spatial
 from cadaspark.plans.checks import inputs, with_
 from cadaspark.plans.raster import DEM
 from cadaspark.sources import bridge as b
@@ -45,7 +45,11 @@ KML = [
 
 
 def kml(spark, sf):
-    return extract.kml_vertices(b.parcel_base(spark, sf).selectExpr(*KML))
+    """KML documents of all parcels, written as collections and read back."""
+    path = scratch_path(spark, "kml")
+    named = F.replace("kml", F.lit("<Placemark>"), F.concat(F.lit("<Placemark><name> "), c("run_id").cast("string"), F.lit("</name>")))
+    b.parcel_base(spark, sf).selectExpr(*KML).select(named.alias("value")).write.option("lineSep", "\n").text(path)
+    return readers.read_kml_collection(spark, path).withColumn("run_id", c("run_id").cast("long"))
 
 
 def registry_json(spark, sf):
@@ -73,9 +77,13 @@ def raster_cells(spark, sf):
 
 
 def rules_config(spark, sf):
-    """Parcels inside each configured box, the boxes read as a table."""
+    """Parcels inside each configured box, the boxes read from configuration files."""
     spots = b.parcels(spark, sf).select("parcel_id", "lat", "lng")
-    zones = config.boxes(spark, spatial.SENTINEL_ZONES + [(n + " state", *v) for n, *v in b.STATE_BOXES])
+    made = config.boxes(spark, spatial.SENTINEL_ZONES + [(n + " state", *v) for n, *v in b.STATE_BOXES])
+    path = scratch_path(spark, "zones")
+    bbox = F.array("min_lat", "max_lat", "min_lng", "max_lng")
+    made.groupBy().agg(F.collect_list(F.struct("name", bbox.alias("bbox"))).alias("zones")).write.json(path)
+    zones = readers.read_zones_json(spark, path)
     hits = cells.box_join(spots, zones, ["name"])
     return hits.groupBy("name").agg(F.count("*").alias("parcels"), F.min("parcel_id").alias("first_parcel"))
 

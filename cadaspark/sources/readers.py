@@ -98,6 +98,27 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
     return kml_vertices(texts.select(F.col("_metadata.file_path").alias("run_id"), F.col("value").alias("kml")))
 
 
+def read_kml_collection(spark: SparkSession, path: str) -> DataFrame:
+    """Vertices of files that hold many KML documents one after another: run_id is the first name in a document.
+
+    Documents are split at their closing tag while they are read, so a large collection is read by many tasks.
+    """
+    texts = spark.read.option("lineSep", "</kml>").text(path)
+    name = F.trim(F.regexp_extract("value", r"(?is)<name>(.*?)</name>", 1))
+    return kml_vertices(texts.select(name.alias("run_id"), F.col("value").alias("kml")))
+
+
+def read_zones_json(spark: SparkSession, path: str) -> DataFrame:
+    """Named boxes (name, min_lat, max_lat, min_lng, max_lng) from configuration files {"zones": [{"name", "bbox": [4 numbers]}]}.
+
+    The box is [lat_min, lat_max, lng_min, lng_max]; zones without a name or with another number of bounds are left out.
+    """
+    read = spark.read.schema("zones ARRAY<STRUCT<name: STRING, bbox: ARRAY<DOUBLE>>>").option("multiLine", True).json(path)
+    zones = read.select(F.inline("zones")).where("name IS NOT NULL AND size(bbox) = 4")
+    bounds = ["min_lat", "max_lat", "min_lng", "max_lng"]
+    return zones.select("name", *[F.col("bbox")[i].alias(k) for i, k in enumerate(bounds)])
+
+
 def read_registry_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Registry records with ``record_order`` by file name and position; bad records are left out.
 

@@ -134,7 +134,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
     if steps:
         spread = table.select(F.posexplode("keys").alias("c", "key")).groupBy("c")
         for r in spread.agg(F.percentile_approx("key", steps, 20_000).alias("p")).collect():
-            cuts[r["c"]] = r["p"]
+            # copies of one vector fill several quantiles with one cut: without repeats, REACH counts filled buckets only
+            distinct = np.unique(r["p"])
+            cuts[r["c"]] = np.iinfo(np.int64).max
+            cuts[r["c"], : len(distinct)] = distinct
 
     def places(batch: pa.RecordBatch) -> np.ndarray:
         keys = batch.column("keys").flatten().to_numpy().reshape(-1, CURVES)

@@ -226,3 +226,15 @@ def test_neighbours_of_odd_vectors(spark, monkeypatch):
 
 def rows_small(rows):
     return [(i, v) for i, v, _ in rows if i < 4]
+
+
+def test_neighbours_beside_a_third_of_copies(spark):
+    """Queries near a vector that a third of the rows repeat find the copies, which fill many quantiles of every curve."""
+    rng = np.random.default_rng(8)
+    hot = rng.normal(size=16)
+    v = rng.normal(size=(21_000, 16)) * 2
+    v[rng.permutation(21_000)[:7_000]] = hot
+    v[::100] = hot + rng.normal(size=(210, 16)) * 0.05
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = by_query(hilbert_neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 100 == 0))
+    assert len(got) == 210 and recall(got, exact(rows)) >= 0.9

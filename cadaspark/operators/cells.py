@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadaspark.functions.geo import planar, segment_parameter, utm_zone, with_utm
-from cadaspark.sources.scratch import keep
+from cadaspark.sources.scratch import keep, large
 
 BASE_M = 1000.0
 # Cell widths in base cells, coarse to fine, used to narrow the nearest search.
@@ -125,7 +125,7 @@ def _candidate_cells(probe_cells: DataFrame, layer_cells: DataFrame, bound: floa
             F.floor(c("cx") / parent).alias("lx"), F.floor(c("cy") / parent).alias("ly"),
             F.floor(c("cx") / width).alias("bx"), F.floor(c("cy") / width).alias("by"),
         ).agg(F.max("sure").alias("sure"))
-        met = pairs.join(level, ["zone", "lx", "ly"])
+        met = pairs.join(large(level), ["zone", "lx", "ly"])
         (x_low, x_high), (y_low, y_high) = _axis_gap(c("ax"), c("bx"), width), _axis_gap(c("ay"), c("by"), width)
         met = met.withColumns(
             {
@@ -152,10 +152,10 @@ def nearest(points: DataFrame, lines: DataFrame, bound: float, carry: list[str])
     layer = _line_cells(keep(project_lines(lines), "layer-lines"))
     probe_cells = probes.select("zone", "ax", "ay").distinct()
     pairs = _candidate_cells(probe_cells, layer.select("zone", "cx", "cy", "sure"), bound)
-    met = probes.join(pairs, ["zone", "ax", "ay"]).select("zone", "lat", "lng", "e", "n", F.lit(0).alias("level"), "cx", "cy")
+    met = probes.join(large(pairs), ["zone", "ax", "ay"]).select("zone", "lat", "lng", "e", "n", F.lit(0).alias("level"), "cx", "cy")
     filed = layer.select("zone", F.lit(0).alias("level"), "cx", "cy", "x1", "y1", "x2", "y2", "feature_id", *carry)
     met, filed = _split_dense(met, filed)
-    met = met.join(filed, ["zone", "level", "cx", "cy"])
+    met = met.join(large(filed), ["zone", "level", "cx", "cy"])
     measured = met.withColumn("distance_m", line_distance())
     best = measured.filter(c("distance_m") <= bound).groupBy("lat", "lng").agg(
         F.min(F.struct(F.floor(c("distance_m") * 1000 + 0.5).alias("mm"), "feature_id", "distance_m", *carry)).alias("b")
@@ -184,7 +184,7 @@ def _split_dense(met: DataFrame, filed: DataFrame) -> tuple[DataFrame, DataFrame
         parts = _line_cells(crowd, size).select("*", *parent).join(above, ["zone", "pcx", "pcy"], "left_semi")
         parts = keep(parts, "cell-parts")
         children = parts.groupBy("zone", "pcx", "pcy", "cx", "cy").agg(F.max("sure").alias("sure"))
-        near = met.join(dense, of_cell, "left_semi").withColumnsRenamed({"cx": "pcx", "cy": "pcy"}).join(children, ["zone", "pcx", "pcy"])
+        near = met.join(dense, of_cell, "left_semi").withColumnsRenamed({"cx": "pcx", "cy": "pcy"}).join(large(children), ["zone", "pcx", "pcy"])
         gaps = {k: (c(v) - c(f"c{x}") * size, (c(f"c{x}") + 1) * size - c(v)) for k, v, x in (("x", "e", "x"), ("y", "n", "y"))}
         (xa, xb), (ya, yb) = gaps["x"], gaps["y"]
         low_x, low_y = F.greatest(-xa, -xb, F.lit(0.0)), F.greatest(-ya, -yb, F.lit(0.0))
@@ -244,7 +244,7 @@ def box_join(points: DataFrame, boxes: DataFrame, keep: list[str]) -> DataFrame:
         *points.columns, c("_c.lv").alias("_lv"), c("_c.ci").alias("_ci"), c("_c.cj").alias("_cj"),
         c("_c.salt").alias("_salt"),
     )
-    met = probes.join(filed, ["_lv", "_ci", "_cj", "_salt"])
+    met = probes.join(large(filed), ["_lv", "_ci", "_cj", "_salt"])
     inside = c("lat").between(c("min_lat"), c("max_lat")) & c("lng").between(c("min_lng"), c("max_lng"))
     return met.filter(inside).select(*points.columns, *keep)
 

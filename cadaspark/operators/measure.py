@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from cadaspark.operators import raster, screening, spatial
+from cadaspark.sources.scratch import large
 
 MEASURED = ["river_m", "strahler", "road_m", "elevation_m", "slope_pct", "ndwi", "ndvi", "out_of_zone"]
 
@@ -21,7 +22,7 @@ def measure(parcels: DataFrame, rivers: DataFrame, roads: DataFrame, dem: DataFr
     out = raster.slope_pct(out, dem)
     out = raster.sample_ndwi_ndvi(out, indices)
     # a parcel without a position stays, unmeasured
-    return parcels.drop(*MEASURED).join(out.select("lat", "lng", *MEASURED), ["lat", "lng"], "left")
+    return parcels.drop(*MEASURED).join(large(out.select("lat", "lng", *MEASURED)), ["lat", "lng"], "left")
 
 
 def screen(parcels: DataFrame, rivers: DataFrame, roads: DataFrame, dem: DataFrame, indices: DataFrame) -> DataFrame:

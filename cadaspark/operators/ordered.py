@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadaspark.sources.scratch import large
+
 CHUNK_ROWS = 4096
 
 
@@ -35,7 +37,7 @@ def running_sums(
     bases = totals.select(
         *key, "_chunk", *[F.sum(f"_tot_{o}").over(before).alias(f"_base_{o}") for o in sums]
     )
-    joined = local.join(bases, [*key, "_chunk"])
+    joined = local.join(large(bases), [*key, "_chunk"])
     return joined.select(
         *df.columns,
         *[
@@ -69,7 +71,7 @@ def _neighbour(
     heads = local.filter("_rn = 1").select(*key, "_chunk", F.struct(*cols).alias("_head"))
     across = Window.partitionBy(*key).orderBy(F.col("_chunk").asc() if ahead else F.col("_chunk").desc())
     heads = heads.select(*key, "_chunk", F.lead("_head").over(across).alias("_across"))
-    joined = local.join(heads, [*key, "_chunk"])
+    joined = local.join(large(heads), [*key, "_chunk"])
     return joined.select(*df.columns, F.coalesce("_next", "_across").alias(out))
 
 

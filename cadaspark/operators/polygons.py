@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cadaspark.functions import geo
 from cadaspark.operators import cells
-from cadaspark.sources.scratch import keep
+from cadaspark.sources.scratch import keep, large
 
 # Where in a cell the reference point lies: nowhere that coordinates or cell borders are likely to be.
 REF_X, REF_Y = 0.48710533, 0.51371491
@@ -77,7 +77,7 @@ def index(edges: DataFrame, size: float, margin: float = 0.0, seen: Column | Non
     own = around if margin == 0 else _pieces(edges, size, 0.0)
     boundary = own.select("plane", "feature_id", "cx", "cy").distinct()
     marks = keep(_marks(edges, boundary, size), "outline-marks")
-    filed = around.where(seen).join(marks.drop("odd_after"), ["plane", "feature_id", "cx", "cy"], "left")
+    filed = around.where(seen).join(large(marks.drop("odd_after")), ["plane", "feature_id", "cx", "cy"], "left")
     after = F.lead("cx").over(Window.partitionBy("plane", "feature_id", "cy").orderBy("cx"))
     runs = marks.withColumn("last", after - 1).where("odd_after = 1 AND last > cx").withColumn("first", c("cx") + 1)
     runs = runs.withColumn("block", F.explode(F.sequence(F.floor(c("first") / BLOCK), F.floor(c("last") / BLOCK))))
@@ -89,9 +89,9 @@ def hits(probes: DataFrame, edges: DataFrame, size: float, margin: float = 0.0,
     c = F.col
     filed, runs = index(edges, size, margin, seen)
     placed = probes.select("plane", "x", "y").withColumns({"cx": _floor(c("x"), size), "cy": _floor(c("y"), size)})
-    inside = placed.withColumn("block", F.floor(c("cx") / BLOCK)).join(runs, ["plane", "cy", "block"])
+    inside = placed.withColumn("block", F.floor(c("cx") / BLOCK)).join(large(runs), ["plane", "cy", "block"])
     inside = inside.where(c("cx").between(c("first"), c("last")))
-    met = placed.join(filed, ["plane", "cx", "cy"])
+    met = placed.join(large(filed), ["plane", "cx", "cy"])
     rx, ry = (c("cx") + REF_X) * size, (c("cy") + REF_Y) * size
     # the path goes from the reference point up or down its column, then along the place's row
     up_at = c("y1") + (rx - c("x1")) * F.try_divide(c("y2") - c("y1"), c("x2") - c("x1"))
@@ -126,7 +126,7 @@ def in_metres(points: DataFrame, edges: DataFrame, margin: float, size: float =
     west, east = 160_000.0 / size, 840_000.0 / size
     seen = ((c("plane") == 31) | (c("cx") >= west - 1)) & ((c("plane") == 33) | (c("cx") <= east + 1))
     found = hits(spots, flat, size, margin, seen)
-    return spots.join(found, ["plane", "x", "y"]).select("lat", "lng", "feature_id", c("distance").alias("distance_m"))
+    return spots.join(large(found), ["plane", "x", "y"]).select("lat", "lng", "feature_id", c("distance").alias("distance_m"))
 
 
 def in_degrees(points: DataFrame, edges: DataFrame, size: float = 0.05) -> DataFrame:

@@ -9,6 +9,7 @@ from cadaspark.functions import geo
 from cadaspark.functions.numeric import rnd
 from cadaspark.operators import cells, polygons
 from cadaspark.operators.carried import scan
+from cadaspark.sources.scratch import large
 
 RIVER_BOUND_M = 80000.0
 ROAD_BOUND_M = 50000.0
@@ -42,13 +43,13 @@ WATER_TAGS = ["water", "reservoir", "canal", "wetland", "marsh"]
 def nearest_river(parcels: DataFrame, rivers: DataFrame) -> DataFrame:
     near = cells.nearest(parcels, rivers, RIVER_BOUND_M, ["strahler"])
     near = near.withColumn("river_m", rnd(F.col("distance_m"), 1)).drop("distance_m")
-    return parcels.join(near, ["lat", "lng"], "left")
+    return parcels.join(large(near), ["lat", "lng"], "left")
 
 
 def nearest_road(parcels: DataFrame, roads: DataFrame) -> DataFrame:
     near = cells.nearest(parcels, roads, ROAD_BOUND_M, [])
     near = near.withColumn("road_m", rnd(F.col("distance_m"), 1)).drop("distance_m")
-    return parcels.join(near, ["lat", "lng"], "left")
+    return parcels.join(large(near), ["lat", "lng"], "left")
 
 
 def nearest_facility(lat: Column, lng: Column) -> dict[str, Column]:
@@ -62,16 +63,16 @@ def nearest_facility(lat: Column, lng: Column) -> dict[str, Column]:
 def building_rings(parcels: DataFrame, buildings: DataFrame) -> DataFrame:
     counts = cells.ring_counts(parcels, buildings, RING_RADII_M)
     named = counts.select("lat", "lng", *[F.col(f"within_{i}").alias(n) for i, n in enumerate(("n1", "n5", "n10"))])
-    return parcels.join(named, ["lat", "lng"], "left")
+    return parcels.join(large(named), ["lat", "lng"], "left")
 
 
 def landuse_conflicts(parcels: DataFrame, edges: DataFrame, radius: float = OUTFALL_M) -> DataFrame:
     """Sorted conflicting tags per parcel (at most the eleven listed)."""
     tags = edges.select("feature_id", F.lower(F.trim("tag")).alias("tag")).filter(F.col("tag").isin(CONFLICT_TAGS))
-    relevant = edges.join(tags.select("feature_id").distinct(), "feature_id", "left_semi")
-    hits = polygons.in_metres(parcels, relevant, radius).join(tags.distinct(), "feature_id")
+    relevant = edges.join(large(tags.select("feature_id").distinct()), "feature_id", "left_semi")
+    hits = polygons.in_metres(parcels, relevant, radius).join(large(tags.distinct()), "feature_id")
     found = hits.groupBy("lat", "lng").agg(F.sort_array(F.collect_set("tag")).alias("conflicts"))
-    joined = parcels.join(found, ["lat", "lng"], "left")
+    joined = parcels.join(large(found), ["lat", "lng"], "left")
     return joined.withColumn("conflicts", F.coalesce("conflicts", F.array().cast("array<string>")))
 
 
@@ -120,7 +121,7 @@ def outfall_path(starts: DataFrame, segments: DataFrame) -> DataFrame:
     """
     c = F.col
     met = cells.project_points(starts).join(
-        cells.project_lines(segments).drop("lat1", "lng1", "lat2", "lng2"), ["priority", "feature_id", "zone"]
+        large(cells.project_lines(segments).drop("lat1", "lng1", "lat2", "lng2")), ["priority", "feature_id", "zone"]
     )
     t = geo.segment_parameter(c("e"), c("n"), c("x1"), c("y1"), c("x2"), c("y2"))
     met = met.withColumns({"qe": c("x1") + t * (c("x2") - c("x1")), "qn": c("y1") + t * (c("y2") - c("y1"))})
@@ -168,7 +169,7 @@ def prior_report(reports: DataFrame, tolerance: float = SAME_PARCEL_M) -> DataFr
     """
     c = F.col
     timeline = reports.select(c("lat").alias("qlat"), c("lng").alias("qlng"), "report_id", "generated_at")
-    stream = near_places(reports, tolerance).join(timeline, ["qlat", "qlng"])
+    stream = near_places(reports, tolerance).join(large(timeline), ["qlat", "qlng"])
     linked = scan(stream, ["lat", "lng"], ["generated_at", "report_id"], previous={"prior": ["report_id", "generated_at"]})
     own = linked.filter((c("lat") == c("qlat")) & (c("lng") == c("qlng")))
     return own.select(
@@ -196,7 +197,7 @@ def admin_lookup(parcels: DataFrame, outlines: DataFrame) -> DataFrame:
     names = outlines.select("feature_id", "state", "area").distinct()
     hits = polygons.in_degrees(parcels, outlines).groupBy("lat", "lng").agg(F.min("feature_id").alias("feature_id"))
     found = hits.join(names, "feature_id").select("lat", "lng", F.col("state").alias("_s"), F.col("area").alias("_a"))
-    joined = parcels.join(found, ["lat", "lng"], "left")
+    joined = parcels.join(large(found), ["lat", "lng"], "left")
     return joined.withColumns(
         {
             "admin_state": F.coalesce(F.replace(F.col("_s"), F.lit(" State"), F.lit("")), F.lit("Unresolved — confirm State")),

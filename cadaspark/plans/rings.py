@@ -9,6 +9,7 @@ from cadaspark.functions.numeric import rnd as crnd
 from cadaspark.operators import ordered, rings
 from cadaspark.plans.checks import haversine, inputs, inside, latlng, rnd, with_
 from cadaspark.sources import bridge
+from cadaspark.sources.scratch import large
 
 
 def _facts(*cols):
@@ -66,7 +67,7 @@ def triggers(spark, sf):
     facts = rings.ring_facts(bridge.vertices(spark, sf))
     pct = rings.area_discrepancy(c("area_ha_ring"), c("stated_area_ha"))["discrepancy_pct"]
     joined = facts.withColumnRenamed("area_ha", "area_ha_ring").join(
-        bridge.parcels(spark, sf).select(c("parcel_id").alias("run_id"), "stated_area_ha", "minna"), "run_id"
+        large(bridge.parcels(spark, sf).select(c("parcel_id").alias("run_id"), "stated_area_ha", "minna")), "run_id"
     )
     codes = rings.dialog_triggers(
         c("run_id") % 100, c("inside_region"), pct, c("minna"), c("run_id") % 6 == 0, c("run_id") % 8 == 0

@@ -1,5 +1,7 @@
 """What must not grow with the tables: broadcasts, and the rows that one task makes of a small file."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,3 +31,30 @@ def test_base_rows_are_dealt_out(spark, tmp_path):
     sizes = base.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r[1] for r in sizes) == rows
     assert max(r[1] for r in sizes) < 2 * bridge.TASK_ROWS
+
+
+def test_area_sums_follow_the_ring(spark):
+    """Bow-ties without area: the sign is that of the sum taken in the order of the ring, wherever its vertices lie."""
+    from cadaspark.operators import rings
+
+    def sign(points):
+        total = 0.0
+        for (x1, y1), (x2, y2) in zip(points, [*points[1:], points[0]]):
+            total += (x2 - x1) * (y2 + y1)
+        return total < 0
+
+    made, expected = [], {}
+    rng = random.Random(5)
+    for run in range(2000):
+        e, n, dx, dy = rng.uniform(3e5, 7e5), rng.uniform(4e5, 1e6), rng.uniform(20, 90), rng.uniform(20, 90)
+        points = [(e - dx, n - dy), (e + dx, n - dy), (e - dx, n + dy), (e + dx, n + dy)]
+        expected[run] = sign(points)
+        made += [(run, i, *p) for i, p in enumerate(points)]
+    table = spark.createDataFrame(made, "run_id long, seq int, e double, n double").repartition(7, "seq")
+    # tables of this size would end up in one partition, in order by chance
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r[0]: r[1] for r in rings.metric_shape(table).select("run_id", "ccw").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == expected

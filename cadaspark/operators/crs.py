@@ -12,7 +12,7 @@ from cadaspark.functions import parsing as p
 from cadaspark.functions.geo import CLARKE_1880, COUNTRY_BOX, inside_box, with_datum_shift, with_latlng
 from cadaspark.functions.numeric import rnd
 from cadaspark.operators import rings
-from cadaspark.sources.scratch import keep
+from cadaspark.sources.scratch import keep, large
 
 ZONES = (31, 32, 33)
 # State markers of plan numbers per zone, in the order they are tried.
@@ -64,7 +64,7 @@ def detect_crs(submissions: DataFrame, points: DataFrame, use_zone_trial: bool =
         F.min_by("p1", "seq").alias("a"), F.min_by("p2", "seq").alias("b"),
         F.bool_and(inside_box(c("p1"), c("p2"))).alias("all_inside"),
     )
-    runs = submissions.select("run_id", "raw_text", "coordinate_hint", "datum_label").join(first, "run_id", "left")
+    runs = submissions.select("run_id", "raw_text", "coordinate_hint", "datum_label").join(large(first), "run_id", "left")
     text = F.concat("raw_text", F.lit(" "), F.coalesce("datum_label", F.lit("")))
     runs = runs.select(
         "run_id", "coordinate_hint", "a", "b", "all_inside",
@@ -128,7 +128,7 @@ def minna_zone(submissions: DataFrame, points: DataFrame) -> DataFrame:
     )
     best = F.coalesce(F.try_element_at(ranked, F.lit(1))["zone"], c("guess"))
     texts = submissions.select("run_id", F.regexp_extract("raw_text", p.ZONE_LETTER, 1).try_cast("int").alias("text_zone"))
-    return runs.join(texts, "run_id").select("run_id", F.coalesce("text_zone", best).alias("zone"))
+    return runs.join(large(texts), "run_id").select("run_id", F.coalesce("text_zone", best).alias("zone"))
 
 
 def transform_to_wgs84(points: DataFrame, zones: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def transform_to_wgs84(points: DataFrame, zones: DataFrame) -> DataFrame:
     c = F.col
     cols = [k for k in points.columns if k not in ("lat", "lng")]
     minna, utm = c("detected_crs") == "MINNA", c("is_utm")
-    grid = _minna_utm(points.filter(minna & utm).join(zones, "run_id"), "zone")
+    grid = _minna_utm(points.filter(minna & utm).join(large(zones), "run_id"), "zone")
     old = with_datum_shift(points.filter(minna & ~utm), "p1", "p2")
     named = F.when(c("detected_crs").isin(UTM_NAMES), F.substring("detected_crs", 5, 2).try_cast("int")).otherwise(32)
     projected = with_latlng(
@@ -179,7 +179,7 @@ def extract_parcels(submissions: DataFrame, points: DataFrame, use_zone_trial: b
     c = F.col
     # both feed several branches: written once, so that no branch reads the texts again for them
     detected = keep(detect_crs(submissions, points, use_zone_trial), "detected")
-    tagged = points.join(detected, "run_id").withColumn("is_utm", c("fmt").isin("UTM_SUFFIX", "UTM", "STATION_TABLE"))
+    tagged = points.join(large(detected), "run_id").withColumn("is_utm", c("fmt").isin("UTM_SUFFIX", "UTM", "STATION_TABLE"))
     tagged = keep(tagged, "tagged")
     zones = minna_zone(submissions, tagged.filter((c("detected_crs") == "MINNA") & c("is_utm")))
     placed = transform_to_wgs84(tagged, zones).select("run_id", "seq", "lat", "lng")
@@ -190,7 +190,7 @@ def extract_parcels(submissions: DataFrame, points: DataFrame, use_zone_trial: b
     text = submissions.select(
         "run_id", "coordinate_hint", F.contains("raw_text", F.lit("GRID_REF")).alias("grid_ref"), stated.cast("double").alias("stated_ha")
     )
-    joined = facts.join(detected, "run_id").join(kind, "run_id").join(text, "run_id").join(flips, "run_id", "left")
+    joined = facts.join(large(detected), "run_id").join(large(kind), "run_id").join(large(text), "run_id").join(large(flips), "run_id", "left")
     inside = c("inside_region") & F.coalesce(c("coordinate_hint") != "UTM_SWAPPED", F.lit(True))
     joined = joined.withColumn("inside_region", inside)
     discrepancy = rings.area_discrepancy(c("area_ha"), c("stated_ha"))["discrepancy_pct"]
@@ -210,13 +210,13 @@ def apply_dialog_answers(vertices: DataFrame, detected: DataFrame, answers: Data
     ``answers``: run_id, t1, t2, t6 (null where not asked).
     """
     c = F.col
-    asked = vertices.join(answers.select("run_id", "t2"), "run_id", "left")
+    asked = vertices.join(large(answers.select("run_id", "t2")), "run_id", "left")
     swap = F.coalesce(c("t2") == "swap", F.lit(False))
     turned = asked.select(
         "run_id", "seq", F.when(swap, c("lng")).otherwise(c("lat")).alias("lat"), F.when(swap, c("lat")).otherwise(c("lng")).alias("lng")
     )
     facts = rings.ring_facts(turned).select("run_id", "centroid_lat", "centroid_lng", "area_ha", "inside_region")
-    joined = facts.join(detected, "run_id").join(answers, "run_id", "left")
+    joined = facts.join(large(detected), "run_id").join(large(answers), "run_id", "left")
     named = F.coalesce(c("t1").isin(VALID_ANSWERS), F.lit(False))
     return joined.select(
         "run_id",

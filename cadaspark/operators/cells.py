@@ -5,10 +5,12 @@ Copies never multiply work: callers reduce points to distinct places first and j
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadaspark.functions.geo import planar, segment_parameter, utm_zone, with_utm
+from cadaspark.operators.circles import tile_counts
 from cadaspark.sources.scratch import keep, large
 
 BASE_M = 1000.0
@@ -19,6 +21,8 @@ FINER, DENSE = (4, 16, 64), 64
 # Box cells in degrees, and how many salts spread the points of one cell at that level.
 BOX_LEVELS = ((0.005, 1), (0.05, 4), (0.5, 16), (5.0, 64), (360.0, 256))
 METRES_PER_DEGREE = 110000.0
+# Tiles of the circle counts, and about how many places of a tile are counted at once.
+TILE_M, TILE_PLACES = 16000.0, 32768
 
 
 def places(points: DataFrame) -> DataFrame:
@@ -271,50 +275,25 @@ def box_of_lines(margin: float) -> dict[str, Column]:
 def ring_counts(points: DataFrame, targets: DataFrame, radii: list[float]) -> DataFrame:
     """Targets within each radius of each distinct place, counted exactly.
 
-    Target copies are collapsed to (place, weight). A target cell wholly inside a radius, for any
-    point of the probe cell, contributes its total; only cells cut by the circle are compared point
-    by point. Returns (lat, lng, within_0, within_1, ...).
+    Target copies are collapsed to (place, weight). Places are grouped by tile, crowded tiles in parts; a target goes to the tiles that
+    it can be reached from, once per part. No pair of a place and a target travels. Returns (lat, lng, within_0, within_1, ...).
     """
     c = F.col
+    tile, part = ["zone", "tx", "ty"], ["zone", "tx", "ty", "part"]
     weighted = targets.groupBy("lat", "lng").agg(F.count("*").alias("w"))
-    goal = project_points_all_zones(weighted).withColumns({"cx": _cell(c("e")), "cy": _cell(c("n"))})
-    goal_cells = goal.groupBy("zone", "cx", "cy").agg(F.sum("w").alias("total"))
-    probes = project_points(places(points)).withColumns({"ax": _cell(c("e")), "ay": _cell(c("n"))})
-    probe_cells = probes.select("zone", "ax", "ay").distinct()
-    block = 4
-    goal_blocks = goal_cells.select(
-        "*", F.floor(c("cx") / block).alias("lx"), F.floor(c("cy") / block).alias("ly")
-    )
-    reach = int(max(radii) // (BASE_M * block)) + 1
-    index, lx, ly = _around(F.floor(c("ax") / block), F.floor(c("ay") / block), reach)
-    near = (
-        probe_cells.select("*", index)
-        .select("zone", "ax", "ay", lx.alias("lx"), ly.alias("ly"))
-        .join(goal_blocks, ["zone", "lx", "ly"])
-    )
-    (x_low, x_high), (y_low, y_high) = _axis_gap(c("ax"), c("cx"), 1), _axis_gap(c("ay"), c("cy"), 1)
-    near = near.withColumns(
-        {"low": F.sqrt(x_low * x_low + y_low * y_low), "high": F.sqrt(x_high * x_high + y_high * y_high)}
-    )
-    inside = near.groupBy("zone", "ax", "ay").agg(
-        *[F.sum(F.when(c("high") <= r, c("total")).otherwise(0)).alias(f"in_{i}") for i, r in enumerate(radii)]
-    )
-    cut = [(c("low") <= r) & (c("high") > r) for r in radii]
-    edge = near.select("zone", "ax", "ay", "cx", "cy", *[k.alias(f"cut_{i}") for i, k in enumerate(cut)]).filter(
-        " OR ".join(f"cut_{i}" for i in range(len(radii)))
-    )
-    tested = probes.join(edge, ["zone", "ax", "ay"]).join(
-        goal.select("zone", "cx", "cy", c("e").alias("te"), c("n").alias("tn"), "w"), ["zone", "cx", "cy"]
-    )
-    d = planar(c("e"), c("n"), c("te"), c("tn"))
-    exact = tested.groupBy("lat", "lng").agg(
-        *[F.sum(F.when(c(f"cut_{i}") & (d <= r), c("w")).otherwise(0)).alias(f"near_{i}") for i, r in enumerate(radii)]
-    )
-    joined = probes.join(inside, ["zone", "ax", "ay"], "left").join(exact, ["lat", "lng"], "left")
-    return joined.select(
-        "lat", "lng",
-        *[
-            (F.coalesce(c(f"in_{i}"), F.lit(0)) + F.coalesce(c(f"near_{i}"), F.lit(0))).alias(f"within_{i}")
-            for i in range(len(radii))
-        ],
-    )
+    goal = project_points_all_zones(weighted).where("NOT isnan(e) AND NOT isnan(n)")
+    probes = project_points(places(points)).withColumns({"tx": _cell(c("e"), TILE_M), "ty": _cell(c("n"), TILE_M)})
+    probes = keep(probes.select(*tile, "lat", "lng", "e", "n"), "ring-places")
+    tiles = probes.groupBy(*tile).agg(F.ceil(F.count("*") / F.lit(TILE_PLACES)).alias("parts"))
+    dealt = probes.join(large(tiles), tile).withColumn("part", F.pmod(F.xxhash64("lat", "lng"), c("parts")))
+    reach = F.lit(float(max(radii)) + 1.0)
+    span = lambda v: F.explode(F.sequence(_cell(c(v) - reach, TILE_M), _cell(c(v) + reach, TILE_M)))
+    near = goal.withColumn("tx", span("e")).withColumn("ty", span("n")).join(large(tiles), tile)
+    near = near.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), c("parts") - 1)))
+
+    def count(mine: pa.Table, around: pa.Table) -> pa.Table:
+        return tile_counts(mine, around, radii)
+
+    schema = "lat double, lng double, " + ", ".join(f"within_{i} long" for i in range(len(radii)))
+    grouped = dealt.select(*part, "lat", "lng", "e", "n").groupBy(*part)
+    return grouped.cogroup(near.select(*part, "e", "n", "w").groupBy(*part)).applyInArrow(count, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cadaspark.functions.numeric import rnd
 from cadaspark.operators import extract, rings
 from cadaspark.operators.ordered import seq_chunk, with_row_number
-from cadaspark.sources.scratch import keep
+from cadaspark.sources.scratch import keep, large
 
 KEY = ["run_id"]
 ANCHOR_NAME = "TP0 (Tie-Point)"
@@ -27,7 +27,7 @@ def traverse_stations(legs: DataFrame) -> DataFrame:
         F.coalesce(filled(c("to_station")), filled(c("label")), F.concat(F.lit("S"), (c("seq") + 1).cast("string"))).alias("station_id"),
     )
     adjusted = rings.bowditch_adjust(legs)
-    reached = adjusted.join(named, ["run_id", "seq"]).select(
+    reached = adjusted.join(large(named), ["run_id", "seq"]).select(
         "run_id", (c("seq") + 1).cast("int").alias("seq"), "station_id", "e", "n", "adjustment"
     )
     first_e, first_n = (F.coalesce(c(n), F.lit(v)) for n, v in zip(("anchor_e", "anchor_n"), rings.DEFAULT_ANCHOR, strict=True))
@@ -36,7 +36,7 @@ def traverse_stations(legs: DataFrame) -> DataFrame:
         first_e.alias("e"), first_n.alias("n"),
     )
     kind = adjusted.filter("seq = 0").select("run_id", "adjustment")
-    anchors = start.join(kind, "run_id").select("run_id", F.lit(0).alias("seq"), "station_id", "e", "n", "adjustment")
+    anchors = start.join(large(kind), "run_id").select("run_id", F.lit(0).alias("seq"), "station_id", "e", "n", "adjustment")
     return reached.unionByName(anchors)
 
 
@@ -51,18 +51,18 @@ def cadastral_plan(submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
     stations = keep(extract.scan_station_table(submissions), "plan-stations")
     legs = keep(extract.scan_traverse_legs(submissions), "plan-legs")
     route = keep(extract.route_track(submissions, stations, legs), "plan-routes")
-    of = lambda rows, track: rows.join(route.filter(c("track") == track).select("run_id"), "run_id", "left_semi")
+    of = lambda rows, track: rows.join(large(route.filter(c("track") == track).select("run_id")), "run_id", "left_semi")
     table = rings.auto_close(of(stations, "TABULAR")).withColumn("adjustment", F.lit("none"))
     steps = with_row_number(of(legs, "COGO_TRAVERSE"), KEY, ["line_no"], seq_chunk("line_no"))
     anchors = extract.find_anchor(of(submissions, "COGO_TRAVERSE"))
-    steps = keep(steps.join(anchors, "run_id", "left"), "plan-steps")
+    steps = keep(steps.join(large(anchors), "run_id", "left"), "plan-steps")
     ledger = keep(table.unionByName(traverse_stations(steps)), "plan-ledger")
     closure = rings.traverse_misclosure(steps).select("run_id", "misclosure_m", "closure_status")
     shape = rings.metric_shape(ledger).select("run_id", rnd(c("area_m2") / 10000.0, 4).alias("area_ha"))
     counts = ledger.groupBy("run_id").agg(F.count("*").alias("ledger_stations"), F.max("adjustment").alias("adjustment"))
     summary = (
-        route.select("run_id", "track", "error_code").join(counts, "run_id", "left").join(closure, "run_id", "left")
-        .join(shape, "run_id", "left")
+        route.select("run_id", "track", "error_code").join(large(counts), "run_id", "left").join(large(closure), "run_id", "left")
+        .join(large(shape), "run_id", "left")
     )
     # a table has no misclosure
     tabular = c("track") == "TABULAR"

@@ -64,14 +64,14 @@ def detect_crs(submissions: DataFrame, points: DataFrame, use_zone_trial: bool =
         F.min_by("p1", "seq").alias("a"), F.min_by("p2", "seq").alias("b"),
         F.bool_and(inside_box(c("p1"), c("p2"))).alias("all_inside"),
     )
-    runs = submissions.select("run_id", "raw_text", "coordinate_hint", "datum_label").join(large(first), "run_id", "left")
     text = F.concat("raw_text", F.lit(" "), F.coalesce("datum_label", F.lit("")))
-    runs = runs.select(
-        "run_id", "coordinate_hint", "a", "b", "all_inside",
+    # read before the join, so that no text is shuffled
+    runs = submissions.select(
+        "run_id", "coordinate_hint",
         text.rlike(p.MINNA_TEXT).alias("minna_text"),
         F.regexp_extract(text, p.ZONE_LETTER, 1).alias("zone_text"),
         _marker_zone(text).alias("marker"),
-    )
+    ).join(large(first), "run_id", "left")
     box = {k: v - 5 if k.endswith("min") else v + 5 for k, v in COUNTRY_BOX.items()}
     north = lambda v: v.between(400000, 1600000)
     east = lambda v: v.between(100000, 900000)

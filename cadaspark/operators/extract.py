@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadaspark.functions import parsing as p
 from cadaspark.operators.ordered import running_sums, seq_chunk
-from cadaspark.sources.scratch import keep
+from cadaspark.sources.scratch import keep, large
 
 KEY = ["run_id"]
 
@@ -41,7 +41,7 @@ def parse_auto(submissions: DataFrame) -> DataFrame:
     rest = tried.filter("hit IS NULL").select("run_id", "raw_text")
     stations = keep(scan_station_table(rest), "stations")
     enough = stations.groupBy("run_id").agg(F.count("*").alias("n")).filter(c("n") >= p.MIN_POINTS)
-    tabled = stations.join(enough, "run_id", "left_semi").select(
+    tabled = stations.join(large(enough), "run_id", "left_semi").select(
         "run_id", F.lit("STATION_TABLE").alias("fmt"), "seq", c("n").alias("p1"), c("e").alias("p2")
     )
     return points.unionByName(tabled)
@@ -52,7 +52,7 @@ def extraction_errors(submissions: DataFrame, parcels: DataFrame) -> DataFrame:
 
     ``parcels``: run_id, error_code. Submissions without a row there hold no coordinates.
     """
-    told = submissions.select("run_id").join(parcels.select("run_id", "error_code", F.lit(True).alias("found")), "run_id", "left")
+    told = submissions.select("run_id").join(large(parcels.select("run_id", "error_code", F.lit(True).alias("found"))), "run_id", "left")
     code = F.when(F.col("found").isNull(), "NO_COORDINATES_DETECTED").otherwise(F.col("error_code"))
     return told.select("run_id", F.lit("COORD_EXTRACT").alias("stage"), code.alias("error_code")).filter("error_code IS NOT NULL")
 
@@ -73,6 +73,7 @@ def scan_station_table(submissions: DataFrame) -> DataFrame:
     ).filter(F.size("nums") >= 2)
     a, b = (F.element_at("nums", i).try_cast("double") for i in (1, 2))
     valued = lines.select("run_id", "line_no", "line", a.alias("a"), b.alias("b")).filter("a >= 100000 AND b >= 100000")
+    valued = keep(valued, "station-lines")  # few lines of all texts, for the stations and for their number
     area = (
         F.when(F.contains("line", F.lit("\t")), F.trim(F.substring_index("line", "\t", 1)))
         .when(F.contains("line", F.lit("  ")), F.trim(F.substring_index("line", "  ", 1)))
@@ -91,29 +92,30 @@ def scan_station_table(submissions: DataFrame) -> DataFrame:
         F.least("a", "b").alias("e"), F.greatest("a", "b").alias("n"),
     )
     enough = valued.groupBy("run_id").agg(F.count("*").alias("found")).filter(c("found") >= p.MIN_POINTS)
-    short = submissions.select("run_id", "raw_text").join(enough, "run_id", "left_anti")
-    grouped = _column_grouped(short)
+    grouped = _column_grouped(submissions, enough)
     replaced = grouped.select("run_id").distinct()
-    return by_line.join(replaced, "run_id", "left_anti").unionByName(grouped)
+    return by_line.join(large(replaced), "run_id", "left_anti").unionByName(grouped)
 
 
-def _column_grouped(submissions: DataFrame) -> DataFrame:
-    """All eastings first, then all northings: split the numbers of the text in the middle."""
+def _column_grouped(submissions: DataFrame, enough: DataFrame) -> DataFrame:
+    """All eastings first, then all northings: split the numbers of the text in the middle, for runs not in ``enough``."""
     c = F.col
     flat = p.mend_line(F.regexp_replace("raw_text", r"\n", " "))
     # The cheap test for six numbers spares most texts the array work.
     likely = submissions.filter(F.size(F.regexp_extract_all("raw_text", F.lit(r"\d{3},?\d{3}"), 0)) >= 2 * p.MIN_POINTS)
-    numbers = likely.select("run_id", F.posexplode(p.scale_numbers(flat)).alias("pos", "v"))
+    # written first: the join would move below the projection and sort whole texts
+    listed = keep(likely.select("run_id", p.scale_numbers(flat).alias("numbers")), "station-numbers").join(large(enough), "run_id", "left_anti")
+    numbers = listed.select("run_id", F.posexplode("numbers").alias("pos", "v"))
     counts = numbers.groupBy("run_id").agg(F.count("*").alias("total")).filter(
         (c("total") >= 2 * p.MIN_POINTS) & (c("total") % 2 == 0)
     )
     half = (c("total") / 2).cast("int")
-    rows = numbers.join(counts, "run_id").groupBy("run_id", (c("pos") % half).cast("int").alias("seq")).agg(
+    rows = numbers.join(large(counts), "run_id").groupBy("run_id", (c("pos") % half).cast("int").alias("seq")).agg(
         F.max(F.when(c("pos") < half, c("v"))).alias("v1"), F.max(F.when(c("pos") >= half, c("v"))).alias("v2")
     )
     means = rows.groupBy("run_id").agg(F.avg("v1").alias("m1"), F.avg("v2").alias("m2")).filter("abs(m1 - m2) > 50000")
     first = c("m1") < c("m2")
-    return rows.join(means, "run_id").select(
+    return rows.join(large(means), "run_id").select(
         "run_id", "seq", F.concat(F.lit("S"), (c("seq") + 1).cast("string")).alias("station_id"),
         F.when(first, c("v1")).otherwise(c("v2")).alias("e"), F.when(first, c("v2")).otherwise(c("v1")).alias("n"),
     )
@@ -174,8 +176,8 @@ def route_track(submissions: DataFrame, stations: DataFrame, legs: DataFrame) ->
     c = F.col
     count = lambda d, name: d.groupBy("run_id").agg(F.count("*").alias(name))
     joined = (
-        submissions.select("run_id").join(count(stations, "stations"), "run_id", "left")
-        .join(count(legs, "legs"), "run_id", "left").fillna(0, ["stations", "legs"])
+        submissions.select("run_id").join(large(count(stations, "stations")), "run_id", "left")
+        .join(large(count(legs, "legs")), "run_id", "left").fillna(0, ["stations", "legs"])
     )
     track = F.when(c("stations") >= 3, "TABULAR").when(c("legs") >= 3, "COGO_TRAVERSE").otherwise("INSUFFICIENT")
     return joined.withColumns(

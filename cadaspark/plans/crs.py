@@ -12,7 +12,7 @@ from cadaspark.plans import extract as px
 from cadaspark.plans import rings as pr
 from cadaspark.plans.checks import inputs, inside, latlng, rnd, shift, utm, with_
 from cadaspark.sources import bridge as b
-from cadaspark.sources.scratch import keep
+from cadaspark.sources.scratch import keep, large
 
 c = F.col
 
@@ -23,7 +23,7 @@ def _points(spark, sf):
 
 def _tagged(spark, sf):
     subs, pts = b.surveys(spark, sf), _points(spark, sf)
-    tagged = pts.join(crs.detect_crs(subs, pts).select("run_id", "detected_crs"), "run_id")
+    tagged = pts.join(large(crs.detect_crs(subs, pts).select("run_id", "detected_crs")), "run_id")
     return subs, keep(tagged.withColumn("is_utm", c("fmt").isin("UTM_SUFFIX", "UTM", "STATION_TABLE")), "tagged")
 
 

@@ -17,7 +17,8 @@ def plan_of(df):
 
 
 @pytest.mark.parametrize(
-    "name", ["slope_pct", "sample_elevation", "internal_profile", "profile_range", "outfall_distance", "outfall_profile", "screen_parcels"]
+    "name", ["slope_pct", "sample_elevation", "internal_profile", "profile_range", "outfall_distance", "outfall_profile", "screen_parcels",
+             "outfall_asset", "bowditch_adjust", "apply_dialog_answers", "self_intersection", "scan_station_table", "cadastral_summary", "detect_crs", "flip_test"]
 )
 def test_tables_that_grow_are_not_broadcast(spark, name):
     assert "BroadcastExchange" not in plan_of(QUERIES[name](spark, SF))

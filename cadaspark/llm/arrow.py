@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,14 @@ SLICE_ROWS = 512
 SLICE_CHARS = 4_000_000
 
 
+def release() -> None:
+    """Hand what a finished task has freed back to the system: Spark keeps its Python workers, and each would keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_index: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one slice holds few rows and, unless a single text is longer, few characters."""
     for batch in batches:
@@ -67,6 +76,8 @@ def map_text(
             columns = work(batch.column(last).to_pylist())
             names = names or [f.strip().split(" ")[0].strip("`") for f in _fields(schema)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], *columns], [*carry, *names])
+        del work
+        release()
 
     return narrow.mapInArrow(run, f"{kept}, {schema}" if kept else schema)
 

@@ -79,8 +79,10 @@ class Encoder:
             grams.append((k[:-2] * size + k[1:-1]) * size + k[2:])
         flat = np.concatenate(grams)
         if size**3 <= 4_000_000:
-            present = np.flatnonzero(np.bincount(flat, minlength=size**3))
-            rank = np.zeros(size**3, dtype=np.int64)
+            seen = np.zeros(size**3, dtype=bool)
+            seen[flat] = True
+            present = np.flatnonzero(seen)
+            rank = np.zeros(size**3, dtype=np.int32)
             rank[present] = np.arange(len(present))
             flat = rank[flat]
         else:

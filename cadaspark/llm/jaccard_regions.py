@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadaspark.llm.arrow import slices
+from cadaspark.llm.arrow import release, slices
 from cadaspark.llm.components import components
 from cadaspark.sources.scratch import keep
 
@@ -46,7 +46,7 @@ ROUNDS = 4
 # Classes of sizes, in steps of the largest ratio between linked sets.
 CLASS_STEPS = 4
 # A task packs about this many parts before it sends them, and a bucket is meant for about so many.
-PACKED, BUCKET = 500_000, 1_000_000
+PACKED, BUCKET = 250_000, 1_000_000
 LEAST_BUCKETS = 64
 # A part held by so many sets of one pack sends one of them; its other holders are told by a join in SALTS shares.
 HEAVY, SALTS = 64, 16
@@ -55,7 +55,9 @@ FILTER_BITS = 1 << 25
 # Further partitions for sets of which too many parts were empty.
 MORE = 8
 # Words whose hash a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+# After a group of so many bytes a task gives back what it has freed; smaller ones leave little behind.
+RELEASED = 1_000_000
 MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -258,6 +260,9 @@ def measured(docs: DataFrame, plan: Plan, salt: int = 0, sizes: tuple[int, int]
                 yield from packs()
                 held, waiting = {}, 0
         yield from packs()
+        held.clear()
+        known.clear()
+        release()
 
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return narrow.mapInArrow(run, TOLD_DDL)
@@ -296,6 +301,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, plan: Plan) -> DataFrame:
         for batch in slices(batches, 1):
             packed = [pack_set(shingles(t, plan.width, known)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "set"])
+        known.clear()
+        release()
 
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return passing(narrow, id_filter(ids)).mapInArrow(run, "doc_id bigint, set binary")
@@ -412,6 +419,9 @@ def _joined_leaves(members: DataFrame, plan: Plan) -> DataFrame:
         table = table.sort_by("doc_id")
         sets = [unpack_set(s) for s in table.column("set").to_pylist()]
         found = leaf_links(table.column("doc_id").to_numpy(), sets, plan) if len(sets) > 1 else []
+        del sets
+        if table.nbytes > RELEASED:
+            release()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return members.select("cell", "doc_id", "set").groupBy("cell").applyInArrow(run, "a bigint, b bigint")

@@ -60,6 +60,13 @@ def mend_line(line: Column) -> Column:
     return F.regexp_replace(strip_thousands(line), r"(\d{3,7})-(\d{3})", "$1.$2")
 
 
+# What every number of UTM_SCALE, every leg and every match of a format holds in the text as it is written; one pass that spares most texts the others.
+# Thousands commas may still be there: of a number of six digits, three stand before the last comma and three after it.
+MAY_SCALE = r"\d{3},?\d{3}"
+MAY_LEG = r"\d[°\s]+\d"
+MAY_FORMAT = r"\d(?:[°\s]+\d|\.\d|\d{2},?\d{3})"
+
+
 def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 0)
 
@@ -120,6 +127,18 @@ def bearing_to_dd(first: Column, degrees: Column, second: Column) -> Column:
     )
 
 
+def names_minna(text: Column) -> Column:
+    """Whether a text names the old datum; the pattern is tried only where one of its words stands."""
+    low = F.lower(text)
+    word = F.contains(low, F.lit("minna")) | F.contains(low, F.lit("clarke")) | F.contains(low, F.lit("nigerian"))
+    return word & text.rlike(MINNA_TEXT)
+
+
+def named_zone(text: Column) -> Column:
+    """Number of the zone that a text names with its hemisphere, empty if none."""
+    return F.when(F.contains(F.lower(text), F.lit("utm")), F.regexp_extract(text, ZONE_LETTER, 1)).otherwise(F.lit(""))
+
+
 def detect_datum(text: Column) -> dict[str, Column]:
     zone = F.regexp_extract(text, ZONE_WORD, 1)
     return {

@@ -20,7 +20,7 @@ def parse_format(submissions: DataFrame, fmt: str, text: str = "raw_text") -> Da
 
 
 def _first_format(submissions: DataFrame) -> DataFrame:
-    cleaned = submissions.withColumn("text", p.strip_thousands(F.col("raw_text")))
+    cleaned = submissions.withColumn("text", F.when(F.col("raw_text").rlike(p.MAY_FORMAT), p.strip_thousands(F.col("raw_text"))))
     ladder = []
     for name, pattern in p.FORMATS.items():
         found = p.matches(F.col("text"), pattern)
@@ -68,7 +68,7 @@ def scan_station_table(submissions: DataFrame) -> DataFrame:
     Returns run_id, seq, station_id, e, n.
     """
     c = F.col
-    lines = text_lines(submissions).withColumn(
+    lines = text_lines(submissions.filter(c("raw_text").rlike(p.MAY_SCALE))).filter(c("line").rlike(p.MAY_SCALE)).withColumn(
         "nums", F.regexp_extract_all(p.mend_line(c("line")), F.lit(p.UTM_SCALE), 1)
     ).filter(F.size("nums") >= 2)
     a, b = (F.element_at("nums", i).try_cast("double") for i in (1, 2))
@@ -92,7 +92,7 @@ def scan_station_table(submissions: DataFrame) -> DataFrame:
         F.least("a", "b").alias("e"), F.greatest("a", "b").alias("n"),
     )
     enough = valued.groupBy("run_id").agg(F.count("*").alias("found")).filter(c("found") >= p.MIN_POINTS)
-    grouped = _column_grouped(submissions, enough)
+    grouped = keep(_column_grouped(submissions, enough), "grouped-stations")  # for its rows and for their runs
     replaced = grouped.select("run_id").distinct()
     return by_line.join(large(replaced), "run_id", "left_anti").unionByName(grouped)
 
@@ -102,7 +102,9 @@ def _column_grouped(submissions: DataFrame, enough: DataFrame) -> DataFrame:
     c = F.col
     flat = p.mend_line(F.regexp_replace("raw_text", r"\n", " "))
     # The cheap test for six numbers spares most texts the array work.
-    likely = submissions.filter(F.size(F.regexp_extract_all("raw_text", F.lit(r"\d{3},?\d{3}"), 0)) >= 2 * p.MIN_POINTS)
+    likely = submissions.filter(c("raw_text").rlike(p.MAY_SCALE)).filter(
+        F.size(F.regexp_extract_all("raw_text", F.lit(p.MAY_SCALE), 0)) >= 2 * p.MIN_POINTS
+    )
     # written first: the join would move below the projection and sort whole texts
     listed = keep(likely.select("run_id", p.scale_numbers(flat).alias("numbers")), "station-numbers").join(large(enough), "run_id", "left_anti")
     numbers = listed.select("run_id", F.posexplode("numbers").alias("pos", "v"))
@@ -124,7 +126,8 @@ def _column_grouped(submissions: DataFrame, enough: DataFrame) -> DataFrame:
 def scan_traverse_legs(submissions: DataFrame) -> DataFrame:
     """Bearing and distance per line; lines with coordinate-scale numbers are not legs."""
     c = F.col
-    lines = text_lines(submissions).filter(F.size(p.scale_numbers(p.mend_line(c("line")))) == 0)
+    lines = text_lines(submissions.filter(c("raw_text").rlike(p.MAY_LEG))).filter(c("line").rlike(p.MAY_LEG))
+    lines = lines.filter(F.size(p.scale_numbers(p.mend_line(c("line")))) == 0)
     found = lines.withColumn("hit", F.regexp_extract("line", p.BEARING, 0)).filter("hit <> ''")
     g = lambda i: F.regexp_extract("hit", p.BEARING, i)
     parts = found.select(

@@ -59,3 +59,33 @@ def test_area_sums_follow_the_ring(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert found == expected
+
+
+def test_stations_are_sorted_few_times_in_a_task(spark):
+    """Every sort of a stage holds a page of its own in each task, 64 MB on large executors."""
+    assert plan_of(QUERIES["scan_station_table"](spark, SF)).count("Sort [") <= 8
+
+
+def test_cheap_tests_spare_no_text_that_counts(spark):
+    """Whatever a pattern finds in a text or a line, the cheap test of the raw text finds too."""
+    from cadaspark.functions import parsing as p
+
+    rng = random.Random(11)
+    pieces = ["1", "12", "123", "1234", "123456", "7654321", ",", ", ", ".", " ", "-", "°", "'", '"', "N", "E", "W", "\n", "\t", "m", "x", "utm zone 31 n",
+              "UTM Zone 32N", "Clarke 1880", "MINNA", "Nigerian datum", "/LA/", "45 10 ", "6.5244", "3,456", "1,234,567", "12.5N "]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(20000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", None]], "t string")
+    t = F.col("t")
+    clean = p.strip_thousands(t)
+    some = lambda v, n=1: F.size(v) >= n
+    formats = [some(p.matches(clean, pattern)) for pattern in p.FORMATS.values()]
+    missed = df.where(
+        (some(p.matches(p.mend_line(t), p.UTM_SCALE)) & ~t.rlike(p.MAY_SCALE))
+        | (some(p.scale_numbers(p.mend_line(F.regexp_replace(t, "\n", " "))), 2) & (F.size(p.matches(t, p.MAY_SCALE)) < 2))
+        | (t.rlike(p.BEARING) & ~t.rlike(p.MAY_LEG))
+        | ((formats[0] | formats[1] | formats[2] | formats[3] | formats[4]) & ~t.rlike(p.MAY_FORMAT))
+        | (t.rlike(p.MINNA_TEXT) != p.names_minna(t))
+        | (F.regexp_extract(t, p.ZONE_LETTER, 1) != p.named_zone(t))
+    )
+    assert missed.take(5) == []
+    assert df.where(some(p.matches(p.mend_line(t), p.UTM_SCALE))).count() > 1000

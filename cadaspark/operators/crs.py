@@ -29,11 +29,11 @@ VALID_ANSWERS = ["WGS84", "MINNA", *UTM_NAMES, "UNKNOWN"]
 
 
 def _marker_zone(text: Column) -> Column:
-    """Zone of the first marker found; one pattern per zone over the upper-case text."""
-    upper = F.upper(text)
+    """Zone of the first marker found; one pattern per zone over the upper-case text, if it has a slash at all."""
+    upper, slash = F.upper(text), F.contains(text, F.lit("/"))
     out = None
     for zone, states in MARKERS.items():
-        hit = upper.rlike("/(?:" + "|".join(states) + ")/")
+        hit = slash & upper.rlike("/(?:" + "|".join(states) + ")/")
         out = F.when(hit, f"UTM_{zone}N") if out is None else out.when(hit, f"UTM_{zone}N")
     return out
 
@@ -68,8 +68,8 @@ def detect_crs(submissions: DataFrame, points: DataFrame, use_zone_trial: bool =
     # read before the join, so that no text is shuffled
     runs = submissions.select(
         "run_id", "coordinate_hint",
-        text.rlike(p.MINNA_TEXT).alias("minna_text"),
-        F.regexp_extract(text, p.ZONE_LETTER, 1).alias("zone_text"),
+        p.names_minna(text).alias("minna_text"),
+        p.named_zone(text).alias("zone_text"),
         _marker_zone(text).alias("marker"),
     ).join(large(first), "run_id", "left")
     box = {k: v - 5 if k.endswith("min") else v + 5 for k, v in COUNTRY_BOX.items()}
@@ -127,7 +127,7 @@ def minna_zone(submissions: DataFrame, points: DataFrame) -> DataFrame:
         )
     )
     best = F.coalesce(F.try_element_at(ranked, F.lit(1))["zone"], c("guess"))
-    texts = submissions.select("run_id", F.regexp_extract("raw_text", p.ZONE_LETTER, 1).try_cast("int").alias("text_zone"))
+    texts = submissions.select("run_id", p.named_zone(c("raw_text")).try_cast("int").alias("text_zone"))
     return runs.join(large(texts), "run_id").select("run_id", F.coalesce("text_zone", best).alias("zone"))
 
 

@@ -65,6 +65,8 @@ def mend_line(line: Column) -> Column:
 MAY_SCALE = r"\d{3},?\d{3}"
 MAY_LEG = r"\d[°\s]+\d"
 MAY_FORMAT = r"\d(?:[°\s]+\d|\.\d|\d{2},?\d{3})"
+# Each of three points holds two numbers with such a place in each. Read from the left, one found place touches two of those six at most.
+MIN_PLACES = 3
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -127,16 +129,16 @@ def bearing_to_dd(first: Column, degrees: Column, second: Column) -> Column:
     )
 
 
-def names_minna(text: Column) -> Column:
-    """Whether a text names the old datum; the pattern is tried only where one of its words stands."""
-    low = F.lower(text)
+def names_minna(text: Column, low: Column | None = None) -> Column:
+    """Whether a text names the old datum; the pattern is tried only where one of its words stands. ``low``: the text in lower case, if at hand."""
+    low = F.lower(text) if low is None else low
     word = F.contains(low, F.lit("minna")) | F.contains(low, F.lit("clarke")) | F.contains(low, F.lit("nigerian"))
     return word & text.rlike(MINNA_TEXT)
 
 
-def named_zone(text: Column) -> Column:
-    """Number of the zone that a text names with its hemisphere, empty if none."""
-    return F.when(F.contains(F.lower(text), F.lit("utm")), F.regexp_extract(text, ZONE_LETTER, 1)).otherwise(F.lit(""))
+def named_zone(text: Column, low: Column | None = None) -> Column:
+    """Number of the zone that a text names with its hemisphere, empty if none. ``low``: a text in lower case that holds this one, if at hand."""
+    return F.when(F.contains(F.lower(text) if low is None else low, F.lit("utm")), F.regexp_extract(text, ZONE_LETTER, 1)).otherwise(F.lit(""))
 
 
 def detect_datum(text: Column) -> dict[str, Column]:

@@ -54,6 +54,27 @@ def zone_trial(runs: DataFrame, e: str, n: str) -> DataFrame:
     ).drop(*[f"_in{z}" for z in ZONES])
 
 
+def with_text_facts(submissions: DataFrame) -> DataFrame:
+    """What the steps here need to know of a text, beside the columns given: one pass that puts it in lower case once.
+
+    Submissions with these columns need no ``raw_text`` any more; others are read when a step asks.
+    """
+    c = F.col
+    if "minna_text" in submissions.columns:
+        return submissions
+    full = submissions.withColumn("_full", F.concat("raw_text", F.lit(" "), F.coalesce("datum_label", F.lit(""))))
+    low = full.withColumn("_low", F.lower("_full"))
+    return low.withColumns(
+        {
+            "minna_text": p.names_minna(c("_full"), c("_low")),
+            "zone_text": p.named_zone(c("_full"), c("_low")),
+            "marker": _marker_zone(c("_full")),
+            "own_zone": p.named_zone(c("raw_text"), c("_low")),
+            "grid_ref": F.contains("raw_text", F.lit("GRID_REF")),
+        }
+    ).drop("_full", "_low")
+
+
 def detect_crs(submissions: DataFrame, points: DataFrame, use_zone_trial: bool = False) -> DataFrame:
     """(detected_crs, crs_confidence, method) per run.
 
@@ -64,14 +85,8 @@ def detect_crs(submissions: DataFrame, points: DataFrame, use_zone_trial: bool =
         F.min_by("p1", "seq").alias("a"), F.min_by("p2", "seq").alias("b"),
         F.bool_and(inside_box(c("p1"), c("p2"))).alias("all_inside"),
     )
-    text = F.concat("raw_text", F.lit(" "), F.coalesce("datum_label", F.lit("")))
     # read before the join, so that no text is shuffled
-    runs = submissions.select(
-        "run_id", "coordinate_hint",
-        p.names_minna(text).alias("minna_text"),
-        p.named_zone(text).alias("zone_text"),
-        _marker_zone(text).alias("marker"),
-    ).join(large(first), "run_id", "left")
+    runs = with_text_facts(submissions).select("run_id", "coordinate_hint", "minna_text", "zone_text", "marker").join(large(first), "run_id", "left")
     box = {k: v - 5 if k.endswith("min") else v + 5 for k, v in COUNTRY_BOX.items()}
     north = lambda v: v.between(400000, 1600000)
     east = lambda v: v.between(100000, 900000)
@@ -127,7 +142,8 @@ def minna_zone(submissions: DataFrame, points: DataFrame) -> DataFrame:
         )
     )
     best = F.coalesce(F.try_element_at(ranked, F.lit(1))["zone"], c("guess"))
-    texts = submissions.select("run_id", p.named_zone(c("raw_text")).try_cast("int").alias("text_zone"))
+    own = c("own_zone") if "own_zone" in submissions.columns else p.named_zone(c("raw_text"))
+    texts = submissions.select("run_id", own.try_cast("int").alias("text_zone"))
     return runs.join(large(texts), "run_id").select("run_id", F.coalesce("text_zone", best).alias("zone"))
 
 
@@ -177,6 +193,8 @@ def flip_test(submissions: DataFrame, points: DataFrame) -> DataFrame:
 def extract_parcels(submissions: DataFrame, points: DataFrame, use_zone_trial: bool = False) -> DataFrame:
     """The whole extraction: detect, project, close, measure, and list the dialogs to ask."""
     c = F.col
+    if "minna_text" not in submissions.columns:
+        submissions = keep(with_text_facts(submissions).drop("raw_text"), "text-facts")
     # both feed several branches: written once, so that no branch reads the texts again for them
     detected = keep(detect_crs(submissions, points, use_zone_trial), "detected")
     tagged = points.join(large(detected), "run_id").withColumn("is_utm", c("fmt").isin("UTM_SUFFIX", "UTM", "STATION_TABLE"))
@@ -187,9 +205,7 @@ def extract_parcels(submissions: DataFrame, points: DataFrame, use_zone_trial: b
     flips = flip_test(submissions, tagged)
     kind = points.groupBy("run_id").agg(F.min("fmt").alias("fmt"))
     stated = c("stated_area_ha") if "stated_area_ha" in submissions.columns else F.lit(None)
-    text = submissions.select(
-        "run_id", "coordinate_hint", F.contains("raw_text", F.lit("GRID_REF")).alias("grid_ref"), stated.cast("double").alias("stated_ha")
-    )
+    text = submissions.select("run_id", "coordinate_hint", "grid_ref", stated.cast("double").alias("stated_ha"))
     joined = facts.join(large(detected), "run_id").join(large(kind), "run_id").join(large(text), "run_id").join(large(flips), "run_id", "left")
     inside = c("inside_region") & F.coalesce(c("coordinate_hint") != "UTM_SWAPPED", F.lit(True))
     joined = joined.withColumn("inside_region", inside)

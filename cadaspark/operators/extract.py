@@ -19,13 +19,22 @@ def parse_format(submissions: DataFrame, fmt: str, text: str = "raw_text") -> Da
     return found.select("run_id", "seq", a.alias("p1"), b.alias("p2"))
 
 
-def _first_format(submissions: DataFrame) -> DataFrame:
-    cleaned = submissions.withColumn("text", F.when(F.col("raw_text").rlike(p.MAY_FORMAT), p.strip_thousands(F.col("raw_text"))))
+def first_format(submissions: DataFrame) -> DataFrame:
+    """``hit``, the first format with enough pairs and its matches, and ``rest``, the text of those without that may hold three stations.
+
+    ``raw_text`` goes and other columns stay; all that follows reads the few texts in ``rest`` only.
+    """
+    enough = lambda pattern: F.size(p.matches(F.col("raw_text"), pattern)) >= p.MIN_PLACES
+    cleaned = submissions.withColumn("text", F.when(enough(p.MAY_FORMAT), p.strip_thousands(F.col("raw_text"))))
     ladder = []
     for name, pattern in p.FORMATS.items():
-        found = p.matches(F.col("text"), pattern)
-        ladder.append(F.when(F.size(found) >= p.MIN_POINTS, F.struct(F.lit(name).alias("fmt"), found.alias("found"))))
-    return cleaned.withColumn("hit", F.coalesce(*ladder)).drop("text")
+        found = F.array(F.struct(F.lit(name).alias("fmt"), p.matches(F.col("text"), pattern).alias("found")))
+        # a list of one, so that the pattern runs once for its number of matches and for the matches
+        ladder.append(F.try_element_at(F.filter(found, lambda x: F.size(x["found"]) >= p.MIN_POINTS), F.lit(1)))
+    tried = cleaned.withColumn("hit", F.coalesce(*ladder))
+    # every number of the scale is a place of MAY_FORMAT too
+    rest = F.when(F.col("hit").isNull() & F.col("text").isNotNull() & enough(p.MAY_SCALE), F.col("raw_text"))
+    return tried.withColumn("rest", rest).drop("text", "raw_text")
 
 
 def parse_auto(submissions: DataFrame) -> DataFrame:
@@ -33,12 +42,16 @@ def parse_auto(submissions: DataFrame) -> DataFrame:
 
     Returns run_id, fmt, seq, p1, p2 (latitude and longitude, or northing and easting).
     """
+    return points_of(keep(first_format(submissions.select("run_id", "raw_text")), "formats"))
+
+
+def points_of(tried: DataFrame) -> DataFrame:
+    """Points of texts that ``first_format`` has gone through: run_id, hit, rest."""
     c = F.col
-    tried = keep(_first_format(submissions.select("run_id", "raw_text")), "formats")
     found = tried.filter("hit IS NOT NULL").select("run_id", "hit.fmt", F.posexplode("hit.found").alias("seq", "match"))
     a, b = p.decode_any(c("match"), c("fmt"))
     points = found.select("run_id", "fmt", "seq", a.alias("p1"), b.alias("p2"))
-    rest = tried.filter("hit IS NULL").select("run_id", "raw_text")
+    rest = tried.filter("rest IS NOT NULL").select("run_id", c("rest").alias("raw_text"))
     stations = keep(scan_station_table(rest), "stations")
     enough = stations.groupBy("run_id").agg(F.count("*").alias("n")).filter(c("n") >= p.MIN_POINTS)
     tabled = stations.join(large(enough), "run_id", "left_semi").select(

@@ -17,18 +17,20 @@ from cadaspark.sources.scratch import keep, large
 c = F.col
 
 
-def _points(spark, sf):
-    return keep(extract.parse_auto(b.surveys(spark, sf)), "points")
+def _read(spark, sf):
+    """Submissions without their texts, and the points in them: both come from one pass over the texts."""
+    subs = keep(extract.first_format(crs.with_text_facts(b.submitted(spark, sf))), "read-texts")
+    return subs.drop("hit", "rest"), keep(extract.points_of(subs.select("run_id", "hit", "rest")), "points")
 
 
 def _tagged(spark, sf):
-    subs, pts = b.surveys(spark, sf), _points(spark, sf)
+    subs, pts = _read(spark, sf)
     tagged = pts.join(large(crs.detect_crs(subs, pts).select("run_id", "detected_crs")), "run_id")
     return subs, keep(tagged.withColumn("is_utm", c("fmt").isin("UTM_SUFFIX", "UTM", "STATION_TABLE")), "tagged")
 
 
 def detect(spark, sf, trial=False):
-    return crs.detect_crs(b.surveys(spark, sf), _points(spark, sf), trial).drop("minna_detected")
+    return crs.detect_crs(*_read(spark, sf), trial).drop("minna_detected")
 
 
 def _grid(spark, sf):
@@ -108,15 +110,15 @@ QUERIES = {
     "transform_to_wgs84": transform,
     "flip_test": flip,
     "apply_dialog_answers": answers,
-    "extract_parcels": lambda spark, sf: _extracted(spark, sf).filter("error_code IS NULL"),
-    "extract_errors": lambda spark, sf: extract.extraction_errors(b.surveys(spark, sf), _extracted(spark, sf)),
+    "extract_parcels": lambda spark, sf: _extracted(spark, sf)[1].filter("error_code IS NULL"),
+    "extract_errors": lambda spark, sf: extract.extraction_errors(*_extracted(spark, sf)),
 }
 
 
 def _extracted(spark, sf):
-    subs = b.surveys(spark, sf).withColumn("stated_area_ha", F.expr(STATED))
-    out = crs.extract_parcels(subs, _points(spark, sf))
-    return out.withColumn("dialogs", F.array_join("dialogs", ","))
+    subs, points = _read(spark, sf)
+    out = crs.extract_parcels(subs.withColumn("stated_area_ha", F.expr(STATED)), points)
+    return subs, out.withColumn("dialogs", F.array_join("dialogs", ","))
 
 
 # Area that a submission states, in hectares; every fourth states none.

@@ -89,3 +89,55 @@ def test_cheap_tests_spare_no_text_that_counts(spark):
     )
     assert missed.take(5) == []
     assert df.where(some(p.matches(p.mend_line(t), p.UTM_SCALE))).count() > 1000
+
+
+def test_texts_are_read_once(spark, monkeypatch):
+    """Points, datum, zones and marks come from one pass: only it reads the texts, and it keeps none that hold no three points."""
+    from cadaspark.operators import crs
+    from cadaspark.plans import crs as plans
+
+    seen = []
+
+    def kept(df, name):
+        seen.append((name, plan_of(df).count("FileScan parquet")))
+        return keep(df, name)
+
+    keep = plans.keep
+    monkeypatch.setattr(plans, "keep", kept)
+    monkeypatch.setattr(crs, "keep", kept)
+    df = plans.QUERIES["extract_parcels"](spark, SF)
+    assert "raw_text" not in plan_of(df)
+    assert [name for name, _ in seen] == ["read-texts", "points", "detected", "tagged"]
+    subs = spark.createDataFrame([(1, "no numbers", None, None), (2, "12 34 and 5.6 only", None, None)], "run_id long, raw_text string, coordinate_hint string, datum_label string")
+    from cadaspark.operators import extract
+
+    assert extract.first_format(subs).where("hit IS NOT NULL OR rest IS NOT NULL").count() == 0
+
+
+def test_one_pass_spares_no_text_with_points(spark):
+    """``first_format`` finds what the patterns alone find, and leaves the text wherever three stations stand in it."""
+    from cadaspark.functions import parsing as p
+    from cadaspark.operators import crs, extract
+
+    rng = random.Random(12)
+    pairs = ["6.52,3.37", "6.5244N 3.3792E", "6°31'27.8\"N 3°22'45.1\"E", "543210E 712345N", "543210 712345", "543,210.5 1,712,345", "6.52 3.37", "6 31 27N 3 22 45E",
+             "BP1 E: 543210.1 N: 712345.2", "543210-254 712345", "1 2", "1234567 ", "UTM zone 31 N", "cLARKE\t1880", "/BO/", "7"]
+    texts = ["".join(rng.choice(pairs) + rng.choice(["; ", "\n", " ", ", "]) for _ in range(rng.randint(1, 8))) for _ in range(4000)]
+    subs = spark.createDataFrame(
+        [(i, t, None, rng.choice([None, "1880", "Minna"])) for i, t in enumerate([*texts, "", None])], "run_id long, raw_text string, coordinate_hint string, datum_label string"
+    )
+    clean = p.strip_thousands(F.col("raw_text"))
+    plain = F.coalesce(*[F.when(F.size(p.matches(clean, v)) >= 3, F.struct(F.lit(k).alias("fmt"), p.matches(clean, v).alias("found"))) for k, v in p.FORMATS.items()])
+    expected = {r.run_id: r.hit for r in subs.select("run_id", plain.alias("hit")).collect()}
+    tried = extract.first_format(crs.with_text_facts(subs)).cache()
+    rows = tried.collect()
+    assert {r.run_id: r.hit for r in rows} == expected
+    assert len({r.hit.fmt for r in rows if r.hit}) == 5
+    stations = extract.scan_station_table(subs).groupBy("run_id").count().where("count >= 3")
+    assert stations.join(tried.where("hit IS NULL AND rest IS NULL"), "run_id").count() == 0
+    text = F.concat("raw_text", F.lit(" "), F.coalesce("datum_label", F.lit("")))
+    facts = subs.select(
+        "run_id", text.rlike(p.MINNA_TEXT).alias("minna_text"), F.coalesce(F.regexp_extract(text, p.ZONE_LETTER, 1), F.lit("")).alias("zone_text"),
+        F.coalesce(F.regexp_extract("raw_text", p.ZONE_LETTER, 1), F.lit("")).alias("own_zone"),
+    )
+    assert facts.exceptAll(tried.select(*facts.columns)).count() == 0

@@ -152,10 +152,10 @@ def nearest(points: DataFrame, lines: DataFrame, bound: float, carry: list[str])
     millimetre go to the lower ``feature_id``.
     """
     c = F.col
-    probes = project_points(places(points)).withColumns({"ax": _cell(c("e")), "ay": _cell(c("n"))})
+    probes = keep(project_points(places(points)).withColumns({"ax": _cell(c("e")), "ay": _cell(c("n"))}), "probes")
     layer = _line_cells(keep(project_lines(lines), "layer-lines"))
     probe_cells = probes.select("zone", "ax", "ay").distinct()
-    pairs = _candidate_cells(probe_cells, layer.select("zone", "cx", "cy", "sure"), bound)
+    pairs = keep(_candidate_cells(probe_cells, layer.select("zone", "cx", "cy", "sure"), bound), "cell-pairs")
     met = probes.join(large(pairs), ["zone", "ax", "ay"]).select("zone", "lat", "lng", "e", "n", F.lit(0).alias("level"), "cx", "cy")
     filed = layer.select("zone", F.lit(0).alias("level"), "cx", "cy", "x1", "y1", "x2", "y2", "feature_id", *carry)
     met, filed = _split_dense(met, filed)

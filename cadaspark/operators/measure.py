@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from cadaspark.operators import raster, screening, spatial
-from cadaspark.sources.scratch import large
+from cadaspark.sources.scratch import keep, large
 
 MEASURED = ["river_m", "strahler", "road_m", "elevation_m", "slope_pct", "ndwi", "ndvi", "out_of_zone"]
 
@@ -13,14 +13,15 @@ MEASURED = ["river_m", "strahler", "road_m", "elevation_m", "slope_pct", "ndwi",
 def measure(parcels: DataFrame, rivers: DataFrame, roads: DataFrame, dem: DataFrame, indices: DataFrame) -> DataFrame:
     """Attach river, road, elevation, slope and satellite indices to parcels (lat, lng, ...).
 
-    All layers are looked up for the distinct positions, so copies of a parcel cost one lookup.
+    All layers are looked up for the distinct positions, so copies of a parcel cost one lookup. Each layer is a plan of its own: one plan of
+    all of them takes the driver more memory than its limit leaves, whatever the size of the tables.
     """
-    spots = parcels.select("lat", "lng").distinct()
-    out = spatial.nearest_river(spots, rivers)
-    out = spatial.nearest_road(out, roads)
-    out = raster.sample_elevation(out, dem)
-    out = raster.slope_pct(out, dem)
-    out = raster.sample_ndwi_ndvi(out, indices)
+    spots = keep(parcels.select("lat", "lng").distinct(), "spots")
+    out = keep(spatial.nearest_river(spots, rivers), "with-river")
+    out = keep(spatial.nearest_road(out, roads), "with-road")
+    dem = keep(dem, "dem-cells")  # for the elevation and for the slope
+    out = keep(raster.slope_pct(raster.sample_elevation(out, dem), dem), "with-slope")
+    out = keep(raster.sample_ndwi_ndvi(out, indices), "with-indices")
     # a parcel without a position stays, unmeasured
     return parcels.drop(*MEASURED).join(large(out.select("lat", "lng", *MEASURED)), ["lat", "lng"], "left")
 

@@ -24,6 +24,17 @@ def test_tables_that_grow_are_not_broadcast(spark, name):
     assert "BroadcastExchange" not in plan_of(QUERIES[name](spark, SF))
 
 
+def test_screening_is_planned_layer_by_layer(spark):
+    """The driver keeps the plans of all steps that run: none of them holds all layers at once."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    QUERIES["screen_parcels"](spark, SF).write.format("noop").mode("overwrite").save()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    made = store.executionsList(before, 1000)
+    sizes = [len(made.apply(k).physicalPlanDescription()) for k in range(made.size())]
+    assert sizes and max(sizes) < 100_000
+
+
 def test_base_rows_are_dealt_out(spark, tmp_path):
     rows = 3 * bridge.TASK_ROWS
     made = spark.range(rows).select(F.col("id").alias("c_custkey"), F.lit("a").alias("c_mktsegment"))

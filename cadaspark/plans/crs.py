@@ -49,8 +49,14 @@ def trial(spark, sf):
 
 
 def minna_zone(spark, sf):
-    subs, tagged = _tagged(spark, sf)
-    return crs.minna_zone(subs, tagged.filter("is_utm"))
+    """Only what stands on a grid is decoded, and only its texts are read for a zone; no system is detected, as every grid is tried."""
+    subs = b.submitted(spark, sf).select("run_id", "raw_text", c("raw_text").alias("own_text"))
+    tried = extract.first_format(subs)
+    grid = F.coalesce(c("hit.fmt").isin("UTM_SUFFIX", "UTM"), F.lit(False))
+    zone = F.when(grid | c("rest").isNotNull(), p.named_zone(c("own_text")))
+    # blanked out and filtered after the write: a filter before it would run the patterns a second time
+    read = keep(tried.select("run_id", F.when(grid, c("hit")).alias("hit"), "rest", zone.alias("own_zone")), "grid-texts")
+    return crs.minna_zone(read.filter("own_zone IS NOT NULL"), extract.points_of(read))
 
 
 def utm_to_wgs84(spark, sf):

@@ -24,15 +24,25 @@ def test_tables_that_grow_are_not_broadcast(spark, name):
     assert "BroadcastExchange" not in plan_of(QUERIES[name](spark, SF))
 
 
-def test_screening_is_planned_layer_by_layer(spark):
-    """The driver keeps the plans of all steps that run: none of them holds all layers at once."""
+def plans_run(spark, name):
+    """The plans of all steps that a query runs."""
     store = spark._jsparkSession.sharedState().statusStore()
     before = store.executionsCount()
-    QUERIES["screen_parcels"](spark, SF).write.format("noop").mode("overwrite").save()
+    QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
     spark._jsc.sc().listenerBus().waitUntilEmpty()
     made = store.executionsList(before, 1000)
-    sizes = [len(made.apply(k).physicalPlanDescription()) for k in range(made.size())]
-    assert sizes and max(sizes) < 100_000
+    return [made.apply(k).physicalPlanDescription() for k in range(made.size())]
+
+
+def test_screening_is_planned_layer_by_layer(spark):
+    """The driver keeps the plans of all steps that run: none of them holds all layers at once."""
+    plans = plans_run(spark, "screen_parcels")
+    assert plans and max(len(x) for x in plans) < 100_000
+
+
+def test_zone_of_grids_reads_no_text_for_its_datum(spark):
+    plans = plans_run(spark, "minna_zone")
+    assert plans and not [x for x in plans if "nigerian" in x or "crs_confidence" in x or "detected_crs" in x]
 
 
 def test_base_rows_are_dealt_out(spark, tmp_path):

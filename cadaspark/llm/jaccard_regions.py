@@ -8,7 +8,8 @@ set ordered from rare to frequent, linked sets agree on one of the first d + 1 o
 parts only, which is the replication at the boundaries. Parts that no other set holds come first, so a set of which fewer than k - d parts are
 shared, such as one that has a passage in common with others, lies in no region. Two linked sets meet in at least one.
 
-The parts of all sets travel once, packed: a task sends four bytes of a part's hash and the set's id to the bucket of the hash, many at
+Of equal texts only the one with the least id sends its parts: copies would make every part a shared one. The parts of all others travel once,
+packed: a task sends four bytes of a part's hash and the set's id to the bucket of the hash, many at
 a time, and a bucket tells who shares what. A part that many sets of one task hold (a large group of near copies) sends one of them,
 and its other holders learn the pivot by a salted join. Only then do the sets themselves travel, once to meet the list of their regions and once to
 each region, in six bytes a shingle, most of which compress to five.
@@ -35,9 +36,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadaspark.llm.arrow import release, slices
+from cadaspark.llm.arrow import fresh, release, slices
 from cadaspark.llm.components import components
-from cadaspark.sources.scratch import keep
+from cadaspark.sources.scratch import forget, keep, large
 
 # A region is joined in one task up to this many sets and shingles; larger ones are divided.
 LEAF_SETS, LEAF_SHINGLES = 4_000, 2_000_000
@@ -214,11 +215,28 @@ def _packs(keys: np.ndarray, owners: np.ndarray, second: np.ndarray, buckets: in
         yield _batch(packed, len(some))
 
 
-def measured(docs: DataFrame, plan: Plan, salt: int = 0, sizes: tuple[int, int] | None = None) -> DataFrame:
-    """Rows of ``TOLD`` for every text, or for those with so many shingles; within a pack equal sets send the parts of the least id."""
-    chars = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+def senders(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text and ``sends``, whether a text sends its parts, and how many bytes the different texts have.
+
+    The least id of each text sends, and so do a few other rows that pass the filter of these ids.
+    """
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    same = F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("same")
+    known = texts.where("doc_id is not null and text is not null").groupBy(same)
+    least = keep(known.agg(F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).alias("size")).drop("same"), "different-texts")
+    held = id_filter(least)
+    chars = least.agg(F.sum("size")).first()[0] or 0
+    forget(least)
+    return _looked_up(texts, held).select("doc_id", "text", F.col("hit").alias("sends")), chars
+
+
+def buckets_for(chars: int, plan: Plan) -> int:
     # a word takes five bytes at least; parts are about the share of shingles in which linked sets can differ
-    buckets = int(max(LEAST_BUCKETS, plan.differ(chars // 5) // BUCKET))
+    return int(max(LEAST_BUCKETS, plan.differ(chars // 5) // BUCKET))
+
+
+def measured(texts: DataFrame, plan: Plan, buckets: int, salt: int = 0, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """Rows of ``TOLD`` for every text of ``senders``, or for those with so many shingles; within a pack equal sets send the parts of the least id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple[int | None, list[tuple[np.ndarray, int]]]] = {}
@@ -233,7 +251,7 @@ def measured(docs: DataFrame, plan: Plan, salt: int = 0, sizes: tuple[int, int]
 
         for batch in slices(batches, 1):
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, text, sends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = shingles(text, plan.width, known)
                 if sizes and not sizes[0] <= len(h) <= sizes[1]:
                     continue
@@ -241,6 +259,9 @@ def measured(docs: DataFrame, plan: Plan, salt: int = 0, sizes: tuple[int, int]
                     rows.append((i, 0, None, None, None))
                     continue
                 mark = xxhash.xxh3_128_digest(h.tobytes())
+                if not sends:
+                    rows.append((i, len(h), mark, None, None))
+                    continue
                 if mark in held:
                     least, found = held[mark]
                 else:
@@ -264,33 +285,39 @@ def measured(docs: DataFrame, plan: Plan, salt: int = 0, sizes: tuple[int, int]
         known.clear()
         release()
 
-    narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, TOLD_DDL)
+    return texts.select("doc_id", "text", "sends").mapInArrow(run, TOLD_DDL)
 
 
 def _sure() -> Column:
     return F.least(F.coalesce("slack", F.lit(0)), F.coalesce("slack2", F.lit(0))) >= 0
 
 
-def _place() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("bigint")
+def _place(salt: int = 0) -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), F.lit(salt)), F.lit(FILTER_BITS)).cast("bigint")
 
 
 def _bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
 
 
-def id_filter(ids: DataFrame) -> DataFrame:
+def id_filter(ids: DataFrame, salt: int = 0) -> DataFrame:
     """(filter_word, filter_bits) of some ids: at most FILTER_BITS / 64 rows, whatever their number."""
-    words = ids.select(F.shiftright(_place(), 6).alias("filter_word"), _bit(_place()).alias("b"))
+    words = ids.select(F.shiftright(_place(salt), 6).alias("filter_word"), _bit(_place(salt)).alias("b"))
     return keep(words.groupBy("filter_word").agg(F.bit_or("b").alias("filter_bits")), "id-filter")
 
 
-def passing(df: DataFrame, held: DataFrame, yes: bool = True) -> DataFrame:
+def _looked_up(df: DataFrame, held: DataFrame, hit: str = "hit", salt: int = 0) -> DataFrame:
+    """Adds whether the ``doc_id`` of a row passes a filter; null ids never pass."""
+    met = df.join(F.broadcast(held), F.shiftright(_place(salt), 6) == F.col("filter_word"), "left")
+    found = F.col("doc_id").isNotNull() & F.coalesce(F.col("filter_bits").bitwiseAND(_bit(_place(salt))) != 0, F.lit(False))
+    return met.select(*[F.col(f"`{c}`") for c in df.columns], found.alias(hit))
+
+
+def passing(df: DataFrame, held: DataFrame, yes: bool = True, salt: int = 0) -> DataFrame:
     """Rows whose ``doc_id`` passes a filter, or those that it is sure not to hold; null ids never pass."""
-    met = df.join(F.broadcast(held), F.shiftright(_place(), 6) == F.col("filter_word"), "left")
-    hit = F.col("doc_id").isNotNull() & F.coalesce(F.col("filter_bits").bitwiseAND(_bit(_place())) != 0, F.lit(False))
-    return met.where(hit if yes else ~hit).select(*[F.col(f"`{c}`") for c in df.columns])
+    hit = fresh(df, "hit")
+    found = _looked_up(df, held, hit, salt)
+    return found.where(F.col(hit) if yes else ~F.col(hit)).drop(hit)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, plan: Plan) -> DataFrame:
@@ -309,7 +336,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, plan: Plan) -> DataFrame:
 
 
 def shared_parts(told: DataFrame) -> DataFrame:
-    """(cell, doc_id): every set with the pivots, the least ids, of the rarest of its parts that other sets hold; from rows of ``TOLD``."""
+    """(cell, doc_id): every set with the pivots, the least ids, of the rarest of its parts that other sets hold; from kept rows of ``TOLD``.
+
+    The result is kept, and neither the rows nor what was made of them is needed any more.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         keys, owners, marks = (
@@ -342,13 +372,15 @@ def shared_parts(told: DataFrame) -> DataFrame:
     ).join(pivots.select("*", salts), ["place", "salt"])
     columns = ["doc_id", "second", "holders", "place", "cell"]
     every = met.where("not heavy").select(*columns).union(met.where("heavy").select(*columns).union(more.select(*columns)).distinct())
-    slack = told.where("n_shingles is not null").groupBy("doc_id").agg(F.min("slack").alias("slack"), F.min("slack2").alias("slack2"))
+    slack = told.where("slack is not null").groupBy("doc_id").agg(F.min("slack").alias("slack"), F.min("slack2").alias("slack2"))
     mine = Window.partitionBy("doc_id", "second")
     placed = every.join(slack, "doc_id").withColumns({
         "from_rare": F.row_number().over(mine.orderBy("holders", "place")), "shared": F.count("*").over(mine),
     })
     spare = F.when(F.col("second") == 0, F.col("slack")).otherwise(F.col("slack2"))
-    return placed.where(F.col("from_rare") <= F.col("shared") - spare).select("cell", "doc_id").distinct()
+    cells = keep(placed.where(F.col("from_rare") <= F.col("shared") - spare).select("cell", "doc_id").distinct(), "part-regions")
+    forget(met)
+    return cells
 
 
 def _regions(keyed: DataFrame, salt: int) -> DataFrame:
@@ -460,7 +492,7 @@ def _blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
     return placed.select(pair.alias("cell"), "doc_id").distinct()
 
 
-def _more_parts(docs: DataFrame, points: DataFrame, plan: Plan) -> DataFrame:
+def _more_parts(texts: DataFrame, points: DataFrame, plan: Plan, buckets: int) -> DataFrame:
     """Regions from further parts around sets of which too many parts were empty, until each has met its partners.
 
     What is left after ``MORE`` partitions meets all sets of its sizes in one region, which is divided like any other.
@@ -469,11 +501,12 @@ def _more_parts(docs: DataFrame, points: DataFrame, plan: Plan) -> DataFrame:
     cells = None
     for salt in range(1000, 1000 + MORE):
         low, high = unsure.agg(F.min("n_shingles"), F.max("n_shingles")).first()
-        again = keep(measured(docs, plan, salt, (low * plan.percent // 100, high * 100 // plan.percent + 1)), "projections")
+        again = keep(measured(texts, plan, buckets, salt, (low * plan.percent // 100, high * 100 // plan.percent + 1)), "projections")
         more = shared_parts(again).select(F.xxhash64("cell", F.lit(salt)).alias("cell"), "doc_id")
         cells = more if cells is None else cells.union(more)
         left = again.where("n_shingles is not null").where(~_sure()).select("doc_id", "n_shingles").distinct()
         unsure = keep(left.join(unsure.select("doc_id").distinct(), "doc_id", "left_semi"), "unsure")
+        forget(again)
         if unsure.limit(1).count() == 0:
             return cells
     low, high = unsure.agg(F.min("n_shingles"), F.max("n_shingles")).first()
@@ -496,13 +529,12 @@ def _keys_again(members: DataFrame, plan: Plan, salt: int) -> DataFrame:
     return narrow.mapInArrow(run, "outer bigint, doc_id bigint, sure boolean, keys array<bigint>")
 
 
-def link_table(docs: DataFrame, told: DataFrame, points: DataFrame, plan: Plan) -> DataFrame:
-    """Links (a, b) between different sets. ``points``: doc_id, n_shingles, sure, one row per distinct set; ``told``: rows of TOLD."""
+def link_table(docs: DataFrame, cells: DataFrame, points: DataFrame, plan: Plan, buckets: int) -> DataFrame:
+    """Links (a, b) between different sets. ``points``: doc_id, n_shingles, sure, one row per distinct set; ``cells``: from ``shared_parts``."""
     spark = docs.sparkSession
     size_of = points.select("doc_id", "n_shingles").distinct()
-    cells = shared_parts(told)
     if points.where("not sure").limit(1).count():
-        cells = cells.union(_more_parts(docs, points, plan)).distinct()
+        cells = cells.union(_more_parts(docs, points, plan, buckets)).distinct()
     # equal sets are represented by one of them; regions left with a single set have nothing to find
     cells = keep(cells.join(size_of, "doc_id"), "regions")
     links = spark.createDataFrame([], "a bigint, b bigint")
@@ -546,9 +578,13 @@ def link_table(docs: DataFrame, told: DataFrame, points: DataFrame, plan: Plan)
 def classes(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text, ...)."""
     plan = plan or Plan()
-    texts = docs.select("doc_id", "text")
-    told = keep(measured(texts, plan), "shingle-sets")
+    texts, chars = senders(docs)
+    buckets = buckets_for(chars, plan)
+    told = keep(measured(texts, plan, buckets), "shingle-sets")
     rows = told.where("n_shingles is not null").select("doc_id", "n_shingles", "fingerprint", _sure().alias("sure"))
+    rows = keep(rows, "set-rows")
+    cells = shared_parts(told)
+    forget(told)
     known = rows.where("doc_id is not null and fingerprint is not null")
     # only sets that several ids hold are joined, in shares: one set may be held by very many
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
@@ -558,7 +594,7 @@ def classes(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     mine = salted.join(first, ["fingerprint", "salt"], "left")
     mine = keep(mine.select("doc_id", "n_shingles", "sure", F.coalesce("rep", "doc_id").alias("rep")), "equal-sets")
     points = mine.where("doc_id = rep").select("doc_id", "n_shingles", "sure")
-    links = link_table(texts, told, points, plan)
+    links = link_table(texts, cells, points, plan, buckets)
     equal = mine.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = keep(components(links.union(equal)), "components")
     done = rows.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -571,15 +607,19 @@ def one_of_each(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     Of rows that share an id the one with the least text stays, and of equal ones any.
     """
     told = keep(classes(docs, plan), "jaccard-classes").where("doc_id is not null")
-    gone = told.where("doc_id != component_id").select("doc_id").distinct()
-    gone = keep(gone, "gone")
-    # most rows are sure to stay and do not travel; the others are looked up
+    gone = keep(told.where("doc_id != component_id").select("doc_id").distinct(), "gone")
+    # most rows are sure to stay or to go and do not travel: of the others some id that stays falls on the bits of one that goes
     held = id_filter(gone)
-    doubtful = passing(docs, held).join(gone, "doc_id", "left_anti")
+    stays = told.where("doc_id = component_id").select("doc_id")
+    doubted = keep(passing(stays, held).distinct(), "doubted")
+    again = passing(passing(docs, held), id_filter(doubted, 1), salt=1)
+    doubtful = again.join(large(doubted), "doc_id", "left_semi")
     out = passing(docs, held, yes=False).select(*docs.columns).union(doubtful.select(*docs.columns))
-    repeated = told.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    if repeated:
+    repeated = keep(told.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.limit(1).count() > 0:
+        # rows whose id no other row has do not travel
+        many = id_filter(repeated)
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        named = out.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(whole, F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row")).select("row.*")
-        out = named.unionByName(out.where("doc_id is null"))
+        named = passing(out, many).groupBy("doc_id").agg(F.min_by(whole, F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row")).select("row.*")
+        out = named.unionByName(passing(out, many, yes=False))
     return out.select(*docs.columns)

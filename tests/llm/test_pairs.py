@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -98,6 +99,37 @@ def test_one_row_stays_of_an_id_with_two_texts(spark):
     assert sorted(map(tuple, kept.collect())) == [(1, "a b c"), (2, "x y z")]
 
 
+def test_copies_send_no_parts(spark, monkeypatch):
+    """Copies in other packs make no part a shared one, and what was kept on the way is deleted once it is used."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(120)) for _ in range(40)]
+    rows = [(1000 * copy + i, t) for copy in range(6) for i, t in enumerate(texts)]
+    made, keep = {}, jaccard_regions.keep
+
+    def kept(df, name):
+        made[name] = keep(df, name)
+        counts[name] = made[name].count()
+        return made[name]
+
+    counts = {}
+    monkeypatch.setattr(jaccard_regions, "PACKED", 300)
+    monkeypatch.setattr(jaccard_regions, "keep", kept)
+    assert answers(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == Counter((i, 118, i % 1000) for i, _ in rows)
+    assert counts["shared-parts"] == 0 and counts["set-rows"] == len(rows)
+    left = os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    assert not [x for x in left if x.startswith("shingle-sets") or x.startswith("shared-parts")]
+
+
+def test_ids_on_the_same_bits_as_gone_ones_stay(spark, monkeypatch):
+    """A filter of 64 bits: nearly every id that stays shares a bit with one that goes, and two rows share an id."""
+    monkeypatch.setattr(jaccard_regions, "FILTER_BITS", 64)
+    rows = [(i, f"text number {i % 50} of fifty") for i in range(200)] + [(300 + i, f"alone {i} a b") for i in range(100)]
+    rows += [(300, "alone 0"), (None, "text number 1 of fifty"), (None, None), (500, None)]
+    kept = jaccard_regions.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    want = [(i, t) for i, t in rows if i is None or i < 50 or i > 300] + [(300, "alone 0")]
+    assert Counter(map(tuple, kept.collect())) == Counter(want)
+
+
 def test_large_regions_are_divided(spark, mixed, monkeypatch):
     monkeypatch.setattr(jaccard_regions, "LEAF_SETS", 6)
     assert answers(spark.createDataFrame(mixed, "doc_id long, text string")) == brute(mixed)

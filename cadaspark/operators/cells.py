@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from cadaspark.functions.geo import planar, segment_parameter, utm_zone, with_utm
 from cadaspark.operators.circles import tile_counts
-from cadaspark.sources.scratch import keep, large
+from cadaspark.sources.scratch import forget, keep, large
 
 BASE_M = 1000.0
-# Cell widths in base cells, coarse to fine, used to narrow the nearest search.
-DESCENT = (80, 8, 1)
+# Cell widths in base cells, coarse to fine, used to narrow the nearest search. Small steps at the end: every kept pair of cells becomes
+# the square of a step squared.
+DESCENT = (80, 16, 4, 2, 1)
 # Cells with more than DENSE segments are split, level by level, into cells of these parts of a base cell.
 FINER, DENSE = (4, 16, 64), 64
 # Box cells in degrees, and how many salts spread the points of one cell at that level.
@@ -101,47 +102,49 @@ def _line_cells(lines: DataFrame, size: float = BASE_M) -> DataFrame:
     return out.withColumn("sure", sure).drop("_k", "_i", "_xa", "_xb", "_ya", "_yb")
 
 
-def _axis_gap(a: Column, b: Column, width: int) -> tuple[Column, Column]:
-    """Smallest and largest distance along one axis between base cell ``a`` and wide cell ``b``."""
-    a0, b0 = a * BASE_M, b * (BASE_M * width)
-    a1, b1 = a0 + BASE_M, b0 + BASE_M * width
-    low = F.greatest(b0 - a1, a0 - b1, F.lit(0.0))
-    high = F.greatest(b1 - a0, a1 - b0)
-    return low, high
+def _axis_gap(a: Column, b: Column, size: float) -> tuple[Column, Column]:
+    """Smallest and largest distance along one axis between cells ``a`` and ``b`` of one size."""
+    apart = F.abs(a - b).cast("double")
+    return F.greatest(apart - 1.0, F.lit(0.0)) * size, (apart + 1.0) * size
 
 
 def _candidate_cells(probe_cells: DataFrame, layer_cells: DataFrame, bound: float) -> DataFrame:
     """Layer cells that may hold the nearest feature of each probe cell.
 
-    Works on cell tables only, whose size is bounded by the mapped area. Descends from 80 km cells
-    to 1 km cells; at each level the nearest certainly occupied cell gives an upper bound that
-    prunes the rest, so no step enumerates a large neighbourhood of fine cells.
+    Works on cell tables only, whose size is bounded by the mapped area. Both sides descend together from 80 km cells to 1 km cells: at each level
+    the nearest certainly occupied cell gives an upper bound that prunes the rest, so neither a large neighbourhood of fine cells nor one of
+    coarse cells is ever listed for every fine probe cell. Each level is kept, so that its shuffles go before the next one's come.
     """
     c = F.col
     occupied = keep(layer_cells.groupBy("zone", "cx", "cy").agg(F.max("sure").alias("sure")), "occupied")
     top = DESCENT[0]
-    index, lx, ly = _around(F.floor(c("ax") / top), F.floor(c("ay") / top), 1)
-    pairs = probe_cells.select("*", index).select("zone", "ax", "ay", lx.alias("lx"), ly.alias("ly"))
-    parent = top
+    start = probe_cells.select("zone", F.floor(c("ax") / top).alias("px"), F.floor(c("ay") / top).alias("py")).distinct()
+    index, lx, ly = _around(c("px"), c("py"), 1)
+    pairs = start.select("*", index).select("zone", "px", "py", lx.alias("lx"), ly.alias("ly"))
+    parent, before = top, []
+    under = lambda a, b, *names: [F.floor(c(k) / w).alias(n) for w, of in ((parent, names[:2]), (width, names[2:])) for k, n in zip((a, b), of)]
     for width in DESCENT:
-        level = occupied.groupBy(
-            "zone",
-            F.floor(c("cx") / parent).alias("lx"), F.floor(c("cy") / parent).alias("ly"),
-            F.floor(c("cx") / width).alias("bx"), F.floor(c("cy") / width).alias("by"),
-        ).agg(F.max("sure").alias("sure"))
-        met = pairs.join(large(level), ["zone", "lx", "ly"])
-        (x_low, x_high), (y_low, y_high) = _axis_gap(c("ax"), c("bx"), width), _axis_gap(c("ay"), c("by"), width)
+        looking = probe_cells.select("zone", *under("ax", "ay", "px", "py", "wx", "wy")).distinct()
+        level = occupied.groupBy("zone", *under("cx", "cy", "lx", "ly", "bx", "by")).agg(F.max("sure").alias("sure"))
+        met = pairs.join(large(looking), ["zone", "px", "py"]).join(large(level), ["zone", "lx", "ly"])
+        # dealt out before the distances are there: cells are small and compress, distances do not
+        met = met.select("zone", "wx", "wy", "bx", "by", "sure").repartition("zone", "wx", "wy")
+        size = BASE_M * width
+        (x_low, x_high), (y_low, y_high) = _axis_gap(c("wx"), c("bx"), size), _axis_gap(c("wy"), c("by"), size)
         met = met.withColumns(
             {
                 "low": F.sqrt(x_low * x_low + y_low * y_low),
                 "high": F.when(c("sure"), F.sqrt(x_high * x_high + y_high * y_high)),
             }
         )
-        per_probe = Window.partitionBy("zone", "ax", "ay")
+        per_probe = Window.partitionBy("zone", "wx", "wy")
         met = met.withColumn("reach", F.coalesce(F.least(F.min("high").over(per_probe), F.lit(bound)), F.lit(bound)))
-        pairs = met.filter("low <= reach").select("zone", "ax", "ay", c("bx").alias("lx"), c("by").alias("ly"))
-        parent = width
-    return pairs.select("zone", "ax", "ay", c("lx").alias("cx"), c("ly").alias("cy"))
+        pairs = met.filter("low <= reach").select("zone", c("wx").alias("px"), c("wy").alias("py"), c("bx").alias("lx"), c("by").alias("ly"))
+        pairs = keep(pairs, "cell-pairs")
+        forget(*before)
+        parent, before = width, [pairs]
+    forget(occupied)
+    return pairs.select("zone", c("px").alias("ax"), c("py").alias("ay"), c("lx").alias("cx"), c("ly").alias("cy"))
 
 
 def nearest(points: DataFrame, lines: DataFrame, bound: float, carry: list[str]) -> DataFrame:
@@ -155,7 +158,7 @@ def nearest(points: DataFrame, lines: DataFrame, bound: float, carry: list[str])
     probes = keep(project_points(places(points)).withColumns({"ax": _cell(c("e")), "ay": _cell(c("n"))}), "probes")
     layer = _line_cells(keep(project_lines(lines), "layer-lines"))
     probe_cells = probes.select("zone", "ax", "ay").distinct()
-    pairs = keep(_candidate_cells(probe_cells, layer.select("zone", "cx", "cy", "sure"), bound), "cell-pairs")
+    pairs = _candidate_cells(probe_cells, layer.select("zone", "cx", "cy", "sure"), bound)
     met = probes.join(large(pairs), ["zone", "ax", "ay"]).select("zone", "lat", "lng", "e", "n", F.lit(0).alias("level"), "cx", "cy")
     filed = layer.select("zone", F.lit(0).alias("level"), "cx", "cy", "x1", "y1", "x2", "y2", "feature_id", *carry)
     met, filed = _split_dense(met, filed)

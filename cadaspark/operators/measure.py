@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from cadaspark.operators import raster, screening, spatial
-from cadaspark.sources.scratch import keep, large
+from cadaspark.sources.scratch import forget, keep, large
 
 MEASURED = ["river_m", "strahler", "road_m", "elevation_m", "slope_pct", "ndwi", "ndvi", "out_of_zone"]
 
@@ -19,8 +19,9 @@ def measure(parcels: DataFrame, rivers: DataFrame, roads: DataFrame, dem: DataFr
     spots = keep(parcels.select("lat", "lng").distinct(), "spots")
     out = keep(spatial.nearest_river(spots, rivers), "with-river")
     out = keep(spatial.nearest_road(out, roads), "with-road")
-    dem = keep(dem, "dem-cells")  # for the elevation and for the slope
-    out = keep(raster.slope_pct(raster.sample_elevation(out, dem), dem), "with-slope")
+    dem = keep(dem, "dem-cells")  # so that the shuffle that made it goes before the next one comes
+    out = keep(raster.slope_pct(out, dem, elevation="elevation_m"), "with-slope")
+    forget(dem)
     out = keep(raster.sample_ndwi_ndvi(out, indices), "with-indices")
     # a parcel without a position stays, unmeasured
     return parcels.drop(*MEASURED).join(large(out.select("lat", "lng", *MEASURED)), ["lat", "lng"], "left")

@@ -1,6 +1,8 @@
 """What must not grow with the tables: broadcasts, and the rows that one task makes of a small file."""
 
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +164,56 @@ def test_one_pass_spares_no_text_with_points(spark):
         F.coalesce(F.regexp_extract("raw_text", p.ZONE_LETTER, 1), F.lit("")).alias("own_zone"),
     )
     assert facts.exceptAll(tried.select(*facts.columns)).count() == 0
+
+
+def rows_shuffled(spark, run):
+    """Rows that all stages of ``run`` write to shuffles."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark._jvm
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        made = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {made.apply(k).stageId(): made.apply(k).shuffleWriteRecords() for k in range(made.size())}
+
+    before = max(stages(), default=-1)
+    run()
+    return sum(rows for stage, rows in stages().items() if stage > before)
+
+
+def test_nearest_search_lists_few_cells_for_a_place(spark):
+    """Places and lines in every cell: no step lists all coarse cells within the bound for every place."""
+    from cadaspark.operators import cells
+
+    every = lambda n, step: spark.range(n * n).select((6.0 + F.floor(F.col("id") / n) * step).alias("lat"), (7.0 + F.col("id") % n * step).alias("lng"))
+    spots = every(60, 0.012).select(F.col("lat") + 0.6, F.col("lng") + 0.6).toDF("lat", "lng")
+    lines = every(100, 0.02).select(F.xxhash64("lat", "lng").alias("feature_id"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), (F.col("lat") + 0.003).alias("lat2"), F.col("lng").alias("lng2"))
+    found = []
+    rows = rows_shuffled(spark, lambda: found.append(cells.nearest(spots, lines, 80000.0, []).agg(F.count("*"), F.max("distance_m")).first()))
+    assert found[0][0] == 3600 and 0 < found[0][1] < 2000
+    assert rows < 300 * 3600, rows
+
+
+def test_shuffles_of_a_kept_table_are_deleted(spark):
+    """And so are tables that are not needed any more; the session's own setting stays as it was."""
+    from cadaspark.sources import scratch
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = blocks.getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+
+    def kept_here():
+        return [x for x in os.listdir(spark.conf.get("spark.checkpoint.dir")) if x.startswith("freed-")]
+
+    before, setting = shuffles(), spark.conf.get(scratch.FREED, None)
+    kept = scratch.keep(spark.range(100000).groupBy((F.col("id") % 1000).alias("k")).count(), "freed")
+    for _ in range(50):
+        left = shuffles() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(scratch.FREED, None) == setting
+    assert len(kept.collect()) == 1000 and len(kept_here()) == 1
+    scratch.forget(kept)
+    assert not kept_here()
